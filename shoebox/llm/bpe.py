@@ -30,7 +30,7 @@ from .common import map_slices
 #: Fragments that a worker remembers before it starts anew.
 MEMO = 150_000
 #: White space of the pre-tokenizer's pattern beyond ASCII.
-WIDE_SPACE = re.compile("[\x85\xa0 ᠎ -​    ⁠　﻿]")
+WIDE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))) + "]")
 #: Fragments of these characters only have the same pre-tokens in both tokenizer libraries.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*", re.DOTALL)
 

@@ -30,8 +30,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    out = lines.clean(table(spark, sf_dir, "documents"))
+    return out.drop("cleaned", "lost")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op9_lines": op9_lines,
 }
 
 
