@@ -30,6 +30,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
@@ -39,6 +45,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_html": op4_html,
     "op9_lines": op9_lines,
 }
 
