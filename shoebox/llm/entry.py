@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import Scratch, table, texts_of
 
 
 def vocabulary(name: str) -> str:
@@ -36,6 +36,16 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import media
+
+    scratch = Scratch(spark, "media")
+    media.write_archive(media.texts_to_images(texts_of(table(spark, sf_dir, "documents"))), scratch.path("archives"))
+    out = scratch.put(media.image_columns(media.read_archive(spark, scratch.path("archives"))), "columns")
+    scratch.drop("archives")
+    return out
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
@@ -46,6 +56,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_html": op4_html,
+    "op5_media": op5_media,
     "op9_lines": op9_lines,
 }
 
