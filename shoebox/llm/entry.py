@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, texts_of
+from .common import Scratch, held_out, table, texts_of
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +46,25 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs, language.learn(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    out = pii.find(table(spark, sf_dir, "documents"), pii.learn(spark))
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(pii.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
@@ -57,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_html": op4_html,
     "op5_media": op5_media,
+    "op6_language": op6_language,
+    "op8_pii": op8_pii,
     "op9_lines": op9_lines,
 }
 
