@@ -54,6 +54,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near
+
+    return near.link(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html": op4_html,
     "op5_media": op5_media,
     "op6_language": op6_language,
+    "op7_near": op7_near,
     "op8_pii": op8_pii,
     "op9_lines": op9_lines,
 }
