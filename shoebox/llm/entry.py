@@ -78,6 +78,14 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("cleaned", "lost")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    out = quality.scored(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_html": op4_html,
@@ -86,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near": op7_near,
     "op8_pii": op8_pii,
     "op9_lines": op9_lines,
+    "op10_quality": op10_quality,
 }
 
 
