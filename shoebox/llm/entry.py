@@ -30,6 +30,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import counts
+
+    return counts.count(texts_of(table(spark, sf_dir, "documents")), vocabulary("piece_bpe_32k.model"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -95,6 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_counts": op2_counts,
     "op3_packing": op3_packing,
     "op4_html": op4_html,
     "op5_media": op5_media,
