@@ -4,7 +4,9 @@ A document's set holds its distinct shingles of five words (lower-cased
 A to Z; fewer words are one shingle together).  Shingle hashes fall into
 ``BUCKETS`` registers, each of which keeps the leading zeros and the ten
 bits behind the leading one of the least hash in it.  Bands of ``WIDTH``
-registers are the keys by which documents meet.
+registers are the keys by which documents meet; for them an empty
+register borrows from another one by a fixed rule, so that a band of a
+short text is as selective as one of a long text.
 
 Equal sets are one class from the start.  In each bucket of a band every
 class meets the least one; what meets is filtered by the estimated
@@ -12,8 +14,8 @@ Jaccard similarity, corrected for registers that collide by chance, with
 a margin of five standard deviations, then confirmed on the full sets.
 Links give components.  Then, in buckets that still hold classes of
 different components, all such pairs are estimated, and those that pass
-are confirmed as well.  So a bucket costs pairs only where it isn't one
-component, and no bucket is cut short.
+are confirmed too, until a link joins their components.  So a bucket
+costs pairs only where it isn't one component, and none is cut short.
 
 At the threshold a pair misses all bands with a probability under 1e-5.
 
@@ -46,6 +48,8 @@ MANTISSA = 10
 TAIL = 48
 #: Pairs of one class that are confirmed in one group.
 CHUNK = 256
+#: Classes of a bucket in one block.
+BLOCK = 512
 LINK = (75, 100)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,17 +131,36 @@ def sketch(docs: DataFrame) -> DataFrame:
     return map_slices(docs, work, "doc_id long, n_shingles long, set_id binary, registers binary")
 
 
+def lenders() -> np.ndarray:
+    """For each register the others from which it borrows when it is empty, in order."""
+    return np.stack([np.random.default_rng(k).permutation(BUCKETS) for k in range(BUCKETS)])
+
+
+LENDERS = lenders()
+
+
+def band_keys(rows: np.ndarray) -> np.ndarray:
+    """The key of each band of register rows; rows have at least one register in use."""
+    full = rows.copy()
+    for turn in range(BUCKETS):
+        empty = full == 0
+        if not empty.any():
+            break
+        full = np.where(empty, rows[:, LENDERS[:, turn]], full)
+    full = full.reshape(len(rows), BANDS, WIDTH)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), full.shape[:2]).copy()
+    for k in range(WIDTH):
+        keys = mixed(keys * PRIME + full[:, :, k])
+    return keys.view(np.int64)
+
+
 def bands(classes: DataFrame) -> DataFrame:
-    """rep, registers -> key, rep: a row for each band that isn't empty."""
+    """rep, registers -> key, rep: a row for each band."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), BANDS, WIDTH)
-        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
-        for k in range(WIDTH):
-            key = mixed(key * PRIME + rows[:, :, k])
-        there = rows.any(-1)
-        return pa.record_batch([pa.array(key[there].view(np.int64)), pa.array(np.broadcast_to(ids[:, None], there.shape)[there])], ["key", "rep"])
+        keys = band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(len(ids), BUCKETS))
+        return pa.record_batch([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids, BANDS))], ["key", "rep"])
 
     return map_slices(classes.select("rep", "registers"), work, "key long, rep long")
 
@@ -180,9 +203,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for (a, _), group in grouped(batches, 2):
             own = shingles(next(group)["text"])
             for row in group:
-                other = shingles(row["text"])
-                shared = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
-                if LINK[1] * shared >= LINK[0] * (len(own) + len(other) - shared):
+                if similar(own, shingles(row["text"])):
                     links.append((a, row["b"]))
             if len(links) >= 4096:
                 yield _pairs(links)
@@ -197,28 +218,67 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """key, n, rep, ... -> the same with lo, hi and own: large buckets as blocks, of which any two meet in one group."""
+    rows = rows.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_blocks", "_other", "n")
+
+
 def across(rows: DataFrame) -> DataFrame:
-    """key, rep, component, n_shingles, registers -> the pairs a, b of one key and different components that may link."""
-    rows = rows.select("key", "rep", "component", "n_shingles", "registers").repartition("key").sortWithinPartitions("key", "rep")
+    """key, n, rep, component, text -> links a, b between different components, one for each two components of a group at least.
+
+    Of a group's pairs that share their first band here, those that pass
+    the estimate are confirmed on their full sets, likeliest first; pairs
+    whose components a link has joined by then need no test.
+    """
+    rows = blocks(rows).select("key", "lo", "hi", "own", "rep", "component", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in grouped(batches, 1):
-            held = list(group)
-            ids = np.array([r["rep"] for r in held], np.int64)
-            places = np.array([r["component"] for r in held], np.int64)
-            n = np.array([r["n_shingles"] for r in held], np.int64)
-            kept = np.frombuffer(b"".join(r["registers"] for r in held), "<u2").reshape(len(held), BUCKETS)
-            for at in range(len(held)):
-                later = at + 1 + np.flatnonzero(places[at + 1 :] != places[at])
-                for k in range(0, len(later), 4096):
-                    part = later[k : k + 4096]
-                    ok = part[may_link(kept[at], n[at], kept[part], n[part])]
-                    if len(ok):
-                        yield pa.record_batch([pa.array(np.full(len(ok), ids[at])), pa.array(ids[ok])], ["a", "b"])
+        for (key, lo, hi), group in grouped(batches, 3):
+            if links := joined(key, lo == hi, list(group)):
+                yield _pairs(links)
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def joined(key: int, whole: bool, held: list[dict]) -> list[tuple[int, int]]:
+    """Links between the components of one group (of at most two blocks)."""
+    sets = [shingles(r["text"]) for r in held]
+    kept = np.stack([registers(x) for x in sets])
+    n = np.array([len(x) for x in sets], np.int64)
+    keys = band_keys(kept)
+    own = np.array([r["own"] for r in held])
+    component = np.unique(np.array([r["component"] for r in held]), return_inverse=True)[1]
+    parent = list(range(len(held)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links: list[tuple[int, int]] = []
+    roots = np.array([root(c) for c in component])
+    for at in range(len(held)):
+        later = at + 1 + np.flatnonzero((roots[at + 1 :] != roots[at]) & (whole | (own[at + 1 :] != own[at])))
+        later = later[may_link(kept[at], n[at], kept[later], n[later])]
+        later = later[keys[at, (keys[later] == keys[at]).argmax(1)] == key]
+        for other in later[np.argsort(-(kept[later] == kept[at]).sum(1), kind="stable")].tolist():
+            x, y = root(component[at]), root(component[other])
+            if x != y and similar(sets[at], sets[other]):
+                parent[max(x, y)] = min(x, y)
+                links.append((held[at]["rep"], held[other]["rep"]))
+                roots = np.array([root(c) for c in component])
+    return links
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return LINK[1] * shared >= LINK[0] * (len(a) + len(b) - shared)
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; a table of the shared folder."""
     spark = docs.sparkSession
@@ -245,10 +305,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     placed = shared.join(part.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = scratch.put(placed, "placed")
-    open_keys = scratch.put(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key"), "open")
-    rest = placed.join(open_keys, "key").join(classes.select("rep", "n_shingles", "registers"), "rep")
-    more = across(rest).distinct().join(met, ["a", "b"], "left_anti")
-    second = scratch.put(confirmed(scratch.put(more, "more"), texts), "second")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    rest = placed.join(scratch.put(open_keys, "open"), "key").join(texts, "rep")
+    second = scratch.put(across(rest), "second")
     every = components(first.unionByName(second), scratch, "c2")
 
     # A component is named by its least document, not by its least class.
