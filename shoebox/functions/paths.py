@@ -55,8 +55,8 @@ def relative(path: Column, user: Column) -> Column:
 def safe_target(path: Column) -> Column:
     """The target folder with forward slashes and none around it; null where it climbs, is absolute or empty."""
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
-    refused = F.contains(slashed, F.lit("..")) | F.startswith(slashed, F.lit("/")) | (F.trim(F.lit("/"), slashed) == "")
-    return F.when(~refused, F.trim(F.lit("/"), slashed))
+    refused = F.contains(slashed, F.lit("..")) | F.startswith(slashed, F.lit("/")) | (F.trim(slashed, F.lit("/")) == "")
+    return F.when(~refused, F.trim(slashed, F.lit("/")))
 
 
 def visible(path: Column) -> Column:

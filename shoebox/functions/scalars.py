@@ -15,6 +15,11 @@ NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 LEADING_NUMBER = r"^\s*([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
+def bind(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, as Catalyst copies an expression to each place that names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def is_hash(text: Column) -> Column:
     return F.rlike(text, F.lit(r"\A[0-9a-f]{64}\z"))
 
@@ -90,11 +95,14 @@ def signature_bytes(signature: Column) -> Column:
     padded = F.rpad(code, F.ceil(F.length(code) / 4).cast("int") * 4, F.lit("="))
     sound = F.startswith(bare, F.lit(EMBEDDING_PREFIX)) & F.rlike(code, F.lit("^[A-Za-z0-9+/]+$")) & (F.length(code) % 4 != 1)
     raw = F.try_to_binary(F.when(sound, padded), F.lit("base64"))
-    # A hex digit pair a byte.
-    digits = F.hex(raw)
-    value = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    signed = F.transform(F.sequence(F.lit(0), F.octet_length(raw) - 1), lambda i: F.when(value(i) > 127, value(i) - 256).otherwise(value(i)))
-    return F.when(F.octet_length(raw) > 0, signed)
+
+    def signed(digits: Column) -> Column:
+        """Two hex digits a byte."""
+        byte = lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        both = F.transform(F.sequence(F.lit(0), F.floor(F.length(digits) / 2).cast("int") - 1), byte)
+        return F.when(F.length(digits) > 0, F.transform(both, lambda x: F.when(x > 127, x - 256).otherwise(x)))
+
+    return bind(F.hex(raw), signed)
 
 
 def norm(vector: Column) -> Column:
@@ -103,8 +111,7 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """Scaled to length 1; null for a zero or null vector."""
-    size = norm(vector)
-    return F.when(size > 0, F.transform(vector, lambda x: x / size))
+    return bind(vector, lambda v: bind(norm(v), lambda size: F.when(size > 0, F.transform(v, lambda x: x / size))))
 
 
 def embedding(signature: Column) -> Column:
@@ -122,15 +129,21 @@ def encode_signature(vector: Column, dims: int = 128) -> Column:
 
     The first (n mod dims) runs are one longer than the others.
     """
-    n = F.size(vector)
-    short, longer = F.floor(n / dims).cast("int"), n % dims
-    begin = lambda k: k * short + F.least(k, longer)
-    mean = lambda run: F.aggregate(run, F.lit(0.0), lambda s, x: s + x) / F.size(run)
-    runs = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: mean(F.slice(vector, begin(k) + 1, begin(k + 1) - begin(k))))
-    scaled = unit(F.when(n > dims, runs).otherwise(vector.cast("array<double>")))
-    bytes_ = F.transform(scaled, lambda x: F.greatest(F.least(F.rint(x * 127.0), F.lit(127.0)), F.lit(-127.0)).cast("int"))
-    code = F.base64(F.unhex(F.array_join(F.transform(bytes_, lambda b: F.lpad(F.hex(F.pmod(b, F.lit(256))), 2, "0")), "")))
-    return F.when(scaled.isNotNull(), F.concat(F.lit(EMBEDDING_PREFIX), F.rtrim(F.translate(code, "+/\r\n", "-_"), F.lit("="))))
+
+    def shortened(v: Column) -> Column:
+        n = F.size(v)
+        short, longer = F.floor(n / dims).cast("int"), n % dims
+        begin = lambda k: k * short + F.least(k, longer)
+        mean = lambda run: F.aggregate(run, F.lit(0.0), lambda s, x: s + x) / F.size(run)
+        runs = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: mean(F.slice(v, begin(k) + 1, begin(k + 1) - begin(k))))
+        return F.when(n > dims, runs).otherwise(v)
+
+    def spelled(scaled: Column) -> Column:
+        whole = F.transform(scaled, lambda x: F.greatest(F.least(F.rint(x * 127.0), F.lit(127.0)), F.lit(-127.0)).cast("int"))
+        code = F.base64(F.unhex(F.array_join(F.transform(whole, lambda b: F.lpad(F.hex(F.pmod(b, F.lit(256))), 2, "0")), "")))
+        return F.when(scaled.isNotNull(), F.concat(F.lit(EMBEDDING_PREFIX), F.rtrim(F.translate(code, "+/\r\n", "-_"), F.lit("="))))
+
+    return bind(unit(bind(vector.cast("array<double>"), shortened)), spelled)
 
 
 def hex_distance(a: Column, b: Column) -> Column:
@@ -181,7 +194,7 @@ def face_confidence(box: Column, faces: Column, score: Column, width: Column, he
 def size_text(n: Column) -> Column:
     """1024-based, whole bytes, else one place; 0 is ``0 B``."""
     units = ("B", "KB", "MB", "GB", "TB")
-    step = F.least(F.floor(F.log(F.lit(2.0), n.cast("double")) / 10), F.lit(len(units) - 1)).cast("int")
+    step = F.least(F.floor(F.log2(n.cast("double")) / 10), F.lit(len(units) - 1)).cast("int")
     shown = n / F.pow(F.lit(1024.0), step)
     text = F.when(step == 0, F.format_string("%.0f", shown)).otherwise(F.format_string("%.1f", shown))
     return F.when(n == 0, F.lit("0 B")).otherwise(F.concat(text, F.lit(" "), F.get(F.array(*map(F.lit, units)), step)))

@@ -202,10 +202,14 @@ def class_scores(spark, sf_dir):
     return out.select("file_id", *(F.round(f"s_{c}", 9).alias(c) for c in classify.CATEGORIES))
 
 
+def prefixed(category):
+    return lambda x: F.concat(F.lit(f"{category}/"), x)
+
+
 @query
 def class_indicators(spark, sf_dir):
     out = classify.scores(fixtures.photo_attrs(spark, sf_dir))
-    names = F.explode(F.array(*(F.transform(f"i_{c}", lambda x, c=c: F.concat(F.lit(f"{c}/"), x)) for c in classify.CATEGORIES)))
+    names = F.explode(F.array(*(F.transform(f"i_{c}", prefixed(c)) for c in classify.CATEGORIES)))
     return out.select("file_id", names.alias("xs")).select(F.explode("xs").alias("indicator")).groupBy("indicator").agg(F.count("*").alias("files"))
 
 

@@ -124,6 +124,14 @@ def trimmed_target() -> str:
     return f"CASE WHEN contains({t}, '..') OR starts_with({t}, '/') THEN NULL ELSE trim({t}, '/') END"
 
 
+# The worker's prompts as label names, in order.
+PROMPT_NAMES = (
+    "'a_document_scan_with_text','a_screenshot_of_an_app_or_website','an_invoice_or_receipt','printed_page_with_mostly_text','an_internet_meme','a_social_media_post_image','a_funny_image_with_caption_text',"
+    "'chat_app_forwarded_image','a_nature_landscape','mountains,_forest,_sea,_or_outdoor_scenery_with_no_close_people','a_travel_landscape_photo','outdoor_scenic_view','a_family_photo_with_people','people_portrait',"
+    "'group_of_people_indoors_or_outdoors','a_child_or_kids_in_a_photo','a_person_taking_a_selfie','a_photo_of_an_object','product_shot','close-up_of_an_item','indoor_clutter_or_household_items','car_interior_or_dashboard'"
+)
+
+
 ORACLE: dict[str, str] = {
     "dup_groups_all": f"WITH {FILES} {GROUPS.format('files')}",
     "dup_groups_photos": f"WITH {FILES}, {PHOTOS} {GROUPS.format('scoped')}",
@@ -195,6 +203,21 @@ ORACLE: dict[str, str] = {
     "event_delete_cascade": f"WITH {LAST} SELECT t.table_name, CASE WHEN t.cleaned THEN (SELECT count(*) FROM last WHERE op <> 'deleted') ELSE (SELECT count(*) FROM last) END AS rows FROM (VALUES ('file_hashes', true), ('classifications', true), ('file_faces', false), ('file_locations', false)) t(table_name, cleaned)",
     "event_rates": f"WITH {EVENTS} SELECT date_trunc('day', ts) AS start, op, count(*) AS n FROM log GROUP BY ALL",
     "path_functions": f"WITH {FILES} SELECT file_id, regexp_extract(file_path, '[^/]*$') AS base, regexp_replace(file_path, '/?[^/]*$', '') AS folder, file_path AS relative, {trimmed_target()} AS target FROM files",
+    "ml_label_argmax": f"""WITH {FILES}, prompts AS (SELECT unnest(range(22)) AS rank), s AS (SELECT file_id, rank, ((file_id * 31 + rank * 17) % 101) / 128.0::DOUBLE AS score,
+        CASE WHEN rank < 4 THEN 'document' WHEN rank < 8 THEN 'meme' WHEN rank < 12 THEN 'nature' WHEN rank < 17 THEN 'family' ELSE 'object' END AS category FROM files, prompts),
+      t AS (SELECT file_id, category, max(score) AS top, min(rank) AS ord FROM s GROUP BY ALL), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY top DESC, ord) AS n FROM t) WHERE n = 1),
+      names AS (SELECT unnest(range(22)) AS rank, unnest([{PROMPT_NAMES}]) AS name),
+      r AS (SELECT file_id, rank, row_number() OVER (PARTITION BY file_id ORDER BY round_even(score, 4) DESC, rank) AS n FROM s)
+      SELECT w.file_id, w.category, round_even(w.top, 4) AS confidence, a.name AS first, b.name AS fifth FROM w JOIN r r1 ON r1.file_id = w.file_id AND r1.n = 1 JOIN names a ON a.rank = r1.rank
+        JOIN r r5 ON r5.file_id = w.file_id AND r5.n = 5 JOIN names b ON b.rank = r5.rank""",
+    "display_forms": f"""WITH {FILES}, n AS (SELECT *, (file_size * file_size)::DOUBLE AS n FROM files), u AS (SELECT *, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 ELSE 3 END AS k FROM n)
+      SELECT file_id, CASE WHEN n = 0 THEN '0 B' WHEN k = 0 THEN CAST(n::BIGINT AS VARCHAR) || ' B' ELSE CAST(CAST(floor(n * 10 / pow(1024, k) + 0.5) AS BIGINT) // 10 AS VARCHAR) || '.' || CAST(CAST(floor(n * 10 / pow(1024, k) + 0.5) AS BIGINT) % 10 AS VARCHAR)
+        || CASE k WHEN 1 THEN ' KB' WHEN 2 THEN ' MB' ELSE ' GB' END END AS size, CAST(least(100, floor(file_id * 100.0 / 700 + 0.5)) AS INT) AS progress, substr(content_hash, 1, 12) AS preview FROM u""",
+    "ml_breaker": f"""WITH RECURSIVE {EVENTS}, calls AS (SELECT event_id % 16 AS run_id, event_id AS seq, CASE WHEN event_id % 6 = 0 THEN CASE WHEN event_id % 16 = 3 THEN 503 ELSE 200 END WHEN event_id % 5 = 0 THEN 422 ELSE 503 END AS status FROM log),
+      e AS (SELECT *, sum((status = 200)::INT) OVER (PARTITION BY run_id ORDER BY seq) AS epoch FROM calls), s AS (SELECT *, sum((status = 503)::INT) OVER (PARTITION BY run_id, epoch ORDER BY seq) AS streak FROM e),
+      t AS (SELECT run_id, min(seq) AS stop FROM s WHERE status = 503 AND streak >= 5 GROUP BY run_id) SELECT c.run_id, count(*) AS calls, count(*) FILTER (t.stop IS NULL OR c.seq <= t.stop) AS asked FROM calls c LEFT JOIN t USING (run_id) GROUP BY c.run_id""",
+    "cleanup_throttle": f"""WITH RECURSIVE {EVENTS}, idle AS (SELECT DISTINCT user_id, ts FROM log WHERE op <> 'created'), due AS (SELECT user_id, min(ts) AS ts FROM idle GROUP BY user_id
+      UNION ALL SELECT d.user_id, (SELECT min(i.ts) FROM idle i WHERE i.user_id = d.user_id AND i.ts >= d.ts + INTERVAL 300 SECOND) AS ts FROM due d WHERE d.ts IS NOT NULL) SELECT user_id, count(*) AS cleanups FROM due WHERE ts IS NOT NULL GROUP BY user_id""",
     "signature_hashes": f"""WITH {FILES}, s AS (SELECT file_id, user_id, content_hash, repeat(content_hash, CAST(file_id % 4 + 1 AS INT)) AS t FROM files)
       SELECT file_id, CASE WHEN length(t) <= 191 THEN t ELSE 'sig:v1:' || sha256(t) END AS signature, 'person-' || substr(sha1(user_id), 1, 12) AS cluster,
         CAST(list_sum(list_transform(range(1, 65), lambda i: bit_count(xor(('0x' || content_hash[i])::INT, ('0x' || content_hash[65 - i])::INT)))) AS BIGINT) AS distance FROM s""",

@@ -119,7 +119,7 @@ def cleanup_due(requests: DataFrame, seconds: int = CLEANUP_SECONDS) -> DataFram
 
 def due_in_order(requests: DataFrame, seconds: int = CLEANUP_SECONDS) -> DataFrame:
     """The same for a finished table: a fold over each user's times, in order."""
-    idle = requests.where("NOT classifying").select("user_id", F.unix_micros("ts").alias("at"))
+    idle = requests.where("NOT classifying").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     lists = idle.groupBy("user_id").agg(F.array_sort(F.collect_list("at")).alias("ats"))  # a user's page views
 
     def step(acc: Column, at: Column) -> Column:
