@@ -207,8 +207,8 @@ def main_text(page: str) -> str:
             texts.append(text)
     marked = any(b.article and not b.chrome for b in blocks)
     labels = [first_pass(b, t, marked) for b, t in zip(blocks, texts)]
-    # Chrome inside an article doesn't speak for the blocks around it.
-    places = [-1 if b.chrome else b.place for b in blocks]
+    # Chrome and lists of links inside an article don't speak for the blocks around them.
+    places = [-1 if b.chrome or b.article and label == BAD else b.place for b, label in zip(blocks, labels)]
     return " ".join(t for t, keep in zip(texts, second_pass(labels, places)) if keep)
 
 
