@@ -106,15 +106,15 @@ class Profiles:
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
     """Profiles of the non-null languages of rows that aren't held out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Only ids are ranked: keep a share of them that holds the sample, then rank the few that are left.
+    rows = rows.where(~held_out() & F.col("lang").isNotNull())
+    # Only ids are ranked: keep a share of them that holds the sample, then rank the few that are left.  Counting reads no text.
     sizes = rows.groupBy("lang").count().collect()  # one row a language
     order = F.xxhash64("doc_id")
     keep = F.lit(False)
     for r in sizes:
         share = min(1.0, 2.0 * per_language / r["count"])
         keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(order, F.lit(1_000_000)) <= int(share * 1_000_000)))
-    few = rows.where(keep).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1_000_000)), order, "doc_id"))).where(F.col("at") <= per_language)
+    few = rows.where(keep & F.col("text").isNotNull()).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1_000_000)), order, "doc_id"))).where(F.col("at") <= per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, dict[int, int]] = {}

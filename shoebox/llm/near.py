@@ -338,8 +338,9 @@ def one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns: that with the least id.
 
-    Where several rows carry that id, one row of each such id stays.
+    Of several rows with that id one stays.  Rows without an id can't be
+    named as the one to stay: each text of theirs stays once.
     """
-    kept = link(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept"))
-    joined = docs.join(kept.distinct(), docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
-    return joined.dropDuplicates([id_col])
+    kept = link(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
