@@ -3,7 +3,7 @@
 Rules look at each line by itself: symbols, shouting, navigation,
 boilerplate and missing punctuation.  Failing lines are removed, as are
 repeats of an earlier line, and a document that loses more than
-``MAX_LOST`` of its word characters is rejected.  The base statistics
+``MAX_LOST`` of its characters is rejected.  The base statistics
 beside them follow fixed definitions.
 
 Words are runs of characters other than space, tab and the line breaks
@@ -20,10 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Share of a document's word characters that may go with its failing lines.
+#: Share of the characters of a document's lines that may go with the failing ones.
 MAX_LOST = 0.5
-#: Share of a line's words that may carry a symbol.
-MAX_SYMBOL_WORDS = 0.3
 #: Words under which a document fails the base rules.
 MIN_WORDS = 50
 
@@ -39,8 +37,8 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+def has_word(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"[^\x20\x09-\x0D]"))
 
 
 def bind(value: Column, use) -> Column:
@@ -77,25 +75,32 @@ def repeat_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """The per-line rules; a line without a word passes."""
-    bare = F.translate(line, " \t\x0b\x0c\r", "")
-    n = F.length(bare)
-    n_words = F.size(words_of(line))
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]+", ""))
-    upper = F.length(F.regexp_replace(bare, r"[^\p{Lu}]+", ""))
-    symbols = n - F.length(F.translate(bare, "#*$%&|<>{}~^=\\@_", ""))
-    pipes = n - F.length(F.translate(bare, "|", ""))
-    low = F.lower(line)
-    symbolic = symbols * 5 > n
-    shouting = (upper * 2 > letters) & (letters >= 12) & (n_words >= 3)
-    navigation = (pipes >= 2) & (pipes * 2 >= n_words - pipes)
-    no_prose = (letters * 2 < n) & (n >= 8)
-    boilerplate = (n_words <= 12) & F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda b: F.contains(low, b))
-    return (n > 0) & (symbolic | shouting | navigation | no_prose | boilerplate)
+    """The per-line rules; a line without a word passes.
+
+    Counts come from matches of rare characters and from lengths, as
+    those are cheap on long texts.
+    """
+    n_words = F.size(F.split(line, " ", -1))
+    n = F.length(line) - n_words + 1  # characters beside the blanks
+
+    def judged(marks: Column) -> Column:
+        """marks: the characters that are neither letters nor blanks, once joined."""
+        others = F.length(marks)
+        letters = n - others
+        pipes = others - F.length(F.replace(marks, F.lit("|"), F.lit("")))
+        symbols = F.regexp_count(marks, F.lit(r"[#*$%&|<>{}~^=\\@_]"))
+        symbolic = (others * 5 > n) & (symbols * 5 > n)
+        navigation = (pipes >= 2) & (pipes * 2 >= n_words - pipes)
+        no_prose = (letters * 2 < n) & (n >= 8)
+        shouting = (letters >= 12) & (n_words >= 3) & F.rlike(line, F.lit(r"\p{Lu}[^\p{L}]?\p{Lu}")) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 > letters)
+        boilerplate = (n_words <= 12) & bind(F.lower(line), lambda low: F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda b: F.contains(low, b)))
+        return symbolic | navigation | no_prose | shouting | boilerplate
+
+    return has_word(line) & bind(F.regexp_replace(line, r"[\p{L}\x20\x09-\x0D]+", ""), judged)
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """doc_id, base statistics, base_failed, kept, lost (share of word characters removed) and cleaned (the text left)."""
+    """doc_id, base statistics, base_failed, kept, lost (share of characters removed) and cleaned (the text left)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(text_col).isNull().alias("absent"))
     rows = rows.select("*", words_of(F.col("text")).alias("words"), F.split("text", "\n", -1).alias("lines"))
@@ -104,13 +109,13 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
         "text",
         "absent",
         F.size("words").cast("long").alias("n_words"),
-        word_chars(F.col("text")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
-        F.filter("lines", lambda x: word_chars(x) > 0).alias("worded"),
+        F.filter("lines", has_word).alias("worded"),
         F.filter(F.array_distinct("lines"), lambda x: ~line_fails(x)).alias("passing"),
     )
-    left = F.aggregate("passing", F.lit(0).cast("long"), lambda acc, x: acc + word_chars(x))
+    size = lambda ls: F.aggregate(ls, F.lit(0), lambda acc, x: acc + F.length(x))
     rows = rows.select(
         "doc_id",
         "absent",
@@ -119,7 +124,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
         "n_symbols",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.when(F.col("word_chars") > 0, 1 - left / F.col("word_chars")).otherwise(F.lit(0.0)).alias("lost"),
+        F.when(F.col("word_chars") > 0, F.greatest(F.lit(0.0), 1 - size(F.col("passing")) / size(F.col("worded")))).otherwise(F.lit(0.0)).alias("lost"),
         F.array_join("passing", "\n").alias("cleaned"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Boosted, Split, Tree, fit
 from .common import held_out
-from .lines import SPACE, bind, word_chars
+from .lines import SPACE, bind
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 12_000
@@ -43,6 +43,10 @@ FEATURES = (
 )
 
 
+def word_chars(text: Column) -> Column:
+    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+
+
 def statistics(text: Column) -> Column:
     """The FEATURES of a text as an array of doubles."""
 
