@@ -132,3 +132,15 @@ def test_rules_compile_to_what_they_mean(spark):
     got = [q.s for q in spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select(model.score(F.col("x")).alias("s")).collect()]
     raw = model.bias + sum(w * quality.applies(rule, x) for rule, w in model.rules)
     assert np.allclose(got, 1 / (1 + np.exp(-raw))) and ((np.array(got) > 0.5) == y).mean() > 0.97
+
+
+def test_lines_match_their_sql(spark):
+    import duckdb
+
+    from shoebox.llm import entry
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = entry.op9_lines(spark, "/root/testdata/sf0.001")
+    expected = con.sql(entry.oracle_sql()["op9_lines"])
+    assert sorted(map(tuple, got.select(*sorted(got.columns)).collect())) == sorted(expected.select(*sorted(got.columns)).fetchall())
