@@ -90,11 +90,12 @@ def cluster_id(person: Column) -> Column:
 
 def signature_bytes(signature: Column) -> Column:
     """The signed bytes of an embedding signature as array<int>; null if it is none."""
-    bare = trimmed(signature)
-    code = F.translate(F.substring(bare, F.lit(len(EMBEDDING_PREFIX) + 1), F.length(bare)), "-_", "+/")
-    padded = F.rpad(code, F.ceil(F.length(code) / 4).cast("int") * 4, F.lit("="))
-    sound = F.startswith(bare, F.lit(EMBEDDING_PREFIX)) & F.rlike(code, F.lit("^[A-Za-z0-9+/]+$")) & (F.length(code) % 4 != 1)
-    raw = F.try_to_binary(F.when(sound, padded), F.lit("base64"))
+
+    def raw(bare: Column) -> Column:
+        code = F.translate(F.substring(bare, F.lit(len(EMBEDDING_PREFIX) + 1), F.length(bare)), "-_", "+/")
+        sound = F.startswith(bare, F.lit(EMBEDDING_PREFIX)) & F.rlike(code, F.lit("^[A-Za-z0-9+/]+$")) & (F.length(code) % 4 != 1)
+        padded = F.rpad(code, F.ceil(F.length(code) / 4).cast("int") * 4, F.lit("="))
+        return F.try_to_binary(F.when(sound, padded), F.lit("base64"))
 
     def signed(digits: Column) -> Column:
         """Two hex digits a byte."""
@@ -102,7 +103,7 @@ def signature_bytes(signature: Column) -> Column:
         both = F.transform(F.sequence(F.lit(0), F.floor(F.length(digits) / 2).cast("int") - 1), byte)
         return F.when(F.length(digits) > 0, F.transform(both, lambda x: F.when(x > 127, x - 256).otherwise(x)))
 
-    return bind(F.hex(raw), signed)
+    return bind(F.hex(bind(trimmed(signature), raw)), signed)
 
 
 def norm(vector: Column) -> Column:

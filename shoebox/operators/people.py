@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.paths import trimmed
-from shoebox.functions.scalars import cluster_id, cosine, embedding, unit
+from shoebox.functions.scalars import bind, cluster_id, cosine, embedding, unit
 from shoebox.plans.config import CANDIDATES, CLUSTERS, EngineConfig, clamp, page_of
 
 FILE = ["user_id", "file_id"]
@@ -103,11 +103,18 @@ def assigned(faces: DataFrame, refs: DataFrame, people: DataFrame, config: Engin
     exact = refs.join(people.select("user_id", "person"), ["user_id", "person"], "left_semi").groupBy("user_id", "face_signature").agg(F.max_by("person", "label_id").alias("own"))
     arrays = people.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ord", "person", "vector"))).alias("people"))
     joined = rows.join(exact, ["user_id", "face_signature"], "left").join(arrays, "user_id")
-    found = joined.withColumn("near", F.when(F.col("own").isNull() & F.col("vector").isNotNull(), best_of(F.col("vector"), F.col("people")))).drop("people")
-    near = F.col("near.person").isNotNull() & (F.col("near.score") >= config.people_min_similarity) & (F.col("near.score") - F.col("near.second") >= config.people_min_margin)
-    found = found.withColumn("person", F.when(F.col("own").isNotNull(), F.col("own")).when(near, F.col("near.person")))
-    found = found.withColumn("match_score", F.when(F.col("own").isNotNull(), F.lit(1.0)).otherwise(F.col("near.score")))
-    return found.where("person IS NOT NULL").withColumn("confidence", F.coalesce("face_confidence", F.lit(0.0))).drop("near", "own")
+
+    def judged(near: Column) -> Column:
+        """One entry of person and score, or none."""
+        accepted = near["person"].isNotNull() & (near["score"] >= config.people_min_similarity) & (near["score"] - near["second"] >= config.people_min_margin)
+        return F.when(accepted, F.array(F.struct(near["person"].alias("person"), near["score"].alias("score")))).otherwise(none)
+
+    none = F.array().cast("array<struct<person:string,score:double>>")
+    # Exploding keeps the search from being copied into a filter below.
+    nearest = F.when(F.col("vector").isNotNull(), bind(best_of(F.col("vector"), F.col("people")), judged)).otherwise(none)
+    exact_one = F.array(F.struct(F.col("own").alias("person"), F.lit(1.0).alias("score")))
+    found = joined.select(*rows.columns, F.explode(F.when(F.col("own").isNotNull(), exact_one).otherwise(nearest)).alias("_m"))
+    return found.withColumns({"person": F.col("_m.person"), "match_score": F.col("_m.score"), "confidence": F.coalesce("face_confidence", F.lit(0.0))}).drop("_m")
 
 
 def person_files(found: DataFrame) -> DataFrame:
