@@ -1,18 +1,27 @@
 """Packing by lexical retrieval.
 
-Documents are dealt to shards by hash; a shard is a bounded number of
-documents and has a BM25 inverted index of its own over token ids.  A
-document longer than a window fills windows by itself; what is left of
-it waits in the shard.  The longest waiting document seeds a window, the
-index returns its unused neighbours by score, and they fill the window
-in that order; the one that doesn't fit is cut, and its rest keeps
-waiting.  Where no neighbour is left, the longest waiting ones follow.
-So only a shard's last window is short; it is dealt into sequences whose
-lengths are powers of two, which need no padding.
-
-Every id of every document lies in exactly one piece.  Memory is bounded
-by a shard; a shard's result depends on its rows alone, so a lost task
-repeats it exactly.
+Neighbours are the best of the whole corpus by BM25 over token ids, with
+the corpus's document frequencies and mean length.  A document longer
+than a window fills windows by itself; what is left of it waits.  The
+longest waiting document seeds a window, its unused neighbours fill it
+by score; the one that doesn't fit is cut, and its rest keeps waiting.
+Where no neighbour is left, the longest waiting ones follow.  So only
+the last window is short; it is dealt into sequences whose lengths are
+powers of two, which need no padding.
+
+The corpus is searched in rounds: the next seeds in order are sent to
+all index shards, each of a bounded number of documents, and their best
+waiting neighbours are merged.  The driver then fills windows in order.
+A list of neighbours that ends before its window is full ends the round
+before that window, so lists and shards never change the result.
+Weights are rounded to multiples of 2^-24, so sums of them are exact in
+any order.
+
+Every id of every document lies in exactly one piece.  An executor's
+memory is bounded by a shard, a round's seeds and four bytes a document
+of the corpus (its rank); the driver holds about 60 bytes a document.
+Scores are of all pairs of a seed and a document that waits, so work
+grows faster than the input.
 
 Edge cases: a null or empty text has one id, the end of document; a null
 id is kept; repeated rows are packed as often as they occur; no rows
@@ -22,115 +31,219 @@ give no pieces; other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts_of
+from .common import Scratch, map_slices, slices, texts_of
 from .words import word_bpe
 
 WINDOW = 4096
 END_OF_DOCUMENT = 2
-#: Documents of a shard, on average.
+#: Documents of an index shard at most.
 SHARD_DOCUMENTS = 1500
 #: A rest of at least so many tokens whose number is a power of two is a sequence by itself.
 LEAST_ALONE = 256
 #: Ids of a seed with the highest weight that are looked up.
 QUERY_IDS = 32
 K1, B = 1.2, 0.75
+#: Weights are multiples of it.
+UNIT = 2.0**-24
+#: Seeds of a round at most, and seeds whose scores are held at once.
+ROUND_SEEDS, HELD_SEEDS = 4096, 1024
+#: Ids in more than this share of the documents are columns of a matrix; others are added posting by posting.
+COMMON = 0.05
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-COLUMNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+class Corpus:
+    """Document frequencies, number of documents and mean length: what weights depend on."""
+
+    def __init__(self, df: np.ndarray, n: int, mean: float):
+        self.df, self.n, self.mean = df, n, mean
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        self.common = np.flatnonzero(df > max(1, COMMON * n))
+        self.column = np.full(len(df), -1, np.int64)
+        self.column[self.common] = np.arange(len(self.common))
+
+    def weights(self, ids: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of entries, given the size of the document of each."""
+        raw = self.idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / self.mean))
+        return np.rint(raw / UNIT) * UNIT
+
+    def query(self, ids: np.ndarray, tf: np.ndarray, size: int) -> np.ndarray:
+        """The ids of a seed that are looked up: the heaviest that another document has."""
+        useful = self.df[ids] > 1
+        order = np.lexsort((ids[useful], -self.weights(ids[useful], tf[useful], np.full(useful.sum(), size))))
+        return ids[useful][order[:QUERY_IDS]]
+
+
+def terms_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and how often they occur."""
+    return np.unique(tokens, return_counts=True)
+
+
+class Shard:
+    """A BM25 inverted index over some documents of a corpus."""
+
+    def __init__(self, corpus: Corpus, terms: list[tuple[np.ndarray, np.ndarray]], sizes: list[int]):
+        self.corpus, self.n = corpus, len(terms)
+        counts = [len(ids) for ids, _ in terms]
+        ids = np.concatenate([ids for ids, _ in terms]).astype(np.int64)
+        tf = np.concatenate([tf for _, tf in terms]).astype(np.float64)
+        docs = np.repeat(np.arange(self.n), counts)
+        weights = corpus.weights(ids, tf, np.repeat(np.array(sizes, np.float64), counts))
+        common = corpus.column[ids] >= 0
+        self.matrix = np.zeros((len(corpus.common), self.n))
+        self.matrix[corpus.column[ids[common]], docs[common]] = weights[common]
+        order = np.argsort(ids[~common], kind="stable")
+        self.docs, self.weights, rare = docs[~common][order], weights[~common][order], ids[~common][order]
+        found, begins = np.unique(rare, return_index=True)
+        self.spans = dict(zip(found.tolist(), zip(begins.tolist(), [*begins[1:].tolist(), len(rare)])))
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """Of every document for every query, by the query's ids."""
+        counts = [len(q) for q in queries]
+        ids, rows = np.concatenate(queries).astype(np.int64), np.repeat(np.arange(len(queries)), counts)
+        common = self.corpus.column[ids] >= 0
+        asked = np.zeros((len(queries), len(self.corpus.common)))
+        asked[rows[common], self.corpus.column[ids[common]]] = 1
+        out = asked @ self.matrix
+        order = np.argsort(ids[~common], kind="stable")
+        rare, rows = ids[~common][order], rows[~common][order]
+        found, begins = np.unique(rare, return_index=True)
+        for t, begin, end in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(rare)]):
+            if t in self.spans:
+                first, last = self.spans[t]
+                out[rows[begin:end, None], self.docs[None, first:last]] += self.weights[first:last]
+        return out
 
 
 class Index:
-    """A BM25 inverted index over lists of token ids."""
+    """One shard that is the whole corpus."""
 
     def __init__(self, docs: list[np.ndarray]):
-        sizes = np.array([len(d) for d in docs], np.int64)
-        keys = (np.concatenate(docs).astype(np.int64) << 32) | np.repeat(np.arange(len(docs)), sizes)
-        keys.sort()
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        tf = np.diff(np.append(first, len(keys))).astype(np.float64)
-        keys = keys[first]
-        self.docs = (keys & 0xFFFFFFFF).astype(np.int64)
-        ids = keys >> 32
-        begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        df = np.diff(np.append(begins, len(ids)))
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / sizes.mean())
-        self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
-        self.ids, self.begins, self.stops = ids[begins], begins, begins + df
-        self.single = df < 2
-        # Of each document, its entries by weight, for use as a query.
-        entry = np.repeat(np.arange(len(begins)), df)
-        useful = ~self.single[entry]
-        order = np.lexsort((entry[useful], -self.weights[useful], self.docs[useful]))
-        self.entries = entry[useful][order]
-        self.bounds = np.searchsorted(self.docs[useful][order], np.arange(len(docs) + 1))
-        self.n = len(docs)
+        self.terms, self.sizes = [terms_of(d) for d in docs], [len(d) for d in docs]
+        df = np.bincount(np.concatenate([ids for ids, _ in self.terms]), minlength=1 << 16)
+        self.corpus = Corpus(df, len(docs), float(np.mean(self.sizes)))
+        self.shard = Shard(self.corpus, self.terms, self.sizes)
 
     def scores(self, doc: int) -> np.ndarray:
-        """Of every document, by the heaviest ids of one."""
-        chosen = self.entries[self.bounds[doc] : self.bounds[doc + 1]][:QUERY_IDS]
-        if not len(chosen):
-            return np.zeros(self.n)
-        spans = [slice(self.begins[e], self.stops[e]) for e in chosen]
-        return np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        """Of every document for one."""
+        return self.shard.scores([self.corpus.query(*self.terms[doc], self.sizes[doc])])[0]
 
 
-def windows(docs: list[np.ndarray]) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences as lists of (document, start, length)."""
-    start, left = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-    for k, d in enumerate(docs):
-        whole = len(d) // WINDOW * WINDOW
-        for at in range(0, whole, WINDOW):
-            yield [(k, at, WINDOW)]
-        rest = len(d) - whole
-        if rest >= LEAST_ALONE and rest & (rest - 1) == 0:
-            yield [(k, whole, rest)]
-        else:
-            start[k], left[k] = whole, rest
-    if not left.any():
-        return
-    index = Index(docs)
-    by_length = np.lexsort((np.arange(len(docs)), -left))
-    at = 0
-    while True:
-        while at < len(by_length) and not left[by_length[at]]:
-            at += 1
-        if at == len(by_length):
-            return
-        seed = int(by_length[at])
-        space, window = WINDOW, []
+class Best:
+    """The best documents of each query: rows of (query, score, rank), by score and then rank, ``most`` a query."""
+
+    def __init__(self, queries: int, most: int):
+        self.most = most
+        self.least = np.zeros(queries)
+        self.rows = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+
+    def add(self, query: np.ndarray, score: np.ndarray, rank: np.ndarray) -> None:
+        query, score, rank = (np.concatenate(x) for x in zip(self.rows, (query, score, rank)))
+        order = np.lexsort((rank, -score, query))
+        query, score, rank = query[order], score[order], rank[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.most - 1
+        self.least[query[last]] = score[last]
+        self.rows = tuple(x[place < self.most] for x in (query, score, rank))
+
+    def add_scores(self, first: int, scores: np.ndarray, ranks: np.ndarray) -> None:
+        """A matrix of scores of queries from ``first`` on; a score of 0 is no neighbour."""
+        least = self.least[first : first + len(scores)]
+        if scores.shape[1] > self.most:
+            least = np.maximum(least, np.partition(scores, -self.most, axis=1)[:, -self.most]) if not least.all() else least
+        query, doc = np.nonzero((scores >= least[:, None]) & (scores > 0))
+        self.add(query + first, scores[query, doc], ranks[doc])
+
+
+class Filler:
+    """Fills windows from waiting documents, which are numbered by rank, the longest first."""
+
+    def __init__(self, start: np.ndarray, left: np.ndarray):
+        self.start, self.left, self.at = start, left, 0
+        self.waiting = int((left > 0).sum())
+
+    def seeds(self, most: int) -> np.ndarray:
+        while self.at < len(self.left) and not self.left[self.at]:
+            self.at += 1
+        end = self.at + most
+        found = np.flatnonzero(self.left[self.at : end]) + self.at
+        while len(found) < min(most, self.waiting):
+            end += most
+            found = np.flatnonzero(self.left[self.at : end]) + self.at
+        return found[:most]
+
+    def fill(self, seed: int, near: np.ndarray, whole: bool) -> list[tuple[int, int, int]] | None:
+        """A window; None, and nothing taken, if neighbours run out and there may be more."""
+        space, plan = WINDOW, []
 
         def put(k: int) -> None:
             nonlocal space
-            n = int(min(space, left[k]))
-            window.append((k, int(start[k]), n))
-            start[k] += n
-            left[k] -= n
+            n = int(min(space, self.left[k]))
+            plan.append((k, int(self.start[k]), n))
             space -= n
 
         put(seed)
-        if space:
-            scores = index.scores(seed)
-            near = np.flatnonzero((scores > 0) & (left > 0))
-            for k in near[np.argsort(-scores[near], kind="stable")].tolist():
-                if not space:
-                    break
-                put(k)
-        for k in by_length[at:].tolist():
+        for k in near.tolist():
             if not space:
                 break
-            if left[k]:
+            if k != seed and self.left[k]:
                 put(k)
+        if space and not whole:
+            return None
         if space:
-            yield from powers(window)
-        else:
-            yield window
+            taken = {k for k, _, _ in plan}
+            for k in range(self.at, len(self.left)):
+                if not space:
+                    break
+                if self.left[k] and k not in taken:
+                    put(k)
+        for k, _, n in plan:
+            self.start[k] += n
+            self.left[k] -= n
+            self.waiting -= not self.left[k]
+        return plan
+
+
+def own_pieces(n: int) -> tuple[list[tuple[int, int]], int, int]:
+    """Pieces (start, length) that are sequences by themselves, and start and length of what waits."""
+    whole = n // WINDOW * WINDOW
+    own, rest = [(at, WINDOW) for at in range(0, whole, WINDOW)], n - whole
+    if rest >= LEAST_ALONE and rest & (rest - 1) == 0:
+        return [*own, (whole, rest)], n, 0
+    return own, whole, rest
+
+
+def sequences(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    if sum(n for _, _, n in window) < WINDOW:
+        yield from powers(window)
+    else:
+        yield window
+
+
+def windows(docs: list[np.ndarray]) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences as lists of (document, start, length), of a corpus in memory."""
+    start, left = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+    for k, d in enumerate(docs):
+        own, start[k], left[k] = own_pieces(len(d))
+        for piece in own:
+            yield [(k, *piece)]
+    if not left.any():
+        return
+    index = Index(docs)
+    by_length = np.lexsort((np.arange(len(docs)), -left))
+    filler = Filler(start[by_length], left[by_length])
+    while filler.waiting:
+        seed = int(filler.seeds(1)[0])
+        best = Best(1, len(docs))
+        best.add_scores(0, index.scores(int(by_length[seed]))[None, by_length], np.arange(len(docs)))
+        for out in sequences(filler.fill(seed, best.rows[2], True)):
+            yield [(int(by_length[k]), at, n) for k, at, n in out]
 
 
 def powers(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
@@ -150,47 +263,197 @@ def powers(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
             yield out
 
 
-def pieces(shard: int, ids: list[int | None], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    held = 0
-    for k, window in enumerate(windows(docs)):
-        offset = 0
-        for doc, start, n in window:
-            rows.append((ids[doc], start, n, docs[doc][start : start + n].astype("<u4").tobytes(), len(docs[doc]), (shard << 32) | k, offset))
-            offset += n
-        held += offset
-        if held >= 256 * WINDOW:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), COLUMNS.types)], schema=COLUMNS)
-            rows, held = [], 0
-    if rows:
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), COLUMNS.types)], schema=COLUMNS)
-
-
 def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, text, shard -> doc_id, tokens (ids as 16-bit numbers, the end of document among them), shard."""
+    """doc_id, text -> doc_id, tokens (ids as 16-bit numbers, the end of document among them), terms and tf (distinct ids and their counts)."""
     end = np.array([END_OF_DOCUMENT], "<u2").tobytes()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = word_bpe(vocabulary)
-        return pa.record_batch([batch.column(0), pa.array([model.encode(t) + end for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], ["doc_id", "tokens", "shard"])
+        raw = [model.encode(t) + end for t in batch.column(1).to_pylist()]
+        terms = [terms_of(np.frombuffer(r, "<u2")) for r in raw]
+        columns = [raw, [ids.astype("<u2").tobytes() for ids, _ in terms], [tf.astype("<u4").tobytes() for _, tf in terms]]
+        return pa.record_batch([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "tokens", "terms", "tf"])
+
+    return map_slices(docs, work, "doc_id long, tokens binary, terms binary, tf binary")
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """In how many documents each id is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            df += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
+        found = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(found), pa.array(df[found])], ["id", "n"])
+
+    out, df = rows.select("terms").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << 16, np.int64)
+    df[out["id"].to_numpy()] = out["n"].to_numpy()
+    return df
+
+
+class Search:
+    """Rounds of search over ``rows``: key, n, terms, tf."""
+
+    def __init__(self, rows: DataFrame, corpus: Corpus, firsts: np.ndarray, bases: np.ndarray, shard_documents: int):
+        self.rows, self.corpus, self.firsts, self.bases, self.shard_documents = rows, corpus, firsts, bases, shard_documents
+        self.context = rows.sparkSession.sparkContext
+
+    def best(self, seeds: np.ndarray, most: int, ranks: np.ndarray) -> list[np.ndarray]:
+        """Of each seed (a rank), ranks of its best waiting documents; ranks has the rank of each row number, -1 if it doesn't wait."""
+        firsts, bases, size, corpus = self.firsts, self.bases, self.shard_documents, self.context.broadcast(self.corpus)
+        shared, sought = self.context.broadcast(ranks), np.sort(seeds)
+
+        def unpack(batch: pa.RecordBatch, chosen: np.ndarray) -> tuple[list, list]:
+            _, n, ids, tf = (c.to_pylist() for c in batch.take(pa.array(chosen)).columns)
+            return [(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u4")) for a, b in zip(ids, tf)], n
 
-    return map_slices(docs, work, "doc_id long, tokens binary, shard long")
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = shared.value[number(batch.column(0).to_numpy(), firsts, bases)]
+                chosen = np.flatnonzero(np.isin(own, sought))
+                terms, n = unpack(batch, chosen)
+                queries = [corpus.value.query(*t, size).astype("<u2").tobytes() for t, size in zip(terms, n)]
+                yield pa.record_batch([pa.array(own[chosen].astype(np.int64)), pa.array(queries, pa.binary())], ["seed", "ids"])
+
+        rows = self.rows.select("key", "n", "terms", "tf")
+        found = dict(zip(*(c.to_pylist() for c in rows.mapInArrow(look_up, "seed long, ids binary").toArrow().columns)))
+        queries = self.context.broadcast([found[k] for k in seeds.tolist()])
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = [np.frombuffer(q, "<u2") for q in queries.value]
+            best, terms, sizes, own = Best(len(asked), most), [], [], []
+
+            def flush() -> None:
+                shard = Shard(corpus.value, terms, sizes)
+                for at in range(0, len(asked), HELD_SEEDS):
+                    best.add_scores(at, shard.scores(asked[at : at + HELD_SEEDS]), np.array(own, np.int64))
+                terms.clear(), sizes.clear(), own.clear()
+
+            for batch in batches:
+                rank = shared.value[number(batch.column(0).to_numpy(), firsts, bases)]
+                chosen = np.flatnonzero(rank >= 0)
+                while len(chosen):
+                    part, chosen = np.split(chosen, [size - len(own)])
+                    more, n = unpack(batch, part)
+                    terms += more
+                    sizes += n
+                    own += rank[part].tolist()
+                    if len(own) == size:
+                        flush()
+            if own:
+                flush()
+            yield packed(best)
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(seeds), most)
+            for batch in batches:
+                query, score, rank = (c.to_pylist() for c in batch.columns)
+                score, rank = [np.frombuffer(b"".join(x), t) for x, t in ((score, "<f8"), (rank, "<i8"))]
+                best.add(np.repeat(query, [len(x) // 8 for x in batch.column(2).to_pylist()]).astype(np.int64), score, rank)
+            yield packed(best)
+
+        schema = "query long, score binary, rank binary"
+        out = rows.mapInArrow(search, schema).repartition("query").mapInArrow(merge, schema).toArrow()
+        lists = {q: np.frombuffer(r, "<i8") for q, r in zip(out["query"].to_pylist(), out["rank"].to_pylist())}
+        for held in (shared, queries, corpus):
+            held.destroy()
+        return [lists.get(k, np.zeros(0, np.int64)) for k in range(len(seeds))]
+
+
+def number(keys: np.ndarray, firsts: np.ndarray, bases: np.ndarray) -> np.ndarray:
+    """Row numbers without gaps: a key has the partition in its upper bits, and counts up from that partition's first."""
+    part = np.searchsorted(firsts, keys, side="right") - 1
+    return bases[part] + keys - firsts[part]
+
+
+def packed(best: Best) -> pa.RecordBatch:
+    """A row a query."""
+    query, score, rank = best.rows
+    found, begins = np.unique(query, return_index=True)
+    cuts = [*zip(begins.tolist(), [*begins[1:].tolist(), len(query)])]
+    columns = [pa.array([x[a:b].astype(t).tobytes() for a, b in cuts], pa.binary()) for x, t in ((score, "<f8"), (rank, "<i8"))]
+    return pa.record_batch([pa.array(found, pa.int64()), *columns], ["query", "score", "rank"])
+
+
+PLACED = "key long, start long, length long, sequence_id long, offset long"
+
+
+def place(rows: DataFrame, scratch: Scratch, shard_documents: int) -> DataFrame | None:
+    """Where the ids of each row go, as PLACED; None without rows."""
+    facts = rows.select("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), F.xxhash64("tokens").alias("hash"), "n").toArrow()
+    if not facts.num_rows:
+        return None
+    keys, doc_ids, named, hashes, sizes = (c.to_numpy() for c in facts.columns)
+    order = np.argsort(keys)
+    keys, doc_ids, named, hashes, sizes = (x[order] for x in (keys, doc_ids, named, hashes, sizes))
+    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] >> 33 != keys[:-1] >> 33)))
+    corpus = Corpus(frequencies(rows), len(keys), float(sizes.mean()))
+    search = Search(rows, corpus, keys[firsts], firsts, shard_documents)
+    whole = sizes // WINDOW * WINDOW
+    rest = sizes - whole
+    alone = (rest >= LEAST_ALONE) & (rest & (rest - 1) == 0)
+    left = np.where(alone, 0, rest)
+    by_length = np.lexsort((hashes, doc_ids, named, -left))
+    rank = np.empty(len(keys), np.int32)
+    rank[by_length] = np.arange(len(keys))
+    filler = Filler(whole[by_length], left[by_length])
+    sequence, grow, begun = 0, 1, False
+    while filler.waiting:
+        total = int(filler.left.sum())
+        count = min(ROUND_SEEDS, max(HELD_SEEDS // 4, total // WINDOW // 4))
+        # A list is whole where few documents wait; else it has several times what a window of mean rests takes.
+        most = filler.waiting if filler.waiting <= shard_documents else min(filler.waiting, grow * (32 + 4 * -(-WINDOW * filler.waiting // total)))
+        seeds = filler.seeds(count)
+        lists = search.best(seeds, most, np.where(filler.left[rank] > 0, rank, -1))
+        every, out = most == filler.waiting, []
+        for seed, near in zip(seeds.tolist(), lists):
+            if not filler.left[seed]:
+                continue
+            filler.at = max(filler.at, seed)
+            window = filler.fill(seed, near, every or len(near) < most)
+            if window is None:
+                break
+            for parts in sequences(window):
+                offset = 0
+                for k, start, n in parts:
+                    out.append((int(keys[by_length[k]]), start, n, sequence, offset))
+                    offset += n
+                sequence += 1
+        grow = 1 if out else 2 * grow
+        if out:
+            made = pa.table([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "start", "length", "sequence_id", "offset"])
+            rows.sparkSession.createDataFrame(made, PLACED).coalesce(1).write.mode("append").parquet(scratch.path("placed"))
+            begun = True
+    firsts, bases = search.firsts, search.bases
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sequences that a document is by itself, numbered above those of windows."""
+        for batch in batches:
+            made = []
+            for key, at, n in zip(batch.column(0).to_pylist(), number(batch.column(0).to_numpy(), firsts, bases).tolist(), batch.column(1).to_pylist()):
+                made += [(key, start, length, (1 << 62) + (at << 20) + k, 0) for k, (start, length) in enumerate(own_pieces(n)[0])]
+            if made:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*made)], ["key", "start", "length", "sequence_id", "offset"])
+
+    placed = rows.select("key", "n").mapInArrow(own, PLACED)
+    return placed.union(rows.sparkSession.read.schema(PLACED).parquet(scratch.path("placed"))) if begun else placed
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    shards = max(1, -(-docs.count() // shard_documents))
-    # The text takes part, so that rows without an id don't share a shard.
-    dealt = texts_of(docs, id_col, text_col).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    rows = tokens(dealt, vocabulary).repartition("shard").sortWithinPartitions("shard", "doc_id", "tokens")
+    scratch = Scratch(docs.sparkSession, "packing")
+    coded = tokens(texts_of(docs, id_col, text_col), vocabulary).withColumn("n", (F.length("tokens") / 2).cast("long"))
+    rows = scratch.put(coded.select(F.monotonically_increasing_id().alias("key"), "*"), "tokens")
+    placed = place(rows, scratch, shard_documents)
+    if placed is None:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    cut = F.expr("substring(tokens, CAST(2 * start + 1 AS INT), CAST(2 * length AS INT))")
+    out = rows.select("key", "doc_id", "tokens", "n").join(placed, "key").select("doc_id", "start", "length", cut.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = (row for batch in batches for at in range(0, batch.num_rows, 128) for row in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns)))
-        for shard, group in groupby(flat, key=lambda r: r[2]):
-            ids, lists = [], []
-            for doc_id, raw, _ in group:
-                ids.append(doc_id)
-                lists.append(np.frombuffer(raw, "<u2"))
-            yield from pieces(shard, ids, lists)
-
-    return rows.mapInArrow(run, SCHEMA)
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            ids = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in batch.column(3).to_pylist()]
+            yield batch.set_column(3, "ids", pa.array(ids, pa.binary()))
+
+    return out.mapInArrow(widen, SCHEMA)

@@ -102,6 +102,25 @@ def test_neighbours_share_words():
     assert mixed <= 2
 
 
+def test_index_shards_do_not_change_the_windows(spark):
+    """Neighbours come from the whole corpus, whatever a shard holds."""
+    from collections import defaultdict
+
+    r = random.Random(4)
+    topics = [["".join(r.choice("etaoinshrdlu") for _ in range(5)) for _ in range(30)] for _ in range(8)]
+    rows = [(k, " ".join(r.choice(topics[k % 8]) for _ in range(r.randint(100, 900))), None, None, None) for k in range(64)]
+    found = []
+    for size in (1500, 7):
+        sequences = defaultdict(list)
+        for p in packing.pack(frame(spark, rows), WORD, shard_documents=size).collect():
+            sequences[p.sequence_id].append((p.offset, p.doc_id, p.start, p.length))
+        found.append(sorted(sorted(x) for x in sequences.values()))
+    assert found[0] == found[1]
+    model = words.word_bpe(WORD)
+    docs = [np.append(np.frombuffer(model.encode(t), "<u2"), packing.END_OF_DOCUMENT) for _, t, *_ in rows]
+    assert sorted(sorted((start, k, n) for k, start, n in w) for w in packing.windows(docs)) == sorted(sorted((start, k, n) for _, k, start, n in w) for w in found[0])
+
+
 def test_scores_are_bm25():
     docs = [np.array(x, "<u2") for x in ([1, 2, 3, 3], [3, 3, 4], [2, 9, 9, 9, 9], [7])]
     index = packing.Index(docs)
