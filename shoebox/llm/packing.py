@@ -46,8 +46,6 @@ END_OF_DOCUMENT = 2
 SHARD_DOCUMENTS = 1500
 #: A rest of at least so many tokens whose number is a power of two is a sequence by itself.
 LEAST_ALONE = 256
-#: Ids of a seed with the highest weight that are looked up.
-QUERY_IDS = 32
 K1, B = 1.2, 0.75
 #: Weights are multiples of it.
 UNIT = 2.0**-24
@@ -73,11 +71,9 @@ class Corpus:
         raw = self.idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / self.mean))
         return np.rint(raw / UNIT) * UNIT
 
-    def query(self, ids: np.ndarray, tf: np.ndarray, size: int) -> np.ndarray:
-        """The ids of a seed that are looked up: the heaviest that another document has."""
-        useful = self.df[ids] > 1
-        order = np.lexsort((ids[useful], -self.weights(ids[useful], tf[useful], np.full(useful.sum(), size))))
-        return ids[useful][order[:QUERY_IDS]]
+    def query(self, ids: np.ndarray) -> np.ndarray:
+        """The ids of a seed that are looked up: all that another document has."""
+        return ids[self.df[ids] > 1]
 
 
 def terms_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +128,7 @@ class Index:
 
     def scores(self, doc: int) -> np.ndarray:
         """Of every document for one."""
-        return self.shard.scores([self.corpus.query(*self.terms[doc], self.sizes[doc])])[0]
+        return self.shard.scores([self.corpus.query(self.terms[doc][0])])[0]
 
 
 class Best:
@@ -312,8 +308,7 @@ class Search:
             for batch in batches:
                 own = shared.value[number(batch.column(0).to_numpy(), firsts, bases)]
                 chosen = np.flatnonzero(np.isin(own, sought))
-                terms, n = unpack(batch, chosen)
-                queries = [corpus.value.query(*t, size).astype("<u2").tobytes() for t, size in zip(terms, n)]
+                queries = [corpus.value.query(ids).astype("<u2").tobytes() for (ids, _) in unpack(batch, chosen)[0]]
                 yield pa.record_batch([pa.array(own[chosen].astype(np.int64)), pa.array(queries, pa.binary())], ["seed", "ids"])
 
         rows = self.rows.select("key", "n", "terms", "tf")

@@ -137,6 +137,22 @@ def test_scores_are_bm25():
         assert np.allclose(index.scores(seed), expected)
 
 
+def test_scores_count_every_shared_id():
+    """Documents that share only a seed's lighter ids are neighbours too."""
+    docs = [np.array(x, "<u2") for x in ([*range(40), *range(40), *range(100, 110)], [*range(40)], [*range(100, 110)], [7, 8])]
+    index = packing.Index(docs)
+    mean = np.mean([len(d) for d in docs])
+    for seed, d in enumerate(docs):
+        expected = np.zeros(4)
+        for t in set(d.tolist()):
+            df = sum(t in x for x in docs)
+            for k, x in enumerate(docs):
+                tf = (x == t).sum()
+                expected[k] += np.log1p((4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean)) if tf and df > 1 else 0
+        assert np.allclose(index.scores(seed), expected)
+    assert index.scores(0)[2] > 0
+
+
 def test_query_columns(spark):
     from shoebox.llm import entry
 
