@@ -80,8 +80,8 @@ def line_fails(line: Column) -> Column:
     Counts come from matches of rare characters and from lengths, as
     those are cheap on long texts.
     """
-    n_words = F.size(F.split(line, " ", -1))
-    n = F.length(line) - n_words + 1  # characters beside the blanks
+    n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    n = F.length(line) - F.regexp_count(line, F.lit(r"[\x20\x09-\x0D]"))  # characters beside the blanks
 
     def judged(marks: Column) -> Column:
         """marks: the characters that are neither letters nor blanks, once joined."""
@@ -124,7 +124,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
         "n_symbols",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.when(F.col("word_chars") > 0, F.greatest(F.lit(0.0), 1 - size(F.col("passing")) / size(F.col("worded")))).otherwise(F.lit(0.0)).alias("lost"),
+        F.when(F.col("word_chars") > 0, F.greatest(F.lit(0.0), 1 - size(F.filter("passing", has_word)) / size(F.col("worded")))).otherwise(F.lit(0.0)).alias("lost"),
         F.array_join("passing", "\n").alias("cleaned"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -77,6 +77,16 @@ def test_line_rules(spark):
     assert got[0].cleaned == good and got[1].kept and got[1].cleaned == prose(5) and not got[2].kept and got[2].cleaned == ""
 
 
+def test_line_words_are_cut_at_any_white_space(spark):
+    """Indents and tabs are no words, and lines of blanks neither count as text left nor go."""
+    good, blank, indent = prose(7), " " * 400, " " * 12
+    tabbed = "\t".join(["read more"] + ["word"] * 30) + "."
+    texts = [f"{good}\n{indent}Home | About | Contact", f"{good}\n{indent}All rights reserved.", f"{good}\n{tabbed}", "\n".join([good, blank, *(f"{k} All rights reserved to somebody by name." for k in range(40))])]
+    got = {r.doc_id: r for r in lines.clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].cleaned == got[1].cleaned == good and got[2].cleaned == texts[2]
+    assert got[3].cleaned == f"{good}\n{blank}" and got[3].lost == pytest.approx(1 - len(good) / (len(texts[3]) - 41 - len(blank))) and not got[3].kept
+
+
 def test_languages(spark):
     words = {"aa": "tana mora kila", "bb": "xyz zzq qxx"}
     rows = [(k, " ".join(words[lang].split()[(k + j) % 3] for j in range(5)), lang, None, None) for k in range(60) for lang in ("aa", "bb")]
