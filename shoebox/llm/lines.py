@@ -1,7 +1,7 @@
 """Line-first cleaning with DataFrame functions only.
 
 Rules look at each line by itself: symbols, shouting, navigation,
-boilerplate and missing punctuation.  Failing lines are removed, as are
+boilerplate and missing punctuation in short lines.  Failing lines are removed, as are
 repeats of an earlier line, and a document that loses more than
 ``MAX_LOST`` of its characters is rejected.  The base statistics
 beside them follow fixed definitions.
@@ -26,6 +26,11 @@ MAX_LOST = 0.5
 MIN_WORDS = 50
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: Separators of navigation lines.
+SEPARATOR = r"[|\u00bb\u203a\u00b7\u2022\u2192]"
+#: A line of so many words at most that holds no sentence punctuation is a fragment.
+FRAGMENT_WORDS = 8
+SENTENCE = r"[.!?,;:\u2026\u3002\uff01\uff1f\u3001\uff0c]"
 #: Fixed phrases of boilerplate lines.
 BOILERPLATE = (
     "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright (c)", "subscribe to", "sign up for",
@@ -87,14 +92,15 @@ def line_fails(line: Column) -> Column:
         """marks: the characters that are neither letters nor blanks, once joined."""
         others = F.length(marks)
         letters = n - others
-        pipes = others - F.length(F.replace(marks, F.lit("|"), F.lit("")))
+        pipes = F.regexp_count(marks, F.lit(SEPARATOR))
         symbols = F.regexp_count(marks, F.lit(r"[#*$%&|<>{}~^=\\@_]"))
         symbolic = (others * 5 > n) & (symbols * 5 > n)
         navigation = (pipes >= 2) & (pipes * 2 >= n_words - pipes)
         no_prose = (letters * 2 < n) & (n >= 8)
         shouting = (letters >= 12) & (n_words >= 3) & F.rlike(line, F.lit(r"\p{Lu}[^\p{L}]?\p{Lu}")) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 > letters)
         boilerplate = (n_words <= 12) & bind(F.lower(line), lambda low: F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda b: F.contains(low, b)))
-        return symbolic | navigation | no_prose | shouting | boilerplate
+        unpunctuated = (n_words <= FRAGMENT_WORDS) & ~F.rlike(marks, F.lit(SENTENCE))
+        return symbolic | navigation | no_prose | shouting | boilerplate | unpunctuated
 
     return has_word(line) & bind(F.regexp_replace(line, r"[\p{L}\x20\x09-\x0D]+", ""), judged)
 

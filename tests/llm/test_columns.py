@@ -87,6 +87,17 @@ def test_line_words_are_cut_at_any_white_space(spark):
     assert got[3].cleaned == f"{good}\n{blank}" and got[3].lost == pytest.approx(1 - len(good) / (len(texts[3]) - 41 - len(blank))) and not got[3].kept
 
 
+def test_fragments_without_punctuation_go(spark):
+    """One menu item a line is no prose, and other separators than a bar are navigation."""
+    good = "This is a plain sentence, and it stays."
+    menu = [prose(k, 5) for k in range(30)]
+    navigation = "Home, sweet › About › Contact › Jobs"
+    texts = ["\n".join(menu), "\n".join([good, navigation, "A short one."]), prose(8)]
+    got = {r.doc_id: r for r in lines.clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not got[0].base_failed and not got[0].kept and got[0].cleaned == ""
+    assert got[1].cleaned == f"{good}\nA short one." and got[2].cleaned == texts[2]
+
+
 def test_languages(spark):
     words = {"aa": "tana mora kila", "bb": "xyz zzq qxx"}
     rows = [(k, " ".join(words[lang].split()[(k + j) % 3] for j in range(5)), lang, None, None) for k in range(60) for lang in ("aa", "bb")]
