@@ -1,27 +1,29 @@
-"""Packing by lexical retrieval.
-
-Neighbours are the best of the whole corpus by BM25 over token ids, with
-the corpus's document frequencies and mean length.  A document longer
-than a window fills windows by itself; what is left of it waits.  The
-longest waiting document seeds a window, its unused neighbours fill it
-by score; the one that doesn't fit is cut, and its rest keeps waiting.
-Where no neighbour is left, the longest waiting ones follow.  So only
-the last window is short; it is dealt into sequences whose lengths are
-powers of two, which need no padding.
-
-The corpus is searched in rounds: the next seeds in order are sent to
-all index shards, each of a bounded number of documents, and their best
-waiting neighbours are merged.  The driver then fills windows in order.
-A list of neighbours that ends before its window is full ends the round
-before that window, so lists and shards never change the result.
-Weights are rounded to multiples of 2^-24, so sums of them are exact in
-any order.
-
-Every id of every document lies in exactly one piece.  An executor's
-memory is bounded by a shard, a round's seeds and four bytes a document
-of the corpus (its rank); the driver holds about 60 bytes a document.
-Scores are of all pairs of a seed and a document that waits, so work
-grows faster than the input.
+"""Packing by lexical retrieval over a BM25 index that is sharded by content.
+
+Documents are scored by BM25 over token ids, with the corpus's document
+frequencies and mean length.  So that neighbours share a shard, the
+corpus is put in order of content: a tree of principal directions over
+projected BM25 weights deals it into cells of about ``SHARD_DOCUMENTS``
+documents each, and inside a cell documents follow one another by the
+least hash of their ids, which keeps near copies together.  Tasks take
+ranges of that order, and index one shard of it after the other.
+
+A document longer than a window fills windows by itself; what is left of
+it waits.  The longest waiting document of a shard seeds a window, its
+unused neighbours fill it by score; the one that doesn't fit is cut, and
+its rest keeps waiting.  Where no neighbour is left, the longest waiting
+ones follow.  What is too little for a window moves on to the next shard
+of the range; at the range's end it is dealt into sequences whose
+lengths are powers of two, which need no padding.
+
+Every id of every document lies in exactly one piece.  Work and shuffle
+grow in proportion to the input; a task holds one shard, which is bounded
+by documents and by ids; the driver holds document frequencies (one
+number for each id of the vocabulary) and a bounded sample, on which the
+tree's directions are fitted (``SAMPLE`` documents).  Deeper cells than
+the sample can tell apart are cut by random planes.  A hot group of equal
+documents spreads over as many ranges as it needs, as a row's own number
+is the last key of the order.
 
 Edge cases: a null or empty text has one id, the end of document; a null
 id is kept; repeated rows are packed as often as they occur; no rows
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +45,31 @@ from .words import word_bpe
 
 WINDOW = 4096
 END_OF_DOCUMENT = 2
-#: Documents of an index shard at most.
-SHARD_DOCUMENTS = 1500
+#: Documents of an index shard, and tokens of them, at which it is searched.
+SHARD_DOCUMENTS, SHARD_TOKENS = 4096, 4 << 20
 #: A rest of at least so many tokens whose number is a power of two is a sequence by itself.
 LEAST_ALONE = 256
 K1, B = 1.2, 0.75
-#: Weights are multiples of it.
+#: Weights are multiples of it, so that sums of them are exact in any order.
 UNIT = 2.0**-24
-#: Seeds of a round at most, and seeds whose scores are held at once.
-ROUND_SEEDS, HELD_SEEDS = 4096, 1024
-#: Ids in more than this share of the documents are columns of a matrix; others are added posting by posting.
-COMMON = 0.05
+#: Seeds that are scored together, and postings that are added together.
+HELD_SEEDS, HELD_POSTINGS = 32, 1 << 21
+#: Ids in more than this share of a shard's documents are columns of a matrix; others are lists of postings.
+COMMON = 1 / 16
+#: Numbers of a projected document, documents that the tree is fitted on, and levels of it, at most.
+DIMENSIONS, SAMPLE, LEVELS = 256, 8192, 9
+#: Tokens of a range: at most, and so many at least where there are fewer ranges than shuffle partitions.
+RANGE_TOKENS, LEAST_TOKENS = 32 << 20, 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+COLUMNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+def terms_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids of each document, one after the other: the document's number, the id, how often it occurs."""
+    keys = (np.repeat(np.arange(len(docs)), [len(d) for d in docs]) << 16) | np.concatenate(docs)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first] >> 16, keys[first] & 0xFFFF, np.diff(np.append(first, len(keys)))
 
 
 class Corpus:
@@ -62,148 +78,189 @@ class Corpus:
     def __init__(self, df: np.ndarray, n: int, mean: float):
         self.df, self.n, self.mean = df, n, mean
         self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.common = np.flatnonzero(df > max(1, COMMON * n))
-        self.column = np.full(len(df), -1, np.int64)
-        self.column[self.common] = np.arange(len(self.common))
 
     def weights(self, ids: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of entries, given the size of the document of each."""
         raw = self.idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / self.mean))
         return np.rint(raw / UNIT) * UNIT
 
-    def query(self, ids: np.ndarray) -> np.ndarray:
-        """The ids of a seed that are looked up: all that another document has."""
-        return ids[self.df[ids] > 1]
+
+def corpus_of(docs: list[np.ndarray]) -> Corpus:
+    return Corpus(np.bincount(terms_of(docs)[1], minlength=1 << 16), len(docs), float(np.mean([len(d) for d in docs])))
+
+
+# --- the order of content ---
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """A fixed hash of ids to 63 bits."""
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(27))) >> np.uint64(1)).astype(np.int64)
+
+
+HASHES = spread(np.arange(1, (1 << 16) + 1))
+
+
+def projected(corpus: Corpus, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document, its BM25 weights projected to DIMENSIONS numbers of norm 1, and the least hash of its ids."""
+    doc, ids, tf = terms_of(docs)
+    sizes = np.array([len(d) for d in docs], float)
+    hashed = HASHES[ids]
+    weights = np.where(hashed & 1, 1.0, -1.0) * corpus.weights(ids, tf.astype(float), sizes[doc])
+    slot = doc * DIMENSIONS + (hashed >> 1) % DIMENSIONS
+    out = np.bincount(slot, weights, len(docs) * DIMENSIONS).reshape(len(docs), DIMENSIONS)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return out, np.minimum.reduceat(hashed, np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))))
 
 
-def terms_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and how often they occur."""
-    return np.unique(tokens, return_counts=True)
+class Cells:
+    """A tree of principal directions, cut at medians, and random planes below its leaves."""
+
+    def __init__(self, sample: np.ndarray, bits: int):
+        self.levels = min(bits, LEVELS)
+        self.extra = bits - self.levels
+        nodes = 2**self.levels
+        self.direction, self.cut, self.mean = np.zeros((nodes, DIMENSIONS)), np.zeros(nodes), np.zeros((nodes, DIMENSIONS))
+        self.planes = np.random.default_rng(7).standard_normal((DIMENSIONS, self.extra))
+        at = np.ones(len(sample), np.int64)
+        for node in range(1, nodes):
+            mine = np.flatnonzero(at == node)
+            rows = sample[mine] - sample[mine].mean(0) if len(mine) else sample[:0]
+            way = np.random.default_rng(node).standard_normal(DIMENSIONS)
+            for _ in range(12 if len(mine) > 1 else 0):
+                way = rows.T @ (rows @ way)
+                way /= max(np.linalg.norm(way), 1e-12)
+            self.direction[node] = way
+            along = sample[mine] @ way
+            self.cut[node] = np.median(along) if len(mine) else 0.0
+            at[mine] = 2 * node + (along > self.cut[node])
+        for leaf in np.unique(at).tolist():
+            self.mean[leaf - nodes] = sample[at == leaf].mean(0)
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        at = np.ones(len(vectors), np.int64)
+        for _ in range(self.levels):
+            at = 2 * at + (np.einsum("ij,ij->i", vectors, self.direction[at]) > self.cut[at])
+        at -= 2**self.levels
+        if self.extra:
+            for bit in ((vectors - self.mean[at]) @ self.planes > 0).T:
+                at = 2 * at + bit
+        return at
+
+
+# --- one shard ---
 
 
 class Shard:
     """A BM25 inverted index over some documents of a corpus."""
 
-    def __init__(self, corpus: Corpus, terms: list[tuple[np.ndarray, np.ndarray]], sizes: list[int]):
-        self.corpus, self.n = corpus, len(terms)
-        counts = [len(ids) for ids, _ in terms]
-        ids = np.concatenate([ids for ids, _ in terms]).astype(np.int64)
-        tf = np.concatenate([tf for _, tf in terms]).astype(np.float64)
-        docs = np.repeat(np.arange(self.n), counts)
-        weights = corpus.weights(ids, tf, np.repeat(np.array(sizes, np.float64), counts))
-        common = corpus.column[ids] >= 0
-        self.matrix = np.zeros((len(corpus.common), self.n))
-        self.matrix[corpus.column[ids[common]], docs[common]] = weights[common]
-        order = np.argsort(ids[~common], kind="stable")
-        self.docs, self.weights, rare = docs[~common][order], weights[~common][order], ids[~common][order]
-        found, begins = np.unique(rare, return_index=True)
-        self.spans = dict(zip(found.tolist(), zip(begins.tolist(), [*begins[1:].tolist(), len(rare)])))
-
-    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
-        """Of every document for every query, by the query's ids."""
-        counts = [len(q) for q in queries]
-        ids, rows = np.concatenate(queries).astype(np.int64), np.repeat(np.arange(len(queries)), counts)
-        common = self.corpus.column[ids] >= 0
-        asked = np.zeros((len(queries), len(self.corpus.common)))
-        asked[rows[common], self.corpus.column[ids[common]]] = 1
+    def __init__(self, corpus: Corpus, docs: list[np.ndarray]):
+        self.n = len(docs)
+        doc, ids, tf = terms_of(docs)
+        weights = corpus.weights(ids, tf.astype(float), np.array([len(d) for d in docs], float)[doc])
+        useful = corpus.df[ids] > 1  # others are in one document alone
+        order = np.argsort(ids[useful], kind="stable")
+        self.docs, self.weights, ids_here = doc[useful][order], weights[useful][order], ids[useful][order]
+        self.ids, self.begins = np.unique(ids_here, return_index=True)
+        self.counts = np.diff(np.append(self.begins, len(ids_here)))
+        # Of each document, its ids as numbers into ``ids``.
+        self.entries = np.searchsorted(self.ids, ids[useful])
+        self.bounds = np.searchsorted(doc[useful], np.arange(self.n + 1))
+        common = self.counts > max(1, COMMON * self.n)
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((int(common.sum()), self.n))
+        at = np.repeat(self.column, self.counts)
+        self.matrix[at[at >= 0], self.docs[at >= 0]] = self.weights[at >= 0]
+
+    def scores(self, seeds: np.ndarray) -> np.ndarray:
+        """Of every document for each seed, by all ids that they share."""
+        found = [self.entries[self.bounds[s] : self.bounds[s + 1]] for s in seeds.tolist()]
+        row, entry = np.repeat(np.arange(len(seeds)), [len(x) for x in found]), np.concatenate(found) if found else np.zeros(0, np.int64)
+        column = self.column[entry]
+        asked = np.zeros((len(seeds), len(self.matrix)))
+        asked[row[column >= 0], column[column >= 0]] = 1
         out = asked @ self.matrix
-        order = np.argsort(ids[~common], kind="stable")
-        rare, rows = ids[~common][order], rows[~common][order]
-        found, begins = np.unique(rare, return_index=True)
-        for t, begin, end in zip(found.tolist(), begins.tolist(), [*begins[1:].tolist(), len(rare)]):
-            if t in self.spans:
-                first, last = self.spans[t]
-                out[rows[begin:end, None], self.docs[None, first:last]] += self.weights[first:last]
+        row, entry = row[column < 0], entry[column < 0]
+        sizes = self.counts[entry]
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(entry):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_POSTINGS, side="right")))
+            size = sizes[at:stop]
+            places = np.arange(size.sum()) + np.repeat(self.begins[entry[at:stop]] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+            out += np.bincount(np.repeat(row[at:stop] * self.n, size) + self.docs[places], self.weights[places], out.size).reshape(out.shape)
+            at = stop
         return out
 
 
-class Index:
-    """One shard that is the whole corpus."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        self.terms, self.sizes = [terms_of(d) for d in docs], [len(d) for d in docs]
-        df = np.bincount(np.concatenate([ids for ids, _ in self.terms]), minlength=1 << 16)
-        self.corpus = Corpus(df, len(docs), float(np.mean(self.sizes)))
-        self.shard = Shard(self.corpus, self.terms, self.sizes)
-
-    def scores(self, doc: int) -> np.ndarray:
-        """Of every document for one."""
-        return self.shard.scores([self.corpus.query(self.terms[doc][0])])[0]
-
-
-class Best:
-    """The best documents of each query: rows of (query, score, rank), by score and then rank, ``most`` a query."""
-
-    def __init__(self, queries: int, most: int):
-        self.most = most
-        self.least = np.zeros(queries)
-        self.rows = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-
-    def add(self, query: np.ndarray, score: np.ndarray, rank: np.ndarray) -> None:
-        query, score, rank = (np.concatenate(x) for x in zip(self.rows, (query, score, rank)))
-        order = np.lexsort((rank, -score, query))
-        query, score, rank = query[order], score[order], rank[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        last = place == self.most - 1
-        self.least[query[last]] = score[last]
-        self.rows = tuple(x[place < self.most] for x in (query, score, rank))
-
-    def add_scores(self, first: int, scores: np.ndarray, ranks: np.ndarray) -> None:
-        """A matrix of scores of queries from ``first`` on; a score of 0 is no neighbour."""
-        least = self.least[first : first + len(scores)]
-        if scores.shape[1] > self.most:
-            least = np.maximum(least, np.partition(scores, -self.most, axis=1)[:, -self.most]) if not least.all() else least
-        query, doc = np.nonzero((scores >= least[:, None]) & (scores > 0))
-        self.add(query + first, scores[query, doc], ranks[doc])
-
-
-class Filler:
-    """Fills windows from waiting documents, which are numbered by rank, the longest first."""
-
-    def __init__(self, start: np.ndarray, left: np.ndarray):
-        self.start, self.left, self.at = start, left, 0
-        self.waiting = int((left > 0).sum())
-
-    def seeds(self, most: int) -> np.ndarray:
-        while self.at < len(self.left) and not self.left[self.at]:
-            self.at += 1
-        end = self.at + most
-        found = np.flatnonzero(self.left[self.at : end]) + self.at
-        while len(found) < min(most, self.waiting):
-            end += most
-            found = np.flatnonzero(self.left[self.at : end]) + self.at
-        return found[:most]
-
-    def fill(self, seed: int, near: np.ndarray, whole: bool) -> list[tuple[int, int, int]] | None:
-        """A window; None, and nothing taken, if neighbours run out and there may be more."""
-        space, plan = WINDOW, []
-
-        def put(k: int) -> None:
-            nonlocal space
-            n = int(min(space, self.left[k]))
-            plan.append((k, int(self.start[k]), n))
-            space -= n
-
-        put(seed)
-        for k in near.tolist():
-            if not space:
-                break
-            if k != seed and self.left[k]:
-                put(k)
-        if space and not whole:
-            return None
-        if space:
-            taken = {k for k, _, _ in plan}
-            for k in range(self.at, len(self.left)):
-                if not space:
-                    break
-                if self.left[k] and k not in taken:
-                    put(k)
-        for k, _, n in plan:
-            self.start[k] += n
-            self.left[k] -= n
-            self.waiting -= not self.left[k]
-        return plan
+class Pool:
+    """Waiting documents of one range; ``k`` numbers them in order of arrival."""
+
+    def __init__(self, corpus: Corpus, shard_documents: int = SHARD_DOCUMENTS):
+        self.corpus, self.shard_documents = corpus, shard_documents
+        self.docs: list[np.ndarray] = []
+        self.ids: list[int | None] = []
+        self.start: list[int] = []
+        self.left: list[int] = []
+        self.tokens = 0
+
+    def add(self, doc_id: int | None, doc: np.ndarray, start: int, left: int) -> None:
+        self.ids.append(doc_id)
+        self.docs.append(doc)
+        self.start.append(start)
+        self.left.append(left)
+        self.tokens += len(doc)
+
+    def full(self) -> bool:
+        return len(self.docs) >= self.shard_documents or self.tokens >= SHARD_TOKENS
+
+    def windows(self) -> Iterator[list[tuple[int, int, int]]]:
+        """Whole windows as lists of (k, start, length), until too little waits for another one."""
+        left, start = np.array(self.left, np.int64), np.array(self.start, np.int64)
+        waiting = int(left.sum())
+        if waiting >= WINDOW:
+            shard = Shard(self.corpus, self.docs)
+            by_length = np.lexsort((np.arange(len(left)), -left))
+            rank = np.empty(len(left), np.int64)
+            rank[by_length] = np.arange(len(left))
+            at = 0
+        while waiting >= WINDOW:
+            seeds, at = self._seeds(by_length, left, at)
+            for seed, score in zip(seeds.tolist(), shard.scores(seeds)):
+                if not left[seed] or waiting < WINDOW:
+                    continue
+                # Itself, its neighbours by score, the other ones by length.
+                order = np.lexsort((rank, -score))
+                order = order[(left[order] > 0) & (order != seed)]
+                space, window = WINDOW, []
+                for k in [seed, *order.tolist()]:
+                    n = int(min(space, left[k]))
+                    window.append((k, int(start[k]), n))
+                    start[k] += n
+                    left[k] -= n
+                    space -= n
+                    if not space:
+                        break
+                waiting -= WINDOW
+                yield window
+        self.left, self.start = left.tolist(), start.tolist()
+
+    @staticmethod
+    def _seeds(by_length: np.ndarray, left: np.ndarray, at: int) -> tuple[np.ndarray, int]:
+        """The next waiting documents in order, and the place of the first one."""
+        rest = np.flatnonzero(left[by_length[at:]] > 0)[:HELD_SEEDS] + at
+        return by_length[rest], int(rest[0])
+
+    def rest(self) -> list[tuple[int, int, int]]:
+        return [(k, self.start[k], n) for k, n in enumerate(self.left) if n]
+
+    def forget(self) -> None:
+        """Drop what no longer waits."""
+        kept = [(self.ids[k], self.docs[k], start, n) for k, start, n in self.rest()]
+        self.__init__(self.corpus, self.shard_documents)
+        for x in kept:
+            self.add(*x)
 
 
 def own_pieces(n: int) -> tuple[list[tuple[int, int]], int, int]:
@@ -215,33 +272,6 @@ def own_pieces(n: int) -> tuple[list[tuple[int, int]], int, int]:
     return own, whole, rest
 
 
-def sequences(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
-    if sum(n for _, _, n in window) < WINDOW:
-        yield from powers(window)
-    else:
-        yield window
-
-
-def windows(docs: list[np.ndarray]) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences as lists of (document, start, length), of a corpus in memory."""
-    start, left = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-    for k, d in enumerate(docs):
-        own, start[k], left[k] = own_pieces(len(d))
-        for piece in own:
-            yield [(k, *piece)]
-    if not left.any():
-        return
-    index = Index(docs)
-    by_length = np.lexsort((np.arange(len(docs)), -left))
-    filler = Filler(start[by_length], left[by_length])
-    while filler.waiting:
-        seed = int(filler.seeds(1)[0])
-        best = Best(1, len(docs))
-        best.add_scores(0, index.scores(int(by_length[seed]))[None, by_length], np.arange(len(docs)))
-        for out in sequences(filler.fill(seed, best.rows[2], True)):
-            yield [(int(by_length[k]), at, n) for k, at, n in out]
-
-
 def powers(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
     """A short window as sequences whose lengths are powers of two, largest first."""
     total = sum(n for _, _, n in window)
@@ -259,18 +289,45 @@ def powers(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
             yield out
 
 
+Piece = tuple[int | None, np.ndarray, int, int]
+
+
+def sequences(corpus: Corpus, docs: Iterator[tuple[int | None, np.ndarray]], shard_documents: int = SHARD_DOCUMENTS) -> Iterator[list[Piece]]:
+    """Sequences of one range, as lists of (id, document, start, length)."""
+    pool = Pool(corpus, shard_documents)
+
+    def named(window: list[tuple[int, int, int]]) -> list[Piece]:
+        return [(pool.ids[k], pool.docs[k], start, n) for k, start, n in window]
+
+    for doc_id, doc in docs:
+        own, start, left = own_pieces(len(doc))
+        for piece in own:
+            yield [(doc_id, doc, *piece)]
+        if left:
+            pool.add(doc_id, doc, start, left)
+        if pool.full():
+            yield from map(named, pool.windows())
+            pool.forget()
+    yield from map(named, pool.windows())
+    yield from map(named, powers(pool.rest()))
+
+
+# --- the corpus ---
+
+
 def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, text -> doc_id, tokens (ids as 16-bit numbers, the end of document among them), terms and tf (distinct ids and their counts)."""
+    """doc_id, text -> doc_id, tokens: ids as 16-bit numbers, the end of document among them."""
     end = np.array([END_OF_DOCUMENT], "<u2").tobytes()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = word_bpe(vocabulary)
-        raw = [model.encode(t) + end for t in batch.column(1).to_pylist()]
-        terms = [terms_of(np.frombuffer(r, "<u2")) for r in raw]
-        columns = [raw, [ids.astype("<u2").tobytes() for ids, _ in terms], [tf.astype("<u4").tobytes() for _, tf in terms]]
-        return pa.record_batch([batch.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "tokens", "terms", "tf"])
+        return pa.record_batch([batch.column(0), pa.array([model.encode(t) + end for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "tokens"])
+
+    return map_slices(docs, work, "doc_id long, tokens binary")
 
-    return map_slices(docs, work, "doc_id long, tokens binary, terms binary, tf binary")
+
+def unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
@@ -278,177 +335,68 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            df += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
+        for batch in slices(batches, 0):
+            df += np.bincount(terms_of(unpacked(batch.column(0)))[1], minlength=1 << 16)
         found = np.flatnonzero(df)
         yield pa.record_batch([pa.array(found), pa.array(df[found])], ["id", "n"])
 
-    out, df = rows.select("terms").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << 16, np.int64)
+    out, df = rows.select("tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << 16, np.int64)
     df[out["id"].to_numpy()] = out["n"].to_numpy()
     return df
 
 
-class Search:
-    """Rounds of search over ``rows``: key, n, terms, tf."""
-
-    def __init__(self, rows: DataFrame, corpus: Corpus, firsts: np.ndarray, bases: np.ndarray, shard_documents: int):
-        self.rows, self.corpus, self.firsts, self.bases, self.shard_documents = rows, corpus, firsts, bases, shard_documents
-        self.context = rows.sparkSession.sparkContext
-
-    def best(self, seeds: np.ndarray, most: int, ranks: np.ndarray) -> list[np.ndarray]:
-        """Of each seed (a rank), ranks of its best waiting documents; ranks has the rank of each row number, -1 if it doesn't wait."""
-        firsts, bases, size, corpus = self.firsts, self.bases, self.shard_documents, self.context.broadcast(self.corpus)
-        shared, sought = self.context.broadcast(ranks), np.sort(seeds)
-
-        def unpack(batch: pa.RecordBatch, chosen: np.ndarray) -> tuple[list, list]:
-            _, n, ids, tf = (c.to_pylist() for c in batch.take(pa.array(chosen)).columns)
-            return [(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u4")) for a, b in zip(ids, tf)], n
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = shared.value[number(batch.column(0).to_numpy(), firsts, bases)]
-                chosen = np.flatnonzero(np.isin(own, sought))
-                queries = [corpus.value.query(ids).astype("<u2").tobytes() for (ids, _) in unpack(batch, chosen)[0]]
-                yield pa.record_batch([pa.array(own[chosen].astype(np.int64)), pa.array(queries, pa.binary())], ["seed", "ids"])
-
-        rows = self.rows.select("key", "n", "terms", "tf")
-        found = dict(zip(*(c.to_pylist() for c in rows.mapInArrow(look_up, "seed long, ids binary").toArrow().columns)))
-        queries = self.context.broadcast([found[k] for k in seeds.tolist()])
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked = [np.frombuffer(q, "<u2") for q in queries.value]
-            best, terms, sizes, own = Best(len(asked), most), [], [], []
-
-            def flush() -> None:
-                shard = Shard(corpus.value, terms, sizes)
-                for at in range(0, len(asked), HELD_SEEDS):
-                    best.add_scores(at, shard.scores(asked[at : at + HELD_SEEDS]), np.array(own, np.int64))
-                terms.clear(), sizes.clear(), own.clear()
-
-            for batch in batches:
-                rank = shared.value[number(batch.column(0).to_numpy(), firsts, bases)]
-                chosen = np.flatnonzero(rank >= 0)
-                while len(chosen):
-                    part, chosen = np.split(chosen, [size - len(own)])
-                    more, n = unpack(batch, part)
-                    terms += more
-                    sizes += n
-                    own += rank[part].tolist()
-                    if len(own) == size:
-                        flush()
-            if own:
-                flush()
-            yield packed(best)
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(len(seeds), most)
-            for batch in batches:
-                query, score, rank = (c.to_pylist() for c in batch.columns)
-                score, rank = [np.frombuffer(b"".join(x), t) for x, t in ((score, "<f8"), (rank, "<i8"))]
-                best.add(np.repeat(query, [len(x) // 8 for x in batch.column(2).to_pylist()]).astype(np.int64), score, rank)
-            yield packed(best)
-
-        schema = "query long, score binary, rank binary"
-        out = rows.mapInArrow(search, schema).repartition("query").mapInArrow(merge, schema).toArrow()
-        lists = {q: np.frombuffer(r, "<i8") for q, r in zip(out["query"].to_pylist(), out["rank"].to_pylist())}
-        for held in (shared, queries, corpus):
-            held.destroy()
-        return [lists.get(k, np.zeros(0, np.int64)) for k in range(len(seeds))]
-
-
-def number(keys: np.ndarray, firsts: np.ndarray, bases: np.ndarray) -> np.ndarray:
-    """Row numbers without gaps: a key has the partition in its upper bits, and counts up from that partition's first."""
-    part = np.searchsorted(firsts, keys, side="right") - 1
-    return bases[part] + keys - firsts[part]
-
-
-def packed(best: Best) -> pa.RecordBatch:
-    """A row a query."""
-    query, score, rank = best.rows
-    found, begins = np.unique(query, return_index=True)
-    cuts = [*zip(begins.tolist(), [*begins[1:].tolist(), len(query)])]
-    columns = [pa.array([x[a:b].astype(t).tobytes() for a, b in cuts], pa.binary()) for x, t in ((score, "<f8"), (rank, "<i8"))]
-    return pa.record_batch([pa.array(found, pa.int64()), *columns], ["query", "score", "rank"])
-
-
-PLACED = "key long, start long, length long, sequence_id long, offset long"
-
-
-def place(rows: DataFrame, scratch: Scratch, shard_documents: int) -> DataFrame | None:
-    """Where the ids of each row go, as PLACED; None without rows."""
-    facts = rows.select("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), F.xxhash64("tokens").alias("hash"), "n").toArrow()
-    if not facts.num_rows:
-        return None
-    keys, doc_ids, named, hashes, sizes = (c.to_numpy() for c in facts.columns)
-    order = np.argsort(keys)
-    keys, doc_ids, named, hashes, sizes = (x[order] for x in (keys, doc_ids, named, hashes, sizes))
-    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] >> 33 != keys[:-1] >> 33)))
-    corpus = Corpus(frequencies(rows), len(keys), float(sizes.mean()))
-    search = Search(rows, corpus, keys[firsts], firsts, shard_documents)
-    whole = sizes // WINDOW * WINDOW
-    rest = sizes - whole
-    alone = (rest >= LEAST_ALONE) & (rest & (rest - 1) == 0)
-    left = np.where(alone, 0, rest)
-    by_length = np.lexsort((hashes, doc_ids, named, -left))
-    rank = np.empty(len(keys), np.int32)
-    rank[by_length] = np.arange(len(keys))
-    filler = Filler(whole[by_length], left[by_length])
-    sequence, grow, begun = 0, 1, False
-    while filler.waiting:
-        total = int(filler.left.sum())
-        count = min(ROUND_SEEDS, max(HELD_SEEDS // 4, total // WINDOW // 4))
-        # A list is whole where few documents wait; else it has several times what a window of mean rests takes.
-        most = filler.waiting if filler.waiting <= shard_documents else min(filler.waiting, grow * (32 + 4 * -(-WINDOW * filler.waiting // total)))
-        seeds = filler.seeds(count)
-        lists = search.best(seeds, most, np.where(filler.left[rank] > 0, rank, -1))
-        every, out = most == filler.waiting, []
-        for seed, near in zip(seeds.tolist(), lists):
-            if not filler.left[seed]:
-                continue
-            filler.at = max(filler.at, seed)
-            window = filler.fill(seed, near, every or len(near) < most)
-            if window is None:
-                break
-            for parts in sequences(window):
-                offset = 0
-                for k, start, n in parts:
-                    out.append((int(keys[by_length[k]]), start, n, sequence, offset))
-                    offset += n
-                sequence += 1
-        grow = 1 if out else 2 * grow
-        if out:
-            made = pa.table([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "start", "length", "sequence_id", "offset"])
-            rows.sparkSession.createDataFrame(made, PLACED).coalesce(1).write.mode("append").parquet(scratch.path("placed"))
-            begun = True
-    firsts, bases = search.firsts, search.bases
+def sampled(rows: DataFrame, corpus: Corpus) -> np.ndarray:
+    """Projected documents, SAMPLE at most: those whose ids and tokens hash lowest."""
+    order = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(1 << 30))
+    few = rows.where(order < int(min(1.0, 1.5 * SAMPLE / corpus.n) * (1 << 30))).orderBy(order, "key").limit(SAMPLE)
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sequences that a document is by itself, numbered above those of windows."""
-        for batch in batches:
-            made = []
-            for key, at, n in zip(batch.column(0).to_pylist(), number(batch.column(0).to_numpy(), firsts, bases).tolist(), batch.column(1).to_pylist()):
-                made += [(key, start, length, (1 << 62) + (at << 20) + k, 0) for k, (start, length) in enumerate(own_pieces(n)[0])]
-            if made:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*made)], ["key", "start", "length", "sequence_id", "offset"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([v.tobytes() for v in projected(corpus, unpacked(batch.column(1)))[0].astype("<f4")], pa.binary())], ["v"])
+
+    found = map_slices(few.select("key", "tokens"), work, "v binary").toArrow()["v"].to_pylist()
+    return np.frombuffer(b"".join(sorted(found)), "<f4").reshape(-1, DIMENSIONS).astype(float)
+
+
+def by_content(rows: DataFrame, corpus: Corpus, cells: Cells, ranges: int) -> DataFrame:
+    """doc_id, tokens in ranges of the order of content."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        vectors, least = projected(corpus, unpacked(batch.column(1)))
+        return pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(cells.of(vectors)), pa.array(least)], ["doc_id", "tokens", "key", "cell", "least"])
 
-    placed = rows.select("key", "n").mapInArrow(own, PLACED)
-    return placed.union(rows.sparkSession.read.schema(PLACED).parquet(scratch.path("placed"))) if begun else placed
+    placed = map_slices(rows.select("doc_id", "tokens", "key"), work, "doc_id long, tokens binary, key long, cell long, least long")
+    return placed.repartitionByRange(ranges, "cell", "least", "key").sortWithinPartitions("cell", "least", "key").select("doc_id", "tokens")
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
-    scratch = Scratch(docs.sparkSession, "packing")
-    coded = tokens(texts_of(docs, id_col, text_col), vocabulary).withColumn("n", (F.length("tokens") / 2).cast("long"))
-    rows = scratch.put(coded.select(F.monotonically_increasing_id().alias("key"), "*"), "tokens")
-    placed = place(rows, scratch, shard_documents)
-    if placed is None:
-        return docs.sparkSession.createDataFrame([], SCHEMA)
-    cut = F.expr("substring(tokens, CAST(2 * start + 1 AS INT), CAST(2 * length AS INT))")
-    out = rows.select("key", "doc_id", "tokens", "n").join(placed, "key").select("doc_id", "start", "length", cut.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", "offset")
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 3):
-            ids = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in batch.column(3).to_pylist()]
-            yield batch.set_column(3, "ids", pa.array(ids, pa.binary()))
-
-    return out.mapInArrow(widen, SCHEMA)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "packing")
+    rows = scratch.put(tokens(texts_of(docs, id_col, text_col), vocabulary).select(F.monotonically_increasing_id().alias("key"), "*"), "tokens")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("tokens")), F.lit(0)) / 2).first()
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
+    corpus = Corpus(frequencies(rows), n, total / n)
+    bits = max(0, int(np.ceil(np.log2(n / shard_documents))))
+    cells = Cells(sampled(rows, corpus) if bits else np.zeros((0, DIMENSIONS)), bits)
+    ranges = max(1, -int(-total // RANGE_TOKENS), min(-int(-total // LEAST_TOKENS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        out: list[tuple] = []
+        held = 0
+        stream = (x for batch in slices(batches) for x in zip(batch.column(0).to_pylist(), unpacked(batch.column(1))))
+        for sequence in sequences(corpus, stream, shard_documents):
+            offset = 0
+            for doc_id, doc, start, size in sequence:
+                out.append((doc_id, start, size, doc[start : start + size].astype("<u4").tobytes(), len(doc), number, offset))
+                offset += size
+            number += 1
+            held += offset
+            if held >= 256 * WINDOW:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), COLUMNS.types)], schema=COLUMNS)
+                out, held = [], 0
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), COLUMNS.types)], schema=COLUMNS)
+
+    return by_content(rows, corpus, cells, ranges).mapInArrow(run, SCHEMA)

@@ -92,38 +92,70 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), WORD).collect() == []
 
 
+def topics(spread=100, groups=10, each=8, seed=1, size=1000):
+    """Documents of each group draw from ids of their own."""
+    r = random.Random(seed)
+    return [np.array([r.randrange(t * spread, t * spread + spread) for _ in range(size)], "<u2") for t in range(groups) for _ in range(each)]
+
+
 def test_neighbours_share_words():
     """Seeds find the documents of their topic."""
-    r = random.Random(1)
-    docs = [np.array([r.randrange(t * 100, t * 100 + 100) for _ in range(1000)], "<u2") for t in range(10) for _ in range(8)]
+    docs = topics()
     mixed = 0
-    for w in packing.windows(docs):
-        mixed += len({k // 8 for k, _, _ in w}) > 2
+    for w in packing.sequences(packing.corpus_of(docs), enumerate(docs)):
+        mixed += len({k // 8 for k, *_ in w}) > 2
     assert mixed <= 2
 
 
-def test_index_shards_do_not_change_the_windows(spark):
-    """Neighbours come from the whole corpus, whatever a shard holds."""
-    from collections import defaultdict
-
+def brute_windows(corpus, docs):
+    """Windows of one shard, from scores that are computed pair by pair."""
+    from collections import Counter
+
+    counts = [Counter(d.tolist()) for d in docs]
+
+    def score(seed, other):
+        out = 0.0
+        for t in counts[seed]:
+            if corpus.df[t] > 1 and t in counts[other]:
+                tf = counts[other][t]
+                raw = np.log1p((corpus.n - corpus.df[t] + 0.5) / (corpus.df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[other]) / corpus.mean))
+                out += round(raw * 2**24) / 2**24
+        return out
+
+    left, start, out = [len(d) for d in docs], [0] * len(docs), []
+    by_length = sorted(range(len(docs)), key=lambda k: -left[k])
+    place = {k: at for at, k in enumerate(by_length)}
+    while sum(left) >= packing.WINDOW:
+        seed = next(k for k in by_length if left[k])
+        space, window = packing.WINDOW, []
+        for k in [seed, *sorted((k for k in range(len(docs)) if k != seed and left[k]), key=lambda k: (-score(seed, k), place[k]))]:
+            n = min(space, left[k])
+            if n:
+                window.append((k, start[k], n))
+                start[k], left[k], space = start[k] + n, left[k] - n, space - n
+        out.append(window)
+    return out
+
+
+def test_windows_are_those_of_brute_force():
     r = random.Random(4)
-    topics = [["".join(r.choice("etaoinshrdlu") for _ in range(5)) for _ in range(30)] for _ in range(8)]
-    rows = [(k, " ".join(r.choice(topics[k % 8]) for _ in range(r.randint(100, 900))), None, None, None) for k in range(64)]
-    found = []
-    for size in (1500, 7):
-        sequences = defaultdict(list)
-        for p in packing.pack(frame(spark, rows), WORD, shard_documents=size).collect():
-            sequences[p.sequence_id].append((p.offset, p.doc_id, p.start, p.length))
-        found.append(sorted(sorted(x) for x in sequences.values()))
-    assert found[0] == found[1]
-    model = words.word_bpe(WORD)
-    docs = [np.append(np.frombuffer(model.encode(t), "<u2"), packing.END_OF_DOCUMENT) for _, t, *_ in rows]
-    assert sorted(sorted((start, k, n) for k, start, n in w) for w in packing.windows(docs)) == sorted(sorted((start, k, n) for _, k, start, n in w) for w in found[0])
+    docs = [np.array([r.choice((r.randrange(40), r.randrange(k % 7 * 100, k % 7 * 100 + 100), r.randrange(3000))) for _ in range(r.randint(20, 1500))], "<u2") for k in range(70)]
+    docs = [d[:-1] if len(d) & (len(d) - 1) == 0 else d for d in docs]
+    corpus = packing.corpus_of(docs)
+    for held, postings, share in ((32, 1 << 21, 1 / 16), (3, 50, 1.0), (100, 1 << 21, 0.0)):
+        was = packing.HELD_SEEDS, packing.HELD_POSTINGS, packing.COMMON
+        packing.HELD_SEEDS, packing.HELD_POSTINGS, packing.COMMON = held, postings, share
+        try:
+            got = [[(k, start, n) for k, _, start, n in s] for s in packing.sequences(corpus, enumerate(docs))]
+        finally:
+            packing.HELD_SEEDS, packing.HELD_POSTINGS, packing.COMMON = was
+        expected = brute_windows(corpus, docs)
+        assert got[: len(expected)] == expected and sum(n for s in got for _, _, n in s) == sum(map(len, docs))
 
 
 def test_scores_are_bm25():
     docs = [np.array(x, "<u2") for x in ([1, 2, 3, 3], [3, 3, 4], [2, 9, 9, 9, 9], [7])]
-    index = packing.Index(docs)
+    scores = packing.Shard(packing.corpus_of(docs), docs).scores(np.arange(4))
     mean = np.mean([len(d) for d in docs])
     for seed, d in enumerate(docs):
         expected = np.zeros(4)
@@ -134,23 +166,37 @@ def test_scores_are_bm25():
             for k, x in enumerate(docs):
                 tf = (x == t).sum()
                 expected[k] += np.log1p((4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean)) if tf else 0
-        assert np.allclose(index.scores(seed), expected)
+        assert np.allclose(scores[seed], expected)
 
 
-def test_scores_count_every_shared_id():
-    """Documents that share only a seed's lighter ids are neighbours too."""
-    docs = [np.array(x, "<u2") for x in ([*range(40), *range(40), *range(100, 110)], [*range(40)], [*range(100, 110)], [7, 8])]
-    index = packing.Index(docs)
-    mean = np.mean([len(d) for d in docs])
-    for seed, d in enumerate(docs):
-        expected = np.zeros(4)
-        for t in set(d.tolist()):
-            df = sum(t in x for x in docs)
-            for k, x in enumerate(docs):
-                tf = (x == t).sum()
-                expected[k] += np.log1p((4 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean)) if tf and df > 1 else 0
-        assert np.allclose(index.scores(seed), expected)
-    assert index.scores(0)[2] > 0
+def test_cells_keep_topics_and_copies_together():
+    """Each topic is in few cells, copies of a document in one, and deeper cells than levels are cut further."""
+    docs = topics(groups=16, each=40)
+    corpus = packing.corpus_of(docs)
+    vectors, least = packing.projected(corpus, docs + docs[:5])
+    cells = packing.Cells(vectors, 4)
+    got = cells.of(vectors)
+    assert (got[-5:] == got[:5]).all() and (least[-5:] == least[:5]).all() and 0 <= got.min() and got.max() < 16
+    together = sum(max(np.bincount(got[t * 40 : t * 40 + 40])) for t in range(16)) / 640
+    assert together > 0.8
+    deeper = packing.Cells(vectors, packing.LEVELS + 3).of(vectors)
+    assert deeper.max() >= 2**packing.LEVELS and deeper.max() < 2 ** (packing.LEVELS + 3)
+
+
+def test_many_ranges_and_shards(spark):
+    """Copies, topics and small shards: every id once, and sequences whole but for the end of a range."""
+    r = random.Random(4)
+    words_ = [["".join(r.choice("etaoinshrdlu") for _ in range(5)) for _ in range(30)] for _ in range(8)]
+    rows = [(k, " ".join(r.choice(words_[k % 8]) for _ in range(r.randint(100, 900))), None, None, None) for k in range(64)]
+    rows += [(100 + k, "same text again", None, None, None) for k in range(60)]
+    was = packing.LEAST_TOKENS
+    packing.LEAST_TOKENS = 4096
+    try:
+        pieces = packing.pack(frame(spark, rows), WORD, shard_documents=7).collect()
+    finally:
+        packing.LEAST_TOKENS = was
+    check_packing(rows, pieces)
+    assert len({p.sequence_id >> 40 for p in pieces}) == 4
 
 
 def test_query_columns(spark):
