@@ -102,3 +102,15 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names; a null text becomes empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of the frame has, whatever their case."""
+    known = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        out.append(name)
+        known.add(name.lower())
+    return out

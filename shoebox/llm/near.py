@@ -13,17 +13,25 @@ class meets the least one; what meets is filtered by the estimated
 Jaccard similarity, corrected for registers that collide by chance, with
 a margin of five standard deviations, then confirmed on the full sets.
 Links give components.  Then, in buckets that still hold classes of
-different components, all such pairs are estimated, and those that pass
-are confirmed too, until a link joins their components.  So a bucket
+different components, all such pairs are estimated from their registers
+alone.  Texts are fetched just for classes with a pair that passes; those
+pairs are confirmed too, until a link joins their components.  So a bucket
 costs pairs only where it isn't one component, and none is cut short.
+Large buckets are cut into blocks, of which any two meet in one task: of
+``BLOCK_ROWS`` classes while registers are compared, and also of
+``BLOCK_CHARS`` of text while texts are.  A row is copied once for each
+block of its bucket, so shuffled rows grow in proportion to a bucket of up
+to ``BLOCK_ROWS`` classes, and with a factor of size / ``BLOCK_ROWS``
+beyond; comparisons of registers in such a bucket are its square.
 
 At the threshold a pair misses all bands with a probability under 1e-5.
 
 Edge cases: null texts and texts without a word have no shingle, are
 linked with nothing and are their own component; repeated rows have
 equal sets; a null id takes part, but the least non-null id names a
-component; rows that share an id but not a text are separate; other
-columns of the input are ignored, and ``deduplicate`` keeps them.
+component; rows that share an id but not a text are separate; an empty
+table gives no rows; very long texts are read whole; other columns of the
+input are ignored, and ``deduplicate`` keeps them.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_slices, texts_of
+from .common import Scratch, fresh, map_slices, texts_of
 from .components import components
 
 SHINGLE = 5
@@ -48,8 +56,10 @@ MANTISSA = 10
 TAIL = 48
 #: Pairs of one class that are confirmed in one group.
 CHUNK = 256
-#: Classes of a bucket in one block.
-BLOCK = 512
+#: Classes of a bucket in one block, and characters of their texts.
+BLOCK_ROWS, BLOCK_CHARS = 8192, 32 << 20
+#: Registers that are compared at once.
+HELD = 1 << 22
 LINK = (75, 100)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,28 +117,33 @@ def chance(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
 
 def may_link(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Whether the estimated similarity of register rows is no further below the threshold than chance explains."""
-    used = ((a != 0) | (b != 0)).sum(-1)
-    same = ((a == b) & (a != 0)).sum(-1)
-    random = chance(n_a.astype(float), n_b.astype(float))
-    share = same / np.maximum(used, 1)
-    estimate = (share - random) / (1 - random)
+    used = np.maximum(((a != 0) | (b != 0)).sum(-1), 1)
+    share = ((a == b) & (a != 0)).sum(-1) / used
     goal = LINK[0] / LINK[1]
-    return estimate >= goal - 5 * np.sqrt(goal * (1 - goal) / np.maximum(used, 1))
+    least = goal - 5 * np.sqrt(goal * (1 - goal) / used)
+    passed = share >= least  # the correction only lowers a share
+    at = np.nonzero(passed)
+    n_a, n_b = np.broadcast_to(n_a, passed.shape)[at].astype(float), np.broadcast_to(n_b, passed.shape)[at].astype(float)
+    random = chance(n_a, n_b)
+    passed[at] = (share[at] - random) / (1 - random) >= least[at]
+    return passed
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (16 bytes, null without a shingle) and registers."""
+    """doc_id, text, mark -> doc_id, mark, n_shingles, n_chars, set_id (16 bytes, null without a shingle) and registers."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, ids, kept = [], [], []
+        n, sizes, ids, kept = [], [], [], []
         for text in batch.column(1).to_pylist():
             found = shingles(text)
             n.append(len(found))
+            sizes.append(len(text))
             ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             kept.append(registers(found).tobytes() if len(found) else None)
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "set_id", "registers"])
+        columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.binary())]
+        return pa.record_batch(columns, ["doc_id", "mark", "n_shingles", "n_chars", "set_id", "registers"])
 
-    return map_slices(docs, work, "doc_id long, n_shingles long, set_id binary, registers binary")
+    return map_slices(docs, work, "doc_id long, mark long, n_shingles long, n_chars long, set_id binary, registers binary")
 
 
 def lenders() -> np.ndarray:
@@ -218,40 +233,101 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of equal keys, from batches in which they follow one another; a group may run over batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        if held and last != tuple(c[0] for c in columns):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if begin:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(begin, end - begin))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def blocks(rows: DataFrame) -> DataFrame:
-    """key, n, rep, ... -> the same with lo, hi and own: large buckets as blocks, of which any two meet in one group."""
-    rows = rows.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return rows.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_blocks", "_other", "n")
+    """key, blocks, rep, ... -> the same with lo, hi and own, a row for each block of the bucket: any two blocks meet in one group."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "other")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+
+
+class Group:
+    """Classes of a bucket that meet in one task; ``component`` numbers their components."""
+
+    def __init__(self, table: pa.Table):
+        self.key, self.whole = table["key"][0].as_py(), table["lo"][0].as_py() == table["hi"][0].as_py()
+        self.rep, self.own, self.n = (table[c].to_numpy() for c in ("rep", "own", "n_shingles"))
+        self.component = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        self.registers = np.frombuffer(b"".join(table["registers"].to_pylist()), "<u2").reshape(len(self.rep), BUCKETS)
+        self._keys = None
+
+    def pairs(self, roots: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different components that pass the estimate and share no earlier band than this bucket's, a few rows at a time."""
+        of = self.component if roots is None else roots
+        step = max(1, HELD // (len(self.rep) * BUCKETS))
+        for at in range(0, len(self.rep), step):
+            own = np.arange(at, min(at + step, len(self.rep)))
+            fits = (of[own][:, None] != of) & (own[:, None] < np.arange(len(self.rep))) & (self.whole | (self.own[own][:, None] != self.own))
+            if not fits.any():
+                continue
+            fits &= may_link(self.registers[own][:, None], self.n[own][:, None], self.registers[None], self.n[None])
+            a, b = np.nonzero(fits)
+            if len(a):
+                if self._keys is None:
+                    self._keys = band_keys(self.registers)
+                a = own[a]
+                first = np.concatenate([(self._keys[x] == self._keys[y]).argmax(1) for x, y in zip(np.array_split(a, 1 + len(a) // 4096), np.array_split(b, 1 + len(a) // 4096))])
+                mine = self._keys[a, first] == self.key
+                yield a[mine], b[mine]
+
+
+def open_classes(rows: DataFrame) -> DataFrame:
+    """key, blocks, rep, component, n_shingles, registers -> key and rep of the classes that have a pair to confirm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["key", "lo", "hi"]):
+            group, found = Group(table), np.zeros(table.num_rows, bool)
+            for a, b in group.pairs():
+                found[a] = found[b] = True
+            if found.any():
+                yield pa.record_batch([pa.array(np.full(found.sum(), group.key)), pa.array(group.rep[found])], ["key", "rep"])
+
+    return blocks(rows).mapInArrow(run, "key long, rep long").distinct()
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """key, n, rep, component, text -> links a, b between different components, one for each two components of a group at least.
+    """key, blocks, rep, component, n_shingles, registers, text -> links a, b between different components.
 
-    Of a group's pairs that share their first band here, those that pass
-    the estimate are confirmed on their full sets, likeliest first; pairs
-    whose components a link has joined by then need no test.
+    For each two components of a group that are linked there it holds at
+    least a path of links: pairs are confirmed on their full sets, row by
+    row and likeliest first; those whose components a link has joined by
+    then need no test.
     """
-    rows = blocks(rows).select("key", "lo", "hi", "own", "rep", "component", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, lo, hi), group in grouped(batches, 3):
-            if links := joined(key, lo == hi, list(group)):
+        for table in groups(batches, ["key", "lo", "hi"]):
+            if links := joined(Group(table), table["text"]):
                 yield _pairs(links)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return blocks(rows).mapInArrow(run, "a long, b long")
 
 
-def joined(key: int, whole: bool, held: list[dict]) -> list[tuple[int, int]]:
-    """Links between the components of one group (of at most two blocks)."""
-    sets = [shingles(r["text"]) for r in held]
-    kept = np.stack([registers(x) for x in sets])
-    n = np.array([len(x) for x in sets], np.int64)
-    keys = band_keys(kept)
-    own = np.array([r["own"] for r in held])
-    component = np.unique(np.array([r["component"] for r in held]), return_inverse=True)[1]
-    parent = list(range(len(held)))
+def joined(group: Group, texts: pa.ChunkedArray) -> list[tuple[int, int]]:
+    """Links between the components of one group."""
+    parent = list(range(len(group.rep)))
+    sets: dict[int, np.ndarray] = {}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -259,18 +335,19 @@ def joined(key: int, whole: bool, held: list[dict]) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
+    def set_of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles(texts[k].as_py())
+        return sets[k]
+
     links: list[tuple[int, int]] = []
-    roots = np.array([root(c) for c in component])
-    for at in range(len(held)):
-        later = at + 1 + np.flatnonzero((roots[at + 1 :] != roots[at]) & (whole | (own[at + 1 :] != own[at])))
-        later = later[may_link(kept[at], n[at], kept[later], n[later])]
-        later = later[keys[at, (keys[later] == keys[at]).argmax(1)] == key]
-        for other in later[np.argsort(-(kept[later] == kept[at]).sum(1), kind="stable")].tolist():
-            x, y = root(component[at]), root(component[other])
-            if x != y and similar(sets[at], sets[other]):
+    for a, b in group.pairs():
+        order = np.lexsort((-(group.registers[a] == group.registers[b]).sum(1), a))
+        for one, other in zip(a[order].tolist(), b[order].tolist()):
+            x, y = root(int(group.component[one])), root(int(group.component[other]))
+            if x != y and similar(set_of(one), set_of(other)):
                 parent[max(x, y)] = min(x, y)
-                links.append((held[at]["rep"], held[other]["rep"]))
-                roots = np.array([root(c) for c in component])
+                links.append((int(group.rep[one]), int(group.rep[other])))
     return links
 
 
@@ -281,13 +358,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; a table of the shared folder."""
+    rows = linked(docs, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, component (a number, null without a shingle) and component_id of each row."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    docs = texts_of(docs, id_col, text_col)
+    scratch, result = Scratch(spark, "near"), Scratch(spark, "near-result")
+    try:
+        return result.put(_linked(texts_of(docs, id_col, text_col).withColumn("mark", F.xxhash64("text")), scratch), "links")
+    finally:
+        scratch.drop()
+
+
+def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sketches = scratch.put(sketch(docs), "sketches")
-    # Classes go by a number of their own, as ids may be null or repeat.
-    classes = sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = scratch.put(classes.select("set_id", F.xxhash64("set_id").alias("rep"), "first_id", "n_shingles", "registers"), "classes")
+    # Classes are numbered, as ids may be null or repeat.  The numbers are written once, so they hold.
+    first = [F.first(c).alias(c) for c in ("n_shingles", "n_chars", "registers")]
+    classes = sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), *first)
+    classes = scratch.put(classes.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
 
     banded = scratch.put(bands(classes), "bands")
     buckets = scratch.put(banded.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "buckets")
@@ -300,28 +390,30 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = scratch.put(one_text(docs, wanted), "texts")
 
     met = scratch.put(estimated(shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), classes), "met")
-    first = scratch.put(confirmed(met, texts), "first")
-    part = scratch.put(components(first, scratch, "c1"), "part")
+    confirmed_ = scratch.put(confirmed(met, texts), "first")
+    part = scratch.put(components(confirmed_, scratch, "c1"), "part")
 
     placed = shared.join(part.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     placed = scratch.put(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-    rest = placed.join(scratch.put(open_keys, "open"), "key").join(texts, "rep")
-    second = scratch.put(across(rest), "second")
-    every = components(first.unionByName(second), scratch, "c2")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
+    open_keys = scratch.put(open_keys.select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), "open")
+    meeting = placed.join(open_keys, "key").join(classes.select("rep", "n_shingles", "registers"), "rep")
+    chosen = scratch.put(open_classes(meeting.select("key", "blocks", "rep", "component", "n_shingles", "registers")), "chosen")
+
+    chosen = chosen.join(placed, ["key", "rep"]).join(classes.select("rep", "n_shingles", "n_chars", "registers"), "rep")
+    sizes = chosen.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_chars") / BLOCK_CHARS)).alias("blocks"))
+    rest = chosen.join(sizes, "key").join(texts, "rep")
+    second = scratch.put(across(rest.select("key", "blocks", "rep", "component", "n_shingles", "registers", "text")), "second")
+    every = components(confirmed_.unionByName(second), scratch, "c2")
 
     # A component is named by its least document, not by its least class.
     named = classes.select("set_id", "rep", "first_id").join(every.withColumnRenamed("vertex", "rep"), "rep", "left")
     named = scratch.put(named.select("set_id", "first_id", F.coalesce("component", "rep").alias("component")), "named")
     least = scratch.put(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
-    of_set = scratch.put(named.join(least, "component").select("set_id", "component_id"), "of_set")
-    out = sketches.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+    of_set = scratch.put(named.join(least, "component").select("set_id", "component", "component_id"), "of_set")
+    out = sketches.select("doc_id", "mark", "n_shingles", "set_id").join(of_set, "set_id", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    result = Scratch(spark, "near-result")
-    out = result.put(out, "links")
-    scratch.drop()
-    return out
+    return out.select("doc_id", "mark", "n_shingles", "component", own.alias("component_id"))
 
 
 def one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -336,11 +428,20 @@ def one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns: that with the least id.
+    """One document of each component, with all its columns: that with the least id, of equal ids that whose text hashes lowest.
 
-    Of several rows with that id one stays.  Rows without an id can't be
-    named as the one to stay: each text of theirs stays once.
+    A row without an id stays only where its component has no other one.
+    Of repeated rows (of one id and text) any one stays.  Rows without a
+    word are linked with nothing, so all of them stay.
     """
-    kept = link(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    rows = linked(docs, id_col, text_col).where("n_shingles > 0")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    first = rows.groupBy("component").agg(F.min(order).alias("x"))
+    keys = fresh(docs, "id", "unnamed", "mark")
+    named = [F.coalesce(F.col("x.doc_id"), F.lit(0)), F.col("x.unnamed"), F.col("x.mark")]
+    chosen = first.select(*(c.alias(k) for c, k in zip(named, keys)))
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))]
+    worded = F.coalesce(F.rlike(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    # Repeated rows go before the join, as partial sums keep a hot one from filling a task.
+    single = docs.where(worded).withColumns(dict(zip(keys, own))).dropDuplicates(keys)
+    return single.join(chosen, keys, "left_semi").select(*docs.columns).unionByName(docs.where(~worded))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 from data import awkward, frame, prose
+from pyspark.sql import functions as F
 
 from shoebox.llm import near
 from shoebox.llm.common import Scratch
@@ -76,30 +77,60 @@ def test_awkward_rows(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is not None, x or 0)) == sorted({d for d, _, _, k in brute(rows) if k}, key=lambda x: (x is not None, x or 0))
 
 
-def test_small_blocks_find_the_same_links():
-    """A bucket cut into blocks links what it links whole."""
-    rows = corpus()[84:]
-    held = [{"rep": k, "component": k, "own": k % 3, "text": r[1]} for k, r in enumerate(rows)]
-    sets = [near.shingles(r["text"]) for r in held]
-    keys = near.band_keys(np.stack([near.registers(s) for s in sets]))
-    found = set()
-    for value in np.unique(keys):
-        group = [h for h, k in zip(held, keys) if value in k]
-        for lo in range(3):
-            for hi in range(lo, 3):
-                found |= set(near.joined(int(value), lo == hi, part)) if (part := [h for h in group if h["own"] in (lo, hi)]) else set()
-    parent = list(range(len(rows)))
+def borderline(n=40, seed=9):
+    """Copies of one text that lie about the threshold from one another."""
+    text = prose(31, 120)
+    return [(k, edited(text, seed * 1000 + k, 0.028), None, None, None) for k in range(n)]
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in found:
-        parent[max(root(a), root(b))] = min(root(a), root(b))
-    expected = [d for d, _, c, _ in brute(rows)]
-    got = [min(rows[j][0] for j in range(len(rows)) if root(j) == root(i)) for i in range(len(rows))]
-    assert got == [c for _, _, c, _ in brute(rows)] and len(expected) == len(got)
+def test_small_blocks_find_the_same_links(spark, monkeypatch):
+    """A bucket cut into blocks links what it links whole."""
+    rows = borderline(90) + corpus()[84:]
+    expected = sorted(brute(rows), key=key)
+    assert len({c for _, _, c, _ in expected}) > 3
+    for block_rows, block_chars in ((8192, 1 << 25), (7, 1 << 25), (8192, 3000)):
+        monkeypatch.setattr(near, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(near, "BLOCK_CHARS", block_chars)
+        got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near.link(frame(spark, rows)).collect()), key=key)
+        assert got == expected
+
+
+def test_rows_of_an_open_bucket_grow_linearly(spark):
+    """Registers travel once for each block of a bucket, and a bucket of 5000 classes is one block."""
+    for n in (1250, 5000):
+        rows = spark.range(n).selectExpr("1L AS key", f"CAST(ceil({n} / {near.BLOCK_ROWS}) AS long) AS blocks", "id AS rep")
+        assert near.blocks(rows).count() == n
+    # 5000 classes of one bucket that don't link: every pair is estimated, no text is fetched.
+    r = np.random.default_rng(1)
+    registers = np.stack([near.registers(np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))) for _ in range(5000)])
+    registers[:, : near.WIDTH] = registers[0, : near.WIDTH]
+    bucket = int(near.band_keys(registers[:1])[0, 0])
+    made = [(bucket, 1, k, k, 300, bytearray(x.tobytes())) for k, x in enumerate(registers)]
+    df = spark.createDataFrame(made, "key long, blocks long, rep long, component long, n_shingles long, registers binary")
+    assert near.open_classes(df).collect() == []
+
+
+def test_groups_run_over_batches():
+    import pyarrow as pa
+
+    keys = [1, 1, 2, 2, 2, 3, 4, 4]
+    for cuts in ([0, 8], [0, 2, 8], [0, 1, 3, 4, 7, 8], [0, 3, 3, 8]):
+        batches = [pa.record_batch([pa.array(keys[a:b], pa.int64())], ["key"]) for a, b in zip(cuts, cuts[1:])]
+        assert [t["key"].to_pylist() for t in near.groups(iter(batches), ["key"])] == [[1, 1], [2, 2, 2], [3], [4, 4]]
+
+
+def test_one_document_of_each_component_stays(spark):
+    """An id that stands for several texts neither loses one nor keeps a duplicate, however rows are dealt."""
+    a, b, c = prose(51), prose(52), prose(53)
+    rows = [(3, b), (8, a), (8, b), (None, c), (None, a), (None, c), (9, ""), (9, ""), (None, None), (8, a)]
+    schema = "doc_id long, text string"
+    for parts in range(1, 9):
+        df = spark.createDataFrame(rows, schema).repartition(parts).withColumns({x: F.lit("clash") for x in ("id", "mark", "unnamed", "component", "rep", "kept")})
+        out = near.deduplicate(df)
+        assert out.columns == df.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        assert got == sorted([(3, b), (8, a), (None, c), (9, ""), (9, ""), (None, None)], key=str)
+    assert near.deduplicate(spark.createDataFrame([], schema)).collect() == []
 
 
 def test_estimates_are_close():
