@@ -2,27 +2,39 @@
 
 The page is read once by a tolerant scanner that tracks which elements
 are open; text between block-level tags forms a block with its length,
-link density, stop-word density and the container it stands in.
+link density, stop-word density and the elements it stands in.
 
-Pass one labels a block bad (chrome elements such as navigation, forms
-or notices, or mostly links), good (long enough, with enough stop words)
-or leaves it undecided (short, or long with few stop words).  Pass two
-gives each undecided block the label of its nearest decided neighbours
-inside the same container: the nearer one, on a tie good.  An article
-container vouches for its undecided blocks that have no decided
-neighbour; outside of one they count as bad.  Where a page marks an article, blocks
-outside it are bad.
+Pass one labels blocks.  Chrome (navigation, headers, footers, forms,
+notices, adverts and comments, by element, role or name) is removed:
+its prose may read like an article's, so no density tells it.  All other
+blocks are labelled by density alone, wherever they stand: bad if mostly
+links; good if long and with enough stop words; else undecided (short, or
+long with few stop words).
+
+Pass two gives undecided blocks the label of their nearest decided
+neighbours.  The innermost element around a block that holds a decided
+one is asked (of the ``DEPTH`` innermost ones, then the page); there the nearer of the two neighbours decides, on a tie the
+good one; a heading asks what follows it first.  Removed chrome speaks for
+nothing outside of it, and a list of links is no neighbour of blocks that
+stand outside of its list.  Blocks without any decided neighbour are kept,
+as are all undecided blocks of a page without a good one.
 
 Edge cases: a null or empty page gives an empty text; unclosed and
 stray tags, a page cut off in the middle of a tag or of a reference, and
-text without any tag are read as browsers do, as far as this needs;
-repeated rows give repeated results; other input columns are ignored.
+text without any tag are read as browsers do, as far as this needs: a
+script, style, text area or title that is never closed runs to the page's
+end, other skipped elements that are never closed end at the next
+block-level tag;
+repeated rows give repeated results; other input columns are ignored; very
+long pages cost time in proportion to their size and depth of elements.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +48,10 @@ LONG_WORDS = 12
 STOP_SHARE = 0.12
 #: Share of a block's characters inside links that makes it bad.
 LINK_SHARE = 0.5
+#: Elements around a block that are asked for neighbours, innermost first.
+DEPTH = 64
+#: What is no letter at a word's ends.
+TRIM = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 # Frequent function words of the languages at hand.
 STOP_WORDS = frozenset(
@@ -47,58 +63,103 @@ STOP_WORDS = frozenset(
     """.split()
 )
 
-# Elements by role.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video textarea select button head title map datalist".split())
+# Elements by role.  RAW ones run to their closing tag; ENDLESS ones of them to the page's end where there is none.
+RAW = frozenset("script style noscript template iframe textarea title".split())
+ENDLESS = frozenset("script style textarea title".split())
+SKIPPED = frozenset("svg math object canvas audio video select button map datalist".split())
 CHROME = frozenset("nav footer header aside form menu dialog fieldset".split())
-ARTICLE = frozenset("article main".split())
+SECTION = frozenset("article main section".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+LIST = frozenset("ul ol dl table".split())
+#: Tags that end a skipped element which was never closed.
+BLOCK = CHROME | SECTION | HEADING | LIST | frozenset("p div li tr td th dd dt blockquote pre figure figcaption address details summary center hr body".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|header|masthead|topbar|toolbar"
-    r"|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|social|share\w*|sharing|comments?|commentlist|respond|replies|disqus"
-    r"|related|recommend\w*|trending|widget\w*|pagination|pager|copyright|legal|disclaimer|skip|search\w*|form)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: Words of a class or id (cut at blanks, hyphens, underscores and capitals) that name chrome.
+CHROME_WORDS = frozenset(
+    """
+    ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs
+    sidebar aside footer foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription
+    signup login social share sharing comment comments commentlist respond replies disqus related recommended recommendations trending widget widgets pagination
+    pager copyright legal disclaimer search
+    """.split()
 )
+#: Words that name chrome only as the whole of a class or id: they also describe articles ("entry-header", "has-form").
+CHROME_NAMES = frozenset("header head form side skip".split())
+#: A name that begins or ends so says what an element has, and not what it is.
+DESCRIBING = frozenset("has with no without is not".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 
 TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|$)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<end>>|$)|<[!?/][^>]*(?:>|$)", re.DOTALL)
 NAMES = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?([\w-]+)", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 GOOD, BAD, OPEN = 1, -1, 0
 
 
+@lru_cache(maxsize=4096)
+def names_chrome(name: str) -> bool:
+    """Whether one class or id names chrome."""
+    if name.lower() in CHROME_NAMES:
+        return True
+    words = [w.lower() for w in WORD.findall(name)]
+    return not DESCRIBING.intersection(words) and not CHROME_WORDS.isdisjoint(words)
+
+
+def is_chrome(attributes: str) -> bool:
+    if not attributes:
+        return False
+    if any(names_chrome(x) for found in NAMES.findall(attributes) for text in found for x in text.split()):
+        return True
+    role = ROLE.search(attributes)
+    return bool(role and role[1].lower() in CHROME_ROLES) or bool(HIDDEN.search(attributes))
+
+
+@lru_cache(maxsize=16)
+def closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*[^>]*(?:>|$)", re.IGNORECASE)
+
+
 class Block:
-    __slots__ = ("text", "linked", "place", "chrome", "article")
+    """Text between block-level tags.  path: numbers of the elements it stands in, outermost first."""
 
-    def __init__(self, place: int, chrome: bool, article: bool):
+    __slots__ = ("text", "linked", "path", "chrome", "heading", "listed")
+
+    def __init__(self, path: tuple[int, ...], chrome: bool, heading: bool, listed: int):
         self.text: list[str] = []
         self.linked = 0
-        self.place, self.chrome, self.article = place, chrome, article
+        self.path, self.chrome, self.heading, self.listed = path, chrome, heading, listed
+
+
+class Element:
+    __slots__ = ("name", "number", "chrome", "listed", "sectioned")
+
+    def __init__(self, name: str, number: int, chrome: bool, listed: int, sectioned: bool):
+        self.name, self.number, self.chrome, self.listed, self.sectioned = name, number, chrome, listed, sectioned
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order.  place: the innermost article container, or 0."""
+    """Blocks in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, chrome, place
-    places, at, size, current = 0, 0, len(page), None
-    in_link = 0
-
-    def context() -> tuple[bool, int]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+    stack: list[Element] = []
+    spans: list[bool] = []  # open inline elements that may be chrome
+    number, at, size, current = 0, 0, len(page), None
+    in_link, hidden, skipped = 0, 0, ""
 
     def say(raw: str) -> None:
         nonlocal current
-        if not raw:
+        if not raw or skipped or hidden:
             return
         if current is None:
             if raw.isspace():
                 return
-            chrome, place = context()
-            current = Block(place, chrome, place > 0)
+            top = stack[-1] if stack else None
+            path = tuple(e.number for e in stack[-DEPTH:])
+            current = Block(path, bool(top and top.chrome), bool(top and top.name in HEADING), top.listed if top else 0)
             found.append(current)
         text = entities.unescape(raw) if "&" in raw else raw
         current.text.append(text)
@@ -117,99 +178,115 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m["close"]:
-            if name == "a":
+            if name == skipped:
+                skipped = ""
+            elif name == "a":
                 in_link = 0
-            if name in INLINE:
+            elif name == "span" and spans:
+                hidden -= spans.pop()
+            if name in INLINE or name in SKIPPED or skipped and name not in BLOCK:
                 continue
-            current = None
+            current, spans, hidden, skipped, in_link = None, [], 0, "", 0
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k].name == name:
                     del stack[k:]
                     break
             continue
         attributes = m["attributes"] or ""
+        if name in RAW:
+            shut = closing(name).search(page, at)
+            at = shut.end() if shut else size if name in ENDLESS else at
+            continue
         if name in SKIPPED:
-            if name not in VOID and not attributes.endswith("/"):
-                shut = re.compile(rf"</{name}\s*[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
-                at = shut.end() if shut else (size if name != "head" else at)
-            if name not in ("svg", "math", "button"):
-                current = None
+            if not attributes.endswith("/"):
+                skipped = skipped or name
             continue
         if name == "a":
             in_link = 1
             continue
-        chrome_here = bool(attributes) and (
-            any(CHROME_NAME.search(x) for t in NAMES.findall(attributes) for x in t if x)
-            or bool((r := ROLE.search(attributes)) and r[1].lower() in CHROME_ROLES)
-            or bool(HIDDEN.search(attributes))
-        )
         if name in INLINE:
-            if chrome_here and name == "span":
-                shut = re.compile(r"</span\s*>", re.IGNORECASE).search(page, at)
-                at = shut.end() if shut else at
+            if name == "span":
+                chrome = is_chrome(attributes)
+                spans.append(chrome)
+                hidden += chrome
             continue
-        current = None
-        in_link = 0
         if name in VOID:
+            if name == "hr":
+                current = None
+            elif name == "br":
+                say(" ")
             continue
-        if name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-        if name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
+        if skipped and name not in BLOCK:
+            continue
+        current, spans, hidden, skipped = None, [], 0, ""
+        if stack and stack[-1].name == name and name in ("p", "li", "td", "th", "tr", "dd", "dt"):
             stack.pop()
-        chrome, place = context()
-        if name in ARTICLE:
-            places += 1
-            place = places
-        # A header inside an article holds its headline.
-        chrome = chrome or chrome_here and name not in ("body", "html", *ARTICLE) or name in CHROME and not (name == "header" and place)
-        stack.append((name, chrome, place))
+            in_link = 0
+        top = stack[-1] if stack else None
+        number += 1
+        sectioned = name in SECTION or bool(top and top.sectioned)
+        own = name not in ("body", "html", *SECTION) and is_chrome(attributes)
+        # A header inside an article or a section holds its headline.
+        own = own or name in CHROME and not (name == "header" and sectioned)
+        listed = number if name in LIST and not (top and top.listed) else top.listed if top else 0
+        stack.append(Element(name, number, own or bool(top and top.chrome), listed, sectioned))
     return found
 
 
-def first_pass(block: Block, text: str, marked: bool) -> int:
-    if block.chrome or marked and not block.article:
-        return BAD
+def stop_share(words: list[str]) -> float:
+    return sum(TRIM.sub("", w) in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(block: Block, text: str) -> int:
+    """Bad, good or undecided, by length, links and stop words."""
     if block.linked > LINK_SHARE * len(text):
         return BAD
     words = text.lower().split()
-    if len(words) >= LONG_WORDS and sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) >= STOP_SHARE * len(words):
+    if len(words) >= LONG_WORDS and stop_share(words) >= STOP_SHARE:
         return GOOD
     return OPEN
 
 
-def second_pass(labels: list[int], places: list[int]) -> list[bool]:
-    """Undecided blocks inherit from the nearest decided ones of their container."""
-    n = len(labels)
-    before: list[tuple[int, int]] = []  # distance, label
-    last: dict[int, tuple[int, int]] = {}
-    for k in range(n):
-        if labels[k]:
-            last[places[k]] = (k, labels[k])
-        before.append((k - last[places[k]][0], last[places[k]][1]) if places[k] in last else (n, OPEN))
-    last.clear()
-    kept = [False] * n
-    for k in range(n - 1, -1, -1):
-        if labels[k]:
-            last[places[k]] = (k, labels[k])
-            kept[k] = labels[k] == GOOD
+def second_pass(blocks: list[Block], labels: list[int]) -> list[bool]:
+    """Undecided blocks inherit from the nearest decided ones of the innermost element around them that holds one."""
+    kept = [label == GOOD for label in labels]
+    if GOOD not in labels:
+        return [label == OPEN for label in labels]
+    # Of each element, the places of its decided blocks.  Blocks of a link list are only known inside of it.
+    decided: dict[int, list[int]] = {0: []}
+    for k, label in enumerate(labels):
+        if label:
+            path, inside = (0, *blocks[k].path), label == GOOD or not blocks[k].listed
+            for element in path:
+                inside = inside or element == blocks[k].listed
+                if inside:
+                    decided.setdefault(element, []).append(k)
+    for k, label in enumerate(labels):
+        if label != OPEN:
             continue
-        after = (last[places[k]][0] - k, last[places[k]][1]) if places[k] in last else (n, OPEN)
-        near = min(before[k], after, key=lambda x: (x[0], -x[1]))
-        kept[k] = near[1] == GOOD or near[1] == OPEN and places[k] > 0
+        kept[k] = True
+        for element in (*reversed(blocks[k].path), 0):
+            places = decided.get(element)
+            if places:
+                i = bisect_left(places, k)
+                before, after = places[i - 1] if i else None, places[i] if i < len(places) else None
+                if before is None or after is None or blocks[k].heading:
+                    kept[k] = labels[before if after is None else after] == GOOD
+                else:
+                    near = min((k - before, -labels[before]), (after - k, -labels[after]))
+                    kept[k] = near[1] == -GOOD
+                break
     return kept
 
 
 def main_text(page: str) -> str:
     blocks, texts = [], []
     for b in blocks_of(page):
-        if text := " ".join("".join(b.text).split()):
+        if not b.chrome and (text := " ".join("".join(b.text).split())):
             blocks.append(b)
             texts.append(text)
-    marked = any(b.article and not b.chrome for b in blocks)
-    labels = [first_pass(b, t, marked) for b, t in zip(blocks, texts)]
-    # Chrome and lists of links inside an article don't speak for the blocks around them.
-    places = [-1 if b.chrome or b.article and label == BAD else b.place for b, label in zip(blocks, labels)]
-    return " ".join(t for t, keep in zip(texts, second_pass(labels, places)) if keep)
+    labels = [first_pass(b, t) for b, t in zip(blocks, texts)]
+    return " ".join(t for t, keep in zip(texts, second_pass(blocks, labels)) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

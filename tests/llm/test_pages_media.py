@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 from data import awkward, frame
+from pyspark.sql import functions as F
 
 from shoebox.llm import html, media
 from shoebox.llm.common import texts_of
@@ -28,12 +29,81 @@ def test_main_text(page, expected):
     assert html.main_text(page) == expected
 
 
+WORDS = "the of and a to in is it for on with that river stone window market letter garden winter music teacher harbour".split()
+
+
+def labelled(seed):
+    """A page without telling tags or names, as blocks of (markup, text, whether it belongs to the article)."""
+    import random
+
+    r = random.Random(seed)
+    some = lambda n: " ".join(r.choice(WORDS) for _ in range(n)).capitalize()
+    rare = lambda n: " ".join(r.choice(WORDS[11:]) for _ in range(n)).capitalize()
+    links = lambda n: "".join(f"<li><a href='/{k}'>{rare(2)}</a></li>" for k in range(n))
+    out = [(f"<div><ul>{links(6)}</ul></div>", "", False), ("<div>", "", True)]
+    for k in range(r.randint(3, 6)):
+        title, long, short = f"{rare(3)} {k}", f"{some(r.randint(30, 60))}.", f"{rare(r.randint(2, 6))}."
+        out += [(f"<h2>{title}</h2>", title, True), (f"<p>{long}</p>", long, True), (f"<p>{short}</p>", short, True)]
+    item = rare(4)
+    out += [(f"<ul><li>{item}</li></ul>", item, True), ("</div>", "", True)]
+    more = rare(2)
+    return [*out, (f"<div><h3>{more}</h3><ul>{links(5)}</ul></div>", more, False), (f"<div><a href='/'>{rare(3)}</a> {rare(1)}</div>", "", False)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_both_passes_decide_on_pages_without_telling_tags(seed, monkeypatch):
+    blocks = labelled(seed)
+    page = f"<body>{''.join(m for m, _, _ in blocks)}</body>"
+    expected = " ".join(t for _, t, keep in blocks if keep and t)
+    assert html.main_text(page) == expected
+    # Without any one rule the text is another one.
+    for name, value in (("LINK_SHARE", 2.0), ("STOP_SHARE", 2.0)):
+        with monkeypatch.context() as m:
+            m.setattr(html, name, value)
+            assert html.main_text(page) != expected
+    with monkeypatch.context() as m:
+        m.setattr(html, "second_pass", lambda blocks, labels: [label == html.GOOD for label in labels])
+        assert html.main_text(page) != expected
+
+
+def test_given_pages_without_their_article_tags():
+    """The tag is no shortcut: the text is the same without it, and link density alone drops menus that are no longer marked."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    for page in pages:
+        whole = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1]
+        expected = html.main_text(f"<article>{whole}</article>")
+        bare = re.sub(r"</?article>", "", page)
+        assert html.main_text(page) == html.main_text(bare) == expected
+        assert html.main_text(re.sub(r"<(/?)nav>", r"<\1div>", bare)) == expected
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f"<div class='content has-sidebar'><p>{TEXT}</p></div>", TEXT), (f"<article><div class='entry-header'><h1>Head</h1></div><p>{TEXT}</p></article>", f"Head {TEXT}"),
+        (f"<div class=pageHeader><p>{TEXT}</p></div><div class=adUnit>{TEXT}</div><div id=mainSidebar>{TEXT}</div>", TEXT),
+        (f"<p>Press <button>here<p>{TEXT}</p>", f"Press {TEXT}"), (f"<p>{TEXT}</p><select><option>One</option><option>Two</option></select><p>End.</p>", f"{TEXT} End."),
+        (f"<p>{TEXT}</p><iframe src=x><p>More.</p>", f"{TEXT} More."), (f"<p>{TEXT}<svg><g><text>no</text></g></svg></p><audio><p>End.</p>", f"{TEXT} End."),
+        (f"<p>{TEXT} <span class=ad>Buy <span>this</span> now</span> x</p>", f"{TEXT} x"), ("<p>漢字の文です。</p><p>短い。</p>", "漢字の文です。 短い。"),
+        (f"<p>{TEXT}</p><a href=x><div>A linked block of the page that is one long link to somewhere else.</div></a>", TEXT), ("<p>Short one.</p><p>Short two.</p>", "Short one. Short two."),
+    ],
+)
+def test_markup_edges(page, expected):
+    assert html.main_text(page) == expected
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article>{TEXT}</article>"), (1, "u", f"<article>{TEXT}</article>"), (2, None, None), (None, "v", ""), (3, "w", "<article><p>é\U0001f642</p>" + "<div>" * 3000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted((r.text, r.n_chars) for r in html.extract(df).collect())
     assert got == sorted([(TEXT, len(TEXT)), (TEXT, len(TEXT)), ("", 0), ("", 0), ("é\U0001f642", 2)])
     assert html.extract(df.limit(0)).collect() == []
+    clash = df.withColumns({c: F.lit("clash") for c in ("text", "n_chars", "doc_id")})
+    assert sorted((r.text, r.n_chars) for r in html.extract(clash).collect()) == got and html.extract(clash).columns == ["page_id", "url", "text", "n_chars"]
 
 
 def test_images_are_lossless():
