@@ -1,33 +1,37 @@
 """Packing by lexical retrieval over a BM25 index that is sharded by content.
 
-Documents are scored by BM25 over token ids, with the corpus's document
-frequencies and mean length.  So that neighbours share a shard, the
-corpus is put in order of content: a tree of principal directions over
-projected BM25 weights deals it into cells of about ``SHARD_DOCUMENTS``
-documents each, and inside a cell documents follow one another by the
-least hash of their ids, which keeps near copies together.  Tasks take
-ranges of that order, and index one shard of it after the other.
-
 A document longer than a window fills windows by itself; what is left of
-it waits.  The longest waiting document of a shard seeds a window, its
-unused neighbours fill it by score; the one that doesn't fit is cut, and
-its rest keeps waiting.  Where no neighbour is left, the longest waiting
-ones follow.  What is too little for a window moves on to the next shard
-of the range; at the range's end it is dealt into sequences whose
-lengths are powers of two, which need no padding.
+it (all of a shorter one) waits, and is what the index holds.  Waiting
+texts are scored by BM25 over token ids, with the document frequencies
+and the mean length of all that wait.  So that neighbours share a shard,
+the corpus is put in order of content: a tree of principal directions
+over projected BM25 weights deals it into cells of about
+``SHARD_DOCUMENTS`` documents each, and inside a cell documents follow
+one another by the least hash of their ids, which keeps near copies
+together.  Tasks take ranges of that order, and index one shard of it
+after the other.
+
+The longest waiting document of a shard seeds a window, its unused
+neighbours fill it by score; the one that doesn't fit is cut, and its
+rest keeps waiting.  Where no neighbour is left, the longest waiting ones
+follow.  What is too little for a window moves on to the next shard of
+the range; at the range's end it is dealt into sequences whose lengths
+are powers of two, which need no padding.
 
 Every id of every document lies in exactly one piece.  Work and shuffle
 grow in proportion to the input; a task holds one shard, which is bounded
-by documents and by ids; the driver holds document frequencies (one
-number for each id of the vocabulary) and a bounded sample, on which the
-tree's directions are fitted (``SAMPLE`` documents).  Deeper cells than
-the sample can tell apart are cut by random planes.  A hot group of equal
-documents spreads over as many ranges as it needs, as a row's own number
-is the last key of the order.
+by documents and by tokens; the driver holds document frequencies (one
+number for each id of the vocabulary) and a bounded sample on which the
+tree is fitted (about ``SAMPLE`` documents).  Cells deeper than the sample
+can tell apart are cut by random planes.  A hot group of equal documents
+spreads over as many ranges as it needs, as a row's own number is the
+last key of the order.
 
 Edge cases: a null or empty text has one id, the end of document; a null
 id is kept; repeated rows are packed as often as they occur; no rows
-give no pieces; other columns of the input are ignored.
+give no pieces; very long texts are cut into windows where they are read,
+and only what waits of them is shuffled; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -195,18 +199,18 @@ class Shard:
 
 
 class Pool:
-    """Waiting documents of one range; ``k`` numbers them in order of arrival."""
+    """Waiting texts of one range; ``k`` numbers them in order of arrival, ``tags`` say whose they are."""
 
     def __init__(self, corpus: Corpus, shard_documents: int = SHARD_DOCUMENTS):
         self.corpus, self.shard_documents = corpus, shard_documents
         self.docs: list[np.ndarray] = []
-        self.ids: list[int | None] = []
+        self.tags: list = []
         self.start: list[int] = []
         self.left: list[int] = []
         self.tokens = 0
 
-    def add(self, doc_id: int | None, doc: np.ndarray, start: int, left: int) -> None:
-        self.ids.append(doc_id)
+    def add(self, tag, doc: np.ndarray, start: int, left: int) -> None:
+        self.tags.append(tag)
         self.docs.append(doc)
         self.start.append(start)
         self.left.append(left)
@@ -257,21 +261,12 @@ class Pool:
 
     def forget(self) -> None:
         """Drop what no longer waits."""
-        kept = [(self.ids[k], self.docs[k], start, n) for k, start, n in self.rest()]
+        kept = [(self.tags[k], self.docs[k], start, n) for k, start, n in self.rest()]
         self.__init__(self.corpus, self.shard_documents)
         for x in kept:
             self.add(*x)
 
 
-def own_pieces(n: int) -> tuple[list[tuple[int, int]], int, int]:
-    """Pieces (start, length) that are sequences by themselves, and start and length of what waits."""
-    whole = n // WINDOW * WINDOW
-    own, rest = [(at, WINDOW) for at in range(0, whole, WINDOW)], n - whole
-    if rest >= LEAST_ALONE and rest & (rest - 1) == 0:
-        return [*own, (whole, rest)], n, 0
-    return own, whole, rest
-
-
 def powers(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
     """A short window as sequences whose lengths are powers of two, largest first."""
     total = sum(n for _, _, n in window)
@@ -289,22 +284,15 @@ def powers(window: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
             yield out
 
 
-Piece = tuple[int | None, np.ndarray, int, int]
-
-
-def sequences(corpus: Corpus, docs: Iterator[tuple[int | None, np.ndarray]], shard_documents: int = SHARD_DOCUMENTS) -> Iterator[list[Piece]]:
-    """Sequences of one range, as lists of (id, document, start, length)."""
+def sequences(corpus: Corpus, docs: Iterator[tuple], shard_documents: int = SHARD_DOCUMENTS) -> Iterator[list[tuple]]:
+    """tag, ids of what waits -> sequences of one range, as lists of (tag, ids, start, length)."""
     pool = Pool(corpus, shard_documents)
 
-    def named(window: list[tuple[int, int, int]]) -> list[Piece]:
-        return [(pool.ids[k], pool.docs[k], start, n) for k, start, n in window]
+    def named(window: list[tuple[int, int, int]]) -> list[tuple]:
+        return [(pool.tags[k], pool.docs[k], start, n) for k, start, n in window]
 
-    for doc_id, doc in docs:
-        own, start, left = own_pieces(len(doc))
-        for piece in own:
-            yield [(doc_id, doc, *piece)]
-        if left:
-            pool.add(doc_id, doc, start, left)
+    for tag, doc in docs:
+        pool.add(tag, doc, 0, len(doc))
         if pool.full():
             yield from map(named, pool.windows())
             pool.forget()
@@ -314,24 +302,62 @@ def sequences(corpus: Corpus, docs: Iterator[tuple[int | None, np.ndarray]], sha
 
 # --- the corpus ---
 
+#: Whether what a document has beyond its own windows is a sequence by itself, or waits.
+ALONE = f"(n % {WINDOW} >= {LEAST_ALONE} AND ((n % {WINDOW}) & (n % {WINDOW} - 1)) = 0)"
+WAITS = f"(n % {WINDOW} > 0 AND NOT {ALONE})"
+REST = f"substring(tokens, CAST(2 * (n - n % {WINDOW}) + 1 AS INT), CAST(2 * (n % {WINDOW}) AS INT))"
+
+
+def encoded(texts: list[str], vocabulary: str) -> list[bytes]:
+    """Ids as little-endian unsigned 16-bit numbers, the end of document among them."""
+    model, end = word_bpe(vocabulary), np.array([END_OF_DOCUMENT], "<u2").tobytes()
+    return [model.encode(t) + end for t in texts]
+
 
-def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, text -> doc_id, tokens: ids as 16-bit numbers, the end of document among them."""
-    end = np.array([END_OF_DOCUMENT], "<u2").tobytes()
+def unpacked(column: pa.Array | list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in (column if isinstance(column, list) else column.to_pylist())]
+
+
+def sampled(docs: DataFrame, n: int, vocabulary: str) -> list[np.ndarray]:
+    """What waits of about SAMPLE documents at most, chosen by a hash of the row's number."""
+    rows = docs.select("text", F.xxhash64(F.monotonically_increasing_id()).alias("at")).where(F.pmod("at", F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))).select("at", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = word_bpe(vocabulary)
-        return pa.record_batch([batch.column(0), pa.array([model.encode(t) + end for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "tokens"])
+        ids = unpacked(encoded(batch.column(1).to_pylist(), vocabulary))
+        return pa.record_batch([batch.column(0), pa.array([x[len(x) // WINDOW * WINDOW :].tobytes() for x in ids], pa.binary())], ["at", "ids"])
+
+    found = map_slices(rows, work, "at long, ids binary").toArrow().sort_by("at")["ids"].to_pylist()
+    return [x for x in unpacked(found) if len(x)]
+
+
+class Router:
+    """Cells that a sample was dealt into, with the weights they were fitted on."""
+
+    def __init__(self, sample: list[np.ndarray], bits: int):
+        self.corpus = corpus_of(sample) if sample else Corpus(np.zeros(1 << 16), 1, 1.0)
+        vectors = [projected(self.corpus, sample[k : k + 256])[0] for k in range(0, len(sample), 256)]
+        self.cells = Cells(np.concatenate(vectors) if vectors else np.zeros((0, DIMENSIONS)), bits)
+
+    def of(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and least hash of each document."""
+        vectors, least = projected(self.corpus, docs)
+        return self.cells.of(vectors), least
 
-    return map_slices(docs, work, "doc_id long, tokens binary")
 
+def placed(docs: DataFrame, router: Router, vocabulary: str) -> DataFrame:
+    """doc_id, text -> doc_id, tokens (16-bit ids), n (of them), cell and least: where it stands in the order of content."""
 
-def unpacked(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = encoded(batch.column(1).to_pylist(), vocabulary)
+        cell, least = router.of(unpacked(raw))
+        columns = [batch.column(0), pa.array(raw, pa.binary()), pa.array([len(x) // 2 for x in raw], pa.int64()), pa.array(cell), pa.array(least)]
+        return pa.record_batch(columns, ["doc_id", "tokens", "n", "cell", "least"])
+
+    return map_slices(docs, work, "doc_id long, tokens binary, n long, cell long, least long")
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
-    """In how many documents each id is."""
+    """ids (binary) -> in how many rows each id is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, np.int64)
@@ -340,63 +366,70 @@ def frequencies(rows: DataFrame) -> np.ndarray:
         found = np.flatnonzero(df)
         yield pa.record_batch([pa.array(found), pa.array(df[found])], ["id", "n"])
 
-    out, df = rows.select("tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << 16, np.int64)
+    out, df = rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << 16, np.int64)
     df[out["id"].to_numpy()] = out["n"].to_numpy()
     return df
 
 
-def sampled(rows: DataFrame, corpus: Corpus) -> np.ndarray:
-    """Projected documents, SAMPLE at most: those whose ids and tokens hash lowest."""
-    order = F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(1 << 30))
-    few = rows.where(order < int(min(1.0, 1.5 * SAMPLE / corpus.n) * (1 << 30))).orderBy(order, "key").limit(SAMPLE)
+def written(found: Iterator[list[tuple]], number: int) -> Iterator[pa.RecordBatch]:
+    """Sequences of (doc_id, start, ids, doc_tokens) as rows of COLUMNS, numbered from ``number``."""
+    out: list[tuple] = []
+    held = 0
+    for sequence in found:
+        offset = 0
+        for doc_id, start, ids, doc_tokens in sequence:
+            out.append((doc_id, start, len(ids), ids.astype("<u4").tobytes(), doc_tokens, number, offset))
+            offset += len(ids)
+        number += 1
+        held += offset
+        if held >= 256 * WINDOW:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), COLUMNS.types)], schema=COLUMNS)
+            out, held = [], 0
+    if out:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), COLUMNS.types)], schema=COLUMNS)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([v.tobytes() for v in projected(corpus, unpacked(batch.column(1)))[0].astype("<f4")], pa.binary())], ["v"])
 
-    found = map_slices(few.select("key", "tokens"), work, "v binary").toArrow()["v"].to_pylist()
-    return np.frombuffer(b"".join(sorted(found)), "<f4").reshape(-1, DIMENSIONS).astype(float)
+def own_sequences(rows: DataFrame) -> DataFrame:
+    """Windows that documents fill by themselves; their numbers lie above those of the others."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[list[tuple]]:
+            for batch in slices(batches):
+                for doc_id, ids, alone in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2).to_pylist()):
+                    for at in range(0, len(ids) if alone else len(ids) // WINDOW * WINDOW, WINDOW):
+                        yield [(doc_id, at, ids[at : at + WINDOW], len(ids))]
 
-def by_content(rows: DataFrame, corpus: Corpus, cells: Cells, ranges: int) -> DataFrame:
-    """doc_id, tokens in ranges of the order of content."""
+        yield from written(found(), (1 << 62) + (TaskContext.get().partitionId() << 40))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors, least = projected(corpus, unpacked(batch.column(1)))
-        return pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(cells.of(vectors)), pa.array(least)], ["doc_id", "tokens", "key", "cell", "least"])
+    return rows.where(f"n >= {WINDOW} OR {ALONE}").selectExpr("doc_id", "tokens", f"{ALONE} AS alone").mapInArrow(run, SCHEMA)
 
-    placed = map_slices(rows.select("doc_id", "tokens", "key"), work, "doc_id long, tokens binary, key long, cell long, least long")
-    return placed.repartitionByRange(ranges, "cell", "least", "key").sortWithinPartitions("cell", "least", "key").select("doc_id", "tokens")
+
+def shared_sequences(rows: DataFrame, corpus: Corpus, ranges: int, shard_documents: int) -> DataFrame:
+    """Sequences of what waits."""
+    waiting = rows.where(WAITS).selectExpr("doc_id", f"{REST} AS ids", "n", "cell", "least", "key")
+    waiting = waiting.repartitionByRange(ranges, "cell", "least", "key").sortWithinPartitions("cell", "least", "key").select("doc_id", "ids", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (((doc_id, n), ids) for b in slices(batches) for doc_id, ids, n in zip(b.column(0).to_pylist(), unpacked(b.column(1)), b.column(2).to_pylist()))
+        found = ([(tag[0], tag[1] // WINDOW * WINDOW + at, ids[at : at + size], tag[1]) for tag, ids, at, size in s] for s in sequences(corpus, stream, shard_documents))
+        yield from written(found, TaskContext.get().partitionId() << 40)
+
+    return waiting.mapInArrow(run, SCHEMA)
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
     """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "packing")
-    rows = scratch.put(tokens(texts_of(docs, id_col, text_col), vocabulary).select(F.monotonically_increasing_id().alias("key"), "*"), "tokens")
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("tokens")), F.lit(0)) / 2).first()
+    docs = texts_of(docs, id_col, text_col)
+    n = docs.count()
     if not n:
         return spark.createDataFrame([], SCHEMA)
-    corpus = Corpus(frequencies(rows), n, total / n)
     bits = max(0, int(np.ceil(np.log2(n / shard_documents))))
-    cells = Cells(sampled(rows, corpus) if bits else np.zeros((0, DIMENSIONS)), bits)
-    ranges = max(1, -int(-total // RANGE_TOKENS), min(-int(-total // LEAST_TOKENS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
-        out: list[tuple] = []
-        held = 0
-        stream = (x for batch in slices(batches) for x in zip(batch.column(0).to_pylist(), unpacked(batch.column(1))))
-        for sequence in sequences(corpus, stream, shard_documents):
-            offset = 0
-            for doc_id, doc, start, size in sequence:
-                out.append((doc_id, start, size, doc[start : start + size].astype("<u4").tobytes(), len(doc), number, offset))
-                offset += size
-            number += 1
-            held += offset
-            if held >= 256 * WINDOW:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), COLUMNS.types)], schema=COLUMNS)
-                out, held = [], 0
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), COLUMNS.types)], schema=COLUMNS)
-
-    return by_content(rows, corpus, cells, ranges).mapInArrow(run, SCHEMA)
+    router = Router(sampled(docs, n, vocabulary) if bits else [], bits)
+    rows = Scratch(spark, "packing").put(placed(docs, router, vocabulary).select(F.monotonically_increasing_id().alias("key"), "*"), "tokens")
+    waiting, total = rows.where(WAITS).agg(F.count("*"), F.coalesce(F.sum(F.col("n") % WINDOW), F.lit(0))).first()
+    if not waiting:
+        return own_sequences(rows)
+    corpus = Corpus(frequencies(rows.where(WAITS).selectExpr(f"{REST} AS ids")), waiting, total / waiting)
+    ranges = max(1, -(-total // RANGE_TOKENS), min(-(-total // LEAST_TOKENS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return shared_sequences(rows, corpus, ranges, shard_documents).union(own_sequences(rows))

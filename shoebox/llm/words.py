@@ -20,9 +20,9 @@ import numpy as np
 
 from .bpe import byte_alphabet
 
-#: Words that a worker remembers before it starts anew.
+#: Words of a generation that a worker remembers; it keeps two.
 MEMO = 200_000
-FAST = re.compile("[!-~\xa1\xa7\xab\xb0\xb7\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-įĲ-ƿ]*")
+FAST = re.compile("[\n!-~\xa1\xa7\xab\xb0\xb7\xbb\xbf\xc0-\xd6\xd8-\xf6\xf8-įĲ-ƿ]*")
 # Fixed value: the vocabulary's pre-tokens, for the characters above.
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 END = "</w>"
@@ -60,6 +60,7 @@ class WordBPE:
         self.ends = np.array([e for _, _, e in order])
         self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks={b: k for k, (_, b, _) in enumerate(order)}, special_tokens={})
         self.memo: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 16-bit numbers."""
@@ -67,38 +68,43 @@ class WordBPE:
             return self._slow(text)
         words = text.encode("utf-8", "surrogatepass").split()
         memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        self._learn({w for w in words if w not in memo})
+        unknown = set(words).difference(memo)
+        if unknown:
+            if len(memo) > MEMO:
+                # Words of the generation before stay known, and move on when they are met.
+                self.before, self.memo = memo, {}
+                memo, unknown = self.memo, set(words)
+            if again := {w for w in unknown if w in self.before} if self.before else None:
+                memo.update(zip(again, map(self.before.__getitem__, again)))
+                unknown -= again
+            if unknown:
+                self._learn(list(unknown))
         return b"".join(map(memo.__getitem__, words))
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, parts, counts = [], [], []
-        for word in words:
-            text = word.decode("utf-8", "surrogatepass")
-            if FAST.fullmatch(text):
-                found = PRETOKEN.findall(text.lower())
-                known.append(word)
-                counts.append(len(found))
-                parts += found
-            else:
-                self.memo[word] = self._slow(text)
-        if not known:
+    def _learn(self, words: list[bytes]) -> None:
+        text = b"\n".join(words).decode("utf-8", "surrogatepass")  # words hold no line break
+        if not FAST.fullmatch(text):
+            spelled, words, known = text.split("\n"), [], []
+            for word in spelled:
+                raw = word.encode("utf-8", "surrogatepass")
+                if FAST.fullmatch(word):
+                    words.append(raw)
+                    known.append(word)
+                else:
+                    self.memo[raw] = self._slow(word)
+            text = "\n".join(known)
+        if not words:
             return
-        ranks = np.array(self.fast.encode_ordinary("\0".join(parts) + "\0"), np.int64)
+        # Each pre-token is closed by a byte 0; words stay on lines of their own.
+        closed = PRETOKEN.sub("\\g<0>\0", text.lower())
+        counts = np.array([x.count("\0") for x in closed.split("\n")])
+        ranks = np.array(self.fast.encode_ordinary(closed.replace("\n", "")), np.int64)
         ends = np.flatnonzero(self.ends[ranks]) + 1
         stops = (ends[np.cumsum(counts) - 1] * 2).tolist()
-        raw, at = self.ids[ranks].tobytes(), 0
-        for word, stop in zip(known, stops):
-            self.memo[word] = raw[at:stop]
-            at = stop
+        self.memo.update(zip(words, map(self.ids[ranks].tobytes().__getitem__, map(slice, [0, *stops], stops))))
 
 
 @lru_cache(maxsize=2)
