@@ -1,18 +1,22 @@
 """Line-first cleaning with DataFrame functions only.
 
-Rules look at each line by itself: symbols, shouting, navigation,
-boilerplate and missing punctuation in short lines.  Failing lines are removed, as are
-repeats of an earlier line, and a document that loses more than
-``MAX_LOST`` of its characters is rejected.  The base statistics
+Rules look at each line by itself: punctuation (no sentence ends in the
+line, and the next line doesn't go on in lower case), symbols, shouting,
+navigation and boilerplate.  Failing lines are removed, as are repeats of
+an earlier line, and a document that loses more than ``MAX_LOST`` of the
+characters of its lines with a word is rejected.  The base statistics
 beside them follow fixed definitions.
 
 Words are runs of characters other than space, tab and the line breaks
 from 0x0A to 0x0D.  Edge cases: a null text counts as empty; an empty
 text has no words, fails the base rules and has a null ``cleaned`` only
 if the text was null; lines without a word are neither removed nor
-counted; repeated rows give repeated results; other columns of the input
-are ignored.  Everything is one projection: no shuffle, no state beyond
-the row, so very long texts only need memory in proportion to their size.
+counted; an empty table gives no rows; repeated rows give repeated
+results; other columns of the input are ignored.  A line's last character
+U+E000, which is of private use, is not kept in ``cleaned``: it marks
+lines that go on.  Everything is one projection: no shuffle, no state
+beyond the row, so very long texts only need memory in proportion to
+their size.
 """
 
 from __future__ import annotations
@@ -28,9 +32,12 @@ MIN_WORDS = 50
 SPACE = r"[\x20\x09-\x0D]+"
 #: Separators of navigation lines.
 SEPARATOR = r"[|\u00bb\u203a\u00b7\u2022\u2192]"
-#: A line of so many words at most that holds no sentence punctuation is a fragment.
-FRAGMENT_WORDS = 8
-SENTENCE = r"[.!?,;:\u2026\u3002\uff01\uff1f\u3001\uff0c]"
+#: The end of a sentence inside a line or at its end.
+SENTENCE_END = r"[.!?:;\u2026][\x22')\]\u201d\u2019\u00bb]*(?:[\x20\x09-\x0D]|$)|[\u3002\uff01\uff1f]"
+#: Marks a line whose sentence goes on in the next one.
+GOES_ON = "\ue000"
+#: Runs of letters that aren't capitals; one letter stands for each run where only marks, capitals and words count.
+SMALL = r"[\p{L}&&[^\p{Lu}]]+"
 #: Fixed phrases of boilerplate lines.
 BOILERPLATE = (
     "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright (c)", "subscribe to", "sign up for",
@@ -75,20 +82,31 @@ def repeat_words(words: Column) -> Column:
             F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("at")))
         )
 
-    full = bind(words, lambda w: F.when(F.size(w) >= 4, bind(bind(windows(w), starts), covered)).otherwise(F.lit(0)))
-    return full.cast("long")
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
+
+    # Most texts repeat no window: distinct hashes tell, without sorting.
+    def repeated(w: Column) -> Column:
+        return F.when(F.size(F.array_distinct(hashes(w))) == F.size(w) - 2, F.lit(0)).otherwise(bind(bind(windows(w), starts), covered))
+
+    return bind(words, lambda w: F.when(F.size(w) >= 4, repeated(w)).otherwise(F.lit(0))).cast("long")
 
 
 def line_fails(line: Column) -> Column:
-    """The per-line rules; a line without a word passes.
+    """The per-line rules; a line without a word passes.  GOES_ON at its end says that its sentence goes on.
 
-    Counts come from matches of rare characters and from lengths, as
-    those are cheap on long texts.
+    Most counts are of a reduced line, in which one letter stands for a
+    run of small ones, as those are cheap on long texts.
     """
-    n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    n = F.length(line) - F.regexp_count(line, F.lit(r"[\x20\x09-\x0D]"))  # characters beside the blanks
 
-    def judged(marks: Column) -> Column:
+    goes_on = F.endswith(line, F.lit(GOES_ON))
+
+    def counted(reduced: Column) -> Column:
+        n_words = F.regexp_count(reduced, F.lit(r"[^\x20\x09-\x0D]+"))
+        n = F.length(line) - goes_on.cast("int") - F.regexp_count(reduced, F.lit(r"[\x20\x09-\x0D]"))  # characters beside the blanks
+        return bind(F.regexp_replace(reduced, r"[\p{L}\x20\x09-\x0D]+", ""), lambda marks: judged(reduced, marks, n_words, n))
+
+    def judged(reduced: Column, marks: Column, n_words: Column, n: Column) -> Column:
         """marks: the characters that are neither letters nor blanks, once joined."""
         others = F.length(marks)
         letters = n - others
@@ -97,12 +115,12 @@ def line_fails(line: Column) -> Column:
         symbolic = (others * 5 > n) & (symbols * 5 > n)
         navigation = (pipes >= 2) & (pipes * 2 >= n_words - pipes)
         no_prose = (letters * 2 < n) & (n >= 8)
-        shouting = (letters >= 12) & (n_words >= 3) & F.rlike(line, F.lit(r"\p{Lu}[^\p{L}]?\p{Lu}")) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 > letters)
+        shouting = (letters >= 12) & (n_words >= 3) & F.rlike(reduced, F.lit(r"\p{Lu}[^\p{L}]?\p{Lu}")) & (F.regexp_count(reduced, F.lit(r"\p{Lu}")) * 2 > letters)
         boilerplate = (n_words <= 12) & bind(F.lower(line), lambda low: F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda b: F.contains(low, b)))
-        unpunctuated = (n_words <= FRAGMENT_WORDS) & ~F.rlike(marks, F.lit(SENTENCE))
+        unpunctuated = ~goes_on & ~F.rlike(reduced, F.lit(SENTENCE_END))
         return symbolic | navigation | no_prose | shouting | boilerplate | unpunctuated
 
-    return has_word(line) & bind(F.regexp_replace(line, r"[\p{L}\x20\x09-\x0D]+", ""), judged)
+    return has_word(line) & bind(F.regexp_replace(F.regexp_replace(line, SMALL, "a"), f"{GOES_ON}$", ""), counted)
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
@@ -119,8 +137,10 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
         F.filter("lines", has_word).alias("worded"),
-        F.filter(F.array_distinct("lines"), lambda x: ~line_fails(x)).alias("passing"),
+        # A line that begins with a small letter goes on from the one before it.
+        F.filter(F.array_distinct(F.split(F.regexp_replace("text", r"\n(?=\p{Ll})", f"{GOES_ON}\n"), "\n", -1)), lambda x: ~line_fails(x)).alias("passing"),
     )
+    rows = rows.withColumn("passing", F.transform("passing", lambda x: F.regexp_replace(x, f"{GOES_ON}$", "")))
     size = lambda ls: F.aggregate(ls, F.lit(0), lambda acc, x: acc + F.length(x))
     rows = rows.select(
         "doc_id",
