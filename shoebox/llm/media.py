@@ -15,8 +15,8 @@ by its offset, alone, a few times before the task fails.
 Paths may be of any file system that pyarrow opens (file, hdfs, s3).
 
 Edge cases: null or empty payloads are stored as empty members and read
-back as empty; null names as an empty name; repeated rows are repeated
-members; an empty table gives an archive directory without archives,
+back as empty; null names as an empty name, and names of any length are
+kept whole; repeated rows are repeated members; an empty table gives an archive directory without archives,
 which reads as no rows; other columns of the input are ignored.
 """
 
@@ -63,12 +63,27 @@ def opened(uri: str):
 
 
 def header(name: str, payload: bytes) -> bytes:
-    """A ustar header; the checksum of the payload goes into the field of the link's name."""
+    """A ustar header; the checksum of the payload goes into the field of the link's name.
+
+    A name over 100 bytes stands in a member of its own before it, as tar programs write it.
+    """
+    raw = name.encode("utf-8", "surrogatepass")
+    if len(raw) > 100 or b"\0" in raw:
+        return _header(LONG_NAME, raw, b"L") + raw + bytes(-len(raw) % 512) + _header(b"long", payload, b"0")
+    return _header(raw, payload, b"0")
+
+
+LONG_NAME = b"././@LongLink"
+
+
+def _header(raw: bytes, payload: bytes, kind: bytes) -> bytes:
+    if len(payload) >= 8**11:
+        raise ValueError("a payload over 8 GiB")
     head = bytearray(512)
-    head[0:100] = name.encode()[:100].ljust(100, b"\0")
+    head[0:100] = raw.ljust(100, b"\0")
     head[100:136] = b"0000644\0" + b"0000000\0" + b"0000000\0" + b"%011o\0" % len(payload)
     head[136:148] = b"%011o\0" % 0
-    head[156:157] = b"0"
+    head[156:157] = kind
     head[157:257] = (b"crc32:%08x" % zlib.crc32(payload)).ljust(100, b"\0")
     head[257:265] = b"ustar\x0000"
     head[148:156] = b" " * 8
@@ -77,14 +92,30 @@ def header(name: str, payload: bytes) -> bytes:
 
 
 def member(read, offset: int) -> tuple[str, bytes]:
-    """The name and the checked payload at an offset; ``read(offset, size)`` may give fewer bytes, which is an error."""
+    """The name and the checked payload at an offset; ``read(offset, size)`` may give fewer bytes.  Whatever is damaged raises OSError."""
+    name, payload, kind, end = _one(read, offset)
+    if kind == b"L":
+        long, (_, payload, kind, _) = payload, _one(read, end)
+        name = long
+    try:
+        return name.decode("utf-8", "surrogatepass"), payload
+    except UnicodeDecodeError as e:
+        raise OSError(f"the name at {offset} is damaged") from e
+
+
+def _one(read, offset: int) -> tuple[bytes, bytes, bytes, int]:
+    """Name, checked payload and kind of one header, and the offset after it."""
     head = read(offset, 512)
     if len(head) < 512 or head[257:262] != b"ustar":
         raise OSError(f"no member at {offset}")
-    payload = read(offset + 512, int(head[124:135], 8))
+    try:
+        size = int(head[124:135], 8)
+    except ValueError as e:
+        raise OSError(f"the size at {offset} is damaged") from e
+    payload = read(offset + 512, size)
     if b"%08x" % zlib.crc32(payload) != head[163:171]:
         raise OSError(f"the member at {offset} is damaged")
-    return head[:100].rstrip(b"\0").decode(), payload
+    return head[:100].rstrip(b"\0"), payload, head[156:157], offset + 512 + size + -size % 512
 
 
 def retried(open_archive, offset: int, retries: int = RETRIES) -> tuple[str, bytes]:
