@@ -11,10 +11,16 @@ parameter: at most ``SAMPLE_PER_LANGUAGE`` rows of a language, those
 whose ids hash lowest, so the sample doesn't depend on partitions.
 Predictions see the whole text and nothing else.
 
+``keep_identified`` also rejects a text that lies further from every
+profile than ``limit_of`` allows, by what labelled rows of the sample do
+from their own: text of another script, or noise.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score
 0; equal distances go to the language first in alphabetical order, equal
-counts rank by n-gram; with no labelled row every text is ``und``;
-repeated rows give repeated results; other columns are ignored.
+counts rank by n-gram; with no labelled row every text is ``und``; an
+empty table gives no rows; very long texts are read whole; repeated rows
+give repeated results; other columns are ignored, or kept by
+``keep_identified``.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_slices, texts_of
+from .common import held_out, map_slices, slices, texts_of
 
 #: Rows of a language that its profile is learned from, at most.
 SAMPLE_PER_LANGUAGE = 2000
@@ -41,11 +47,11 @@ UNKNOWN = "und"
 
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text and their counts, most frequent first.
+def ngrams(text: str, most: int | None = PROFILE) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most frequent n-grams of a text and their counts, in that order; without it all of them, in order of their numbers.
 
     An n-gram is a number of up to three 21-bit code points; a blank is 0,
     and blanks alone are no n-gram.
@@ -63,7 +69,7 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     keys.sort()
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     counts = np.diff(np.append(first, len(keys)))
-    return top(keys[first], counts, PROFILE)
+    return (keys[first], counts) if most is None else top(keys[first], counts, most)
 
 
 def top(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +91,14 @@ class Profiles:
             self.sorted.append((keys[order], order))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and a score: the likeness to the best profile as a share of that to the best two."""
+        return self.compare(text)[:2]
+
+    def compare(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its score, and the distance to its profile as a share of the largest possible one."""
         keys, _ = ngrams(text or "")
         if not len(keys) or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 1.0
         ranks = np.arange(len(keys))
         distances = []
         for known, rank in self.sorted:
@@ -97,14 +108,13 @@ class Profiles:
         order = np.argsort(distances, kind="stable")
         best = distances[order[0]] / (PROFILE * len(keys))
         if len(order) == 1:
-            return self.languages[order[0]], max(0.0, 1.0 - best)
-        # Likeness to the best as a share of that to the best two.
+            return self.languages[order[0]], max(0.0, 1.0 - best), best
         second = distances[order[1]] / (PROFILE * len(keys))
-        return self.languages[order[0]], float(second / (best + second)) if best + second > 0 else 0.5
+        return self.languages[order[0]], float(second / (best + second)) if best + second > 0 else 0.5, best
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
-    """Profiles of the non-null languages of rows that aren't held out."""
+def sampled(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """lang and text of the labelled rows that are learned from."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull())
     # Only ids are ranked: keep a share of them that holds the sample, then rank the few that are left.  Counting reads no text.
@@ -114,24 +124,49 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     for r in sizes:
         share = min(1.0, 2.0 * per_language / r["count"])
         keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(order, F.lit(1_000_000)) <= int(share * 1_000_000)))
-    few = rows.where(keep & F.col("text").isNotNull()).withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1_000_000)), order, "doc_id"))).where(F.col("at") <= per_language)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1_000_000)), order, "doc_id"))
+    return rows.where(keep & F.col("text").isNotNull()).withColumn("at", place).where(F.col("at") <= per_language).select("lang", "text")
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
+    """Profiles of the non-null languages of rows that aren't held out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, dict[int, int]] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                into = totals.setdefault(lang, {})
-                for key, n in zip(*(x.tolist() for x in ngrams(text))):
-                    into[key] = into.get(key, 0) + n
-        for lang, found in totals.items():
-            yield pa.record_batch([pa.array([lang] * len(found)), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["lang", "key", "n"])
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-    counted = few.select("lang", "text").mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+        for batch in slices(batches):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = held.setdefault(lang, [])
+                parts.append(ngrams(text, None))
+                if len(parts) >= 128:
+                    held[lang] = [summed(parts)]
+        for lang, parts in held.items():
+            keys, n = summed(parts)
+            yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "key", "n"])
+
+    few = sampled(docs, lang_col, id_col, text_col, per_language)
+    counted = few.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("at") <= PROFILE).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("keys"))
     found = sorted((r["lang"], [k["key"] for k in r["keys"]]) for r in ranked.collect())  # PROFILE numbers a language
     return Profiles([x for x, _ in found], [k for _, k in found])
 
 
+def limit_of(docs: DataFrame, profiles: Profiles, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> float:
+    """A distance halfway between the largest at which a labelled row of the sample lies from its own language and the largest possible one; 1 without such a row."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(lang, profiles.compare(t)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        return pa.record_batch([pa.array([d for lang, (best, _, d) in found if best == lang], pa.float64())], ["distance"])
+
+    few = sampled(docs, lang_col, id_col, text_col, per_language)
+    most = map_slices(few, work, "distance double").agg(F.max("distance")).first()[0]
+    return 1.0 if most is None else (1.0 + float(most)) / 2
+
+
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of each row."""
 
@@ -142,11 +177,15 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return map_slices(texts_of(docs, id_col, text_col), work, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, with all their columns."""
+def keep_identified(docs: DataFrame, profiles: Profiles, limit: float = 1.0, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language and lies no further than ``limit`` from its profile, with all their columns."""
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: profiles.predict(t)[0] != UNKNOWN)
+        def holds(t: str) -> bool:
+            lang, _, distance = profiles.compare(t)
+            return lang != UNKNOWN and distance <= limit
+
+        return texts.map(holds).astype(bool)
 
     return docs.where(known(F.coalesce(F.col(text_col), F.lit(""))))
