@@ -12,10 +12,12 @@ over ``SAMPLE`` rows of about twenty numbers.
 
 Edge cases: a null text counts as empty; empty texts get the score of
 their statistics, which are 0; labels that are null or neither 0 nor 1
-are no labels, and an id with several labels counts once for each; with
+are no labels, an id with both labels counts once for each, and of
+several texts of an id that which hashes lowest is learned from; with
 labels of one kind only, or none, every score is the share of label 1
-(0.5 without labels); repeated rows give repeated results; other columns
-of the input are ignored, or kept by ``keep_good``.
+(0.5 without labels); an empty table gives no rows; repeated rows give
+repeated results; very long texts are read whole; other columns of the
+input are ignored, or kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Split, Tree, fit
-from .common import held_out
-from .lines import SPACE, bind
+from .common import fresh, held_out
+from .lines import SPACE
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 12_000
@@ -43,45 +45,55 @@ FEATURES = (
 )
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
-
-
-def statistics(text: Column) -> Column:
-    """The FEATURES of a text as an array of doubles."""
-
-    def of(t: Column, words: Column, lines: Column) -> Column:
-        chars = F.greatest(word_chars(t), F.lit(1)).cast("double")
-        n = F.greatest(F.size(words), F.lit(1)).cast("double")
-        m = F.greatest(F.size(lines), F.lit(1)).cast("double")
-        drop = lambda chosen: (F.length(t) - F.length(F.translate(t, chosen, ""))).cast("double")
-        upper = F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("double")
-        letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("double")
-        made = {
-            "words": F.size(words).cast("double"),
-            "mean_word": chars / n,
-            "symbols": drop("#*$%&|<>{}~^=\\@_") / chars,
-            "marks": drop(".,;:!?") / n,
-            "digits": drop("0123456789") / chars,
-            "capitals": upper / F.greatest(letters, F.lit(1.0)),
-            "shouts": drop("!") / n,
-            "distinct": F.size(F.array_distinct(words)) / n,
-            "repeats": F.sqrt(n) * (1 - F.size(F.array_distinct(words)) / n),
-            "lines": m,
-            "same_lines": 1 - F.size(F.array_distinct(lines)) / m,
-            "line_words": n / m,
-            "ends": F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"[.!?\"')]\s*$")))) / m,
-            "pipes": drop("|") / n,
-            "stops": drop(".") / n,
-            "spaces": (F.length(t) - word_chars(t)).cast("double") / n,
-            "doubled": F.size(F.regexp_extract_all(t, F.lit(r"([!?*#$%&])\1"), F.lit(0))).cast("double") / n,
-            "letters": letters / chars,
-        }
-        return F.array(*(F.coalesce(made[k], F.lit(0.0)) for k in FEATURES))
-
-    words = F.filter(F.split(text, SPACE, -1), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: word_chars(x) > 0)
-    return bind(words, lambda w: bind(lines, lambda ls: of(text, w, ls)))
+# One letter stands for a run of small ones, so that the counts of all else read a short text.
+SMALL = r"[\p{L}&&[^\p{Lu}]]+"
+BLANKS = r"[\x20\x09-\x0D]"
+
+
+def statistics(rows: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with helper columns, and the FEATURES of a text column as expressions over them.
+
+    Helpers come in steps, so that each value is computed once; a null text counts as empty.
+    """
+    reduced, parts, lines, marks, n, m, others, chars, upper = names = fresh(rows, "reduced", "parts", "lines", "marks", "n", "m", "others", "chars", "upper")
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = rows.withColumns({reduced: F.regexp_replace(t, SMALL, "a"), parts: F.split(t, SPACE, -1), lines: F.filter(F.split(t, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))})
+    # Parts at the ends may be empty: they are no words.
+    empty = (F.col(parts)[0] == "").cast("int") + ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+    blanks, distinct = fresh(rows, "blanks", "distinct")
+    rows = rows.withColumns({
+        marks: F.regexp_replace(reduced, r"[\p{L}\x20\x09-\x0D]+", ""), n: (F.size(parts) - empty).cast("double"), m: F.size(lines).cast("double"),
+        blanks: F.regexp_count(reduced, F.lit(BLANKS)).cast("double"), upper: F.regexp_count(reduced, F.lit(r"\p{Lu}")).cast("double"),
+        distinct: (F.size(F.array_distinct(parts)) - (empty > 0).cast("int")).cast("double"),
+    })
+    one, size = F.lit(1.0), F.length(t).cast("double")
+    rows = rows.withColumns({others: F.length(marks).cast("double"), chars: size - F.col(blanks)})
+    c, w, k = F.greatest(F.col(chars), one), F.greatest(F.col(n), one), F.greatest(F.col(m), one)
+    letters = F.col(chars) - F.col(others)
+    drop = lambda chosen: F.regexp_count(marks, F.lit(chosen)).cast("double")
+    made = {
+        "words": F.col(n),
+        "mean_word": c / w,
+        "symbols": drop(r"[#*$%&|<>{}~^=\\@_]") / c,
+        "marks": drop("[.,;:!?]") / w,
+        "digits": drop("[0-9]") / c,
+        "capitals": F.col(upper) / F.greatest(letters, one),
+        "shouts": drop("!") / w,
+        "distinct": F.col(distinct) / w,
+        "repeats": F.sqrt(w) * (1 - F.col(distinct) / w),
+        "lines": k,
+        "same_lines": 1 - F.size(F.array_distinct(lines)) / k,
+        "line_words": w / k,
+        "ends": F.regexp_count(reduced, F.lit(r"(?md)[.!?\x22')][\x20\x09\x0B-\x0D]*$")) / k,
+        "pipes": drop(r"\|") / w,
+        "stops": drop(r"\.") / w,
+        "spaces": F.col(blanks) / w,
+        "doubled": F.regexp_count(reduced, F.lit(r"([!?*#$%&])\1")).cast("double") / w,
+        "letters": letters / c,
+    }
+    held = fresh(rows, *FEATURES)
+    rows = rows.withColumns({h: made[f] for h, f in zip(held, FEATURES)}).drop(*names, blanks, distinct)
+    return rows, {f: F.col(h) for f, h in zip(FEATURES, held)}
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # feature, whether over the threshold, threshold
@@ -126,12 +138,12 @@ class RuleModel:
     bias: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self, stats: Column) -> Column:
+    def score(self, stats: dict[str, Column]) -> Column:
         total = F.lit(self.bias)
         for rule, weight in self.rules:
             holds = F.lit(True)
             for feature, over, threshold in rule:
-                x = stats[feature]
+                x = stats[FEATURES[feature]]
                 holds = holds & (x > threshold if over else x <= threshold)
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-total))
@@ -161,23 +173,32 @@ def fit_rules(x: np.ndarray, y: np.ndarray, rounds: int = 24, penalty: float = P
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
     """A model of labels 0 and 1 from rows that aren't held out."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # At most SAMPLE pairs of two numbers are sent to each executor.
-    joined = rows.join(F.broadcast(known), "doc_id")
-    found = joined.select("doc_id", "y", statistics(F.col("text")).alias("x")).limit(2 * sample).collect()
-    found.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
-    x = np.array([r["x"] for r in found]).reshape(len(found), len(FEATURES))
-    return fit_rules(np.round(x, 9), np.array([r["y"] for r in found], float))
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
+    known = known.groupBy("doc_id").agg(F.min("y").alias("low"), F.max("y").alias("high")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # At most SAMPLE rows of three numbers are sent to each executor.
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
+    # One text of each id, so that ids that repeat neither outweigh others nor outgrow the driver.
+    rows = rows.withColumn("at", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows, stats = statistics(rows, "text")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("at", F.array(*stats.values()).alias("x"), "low", "high")).alias("v"))
+    found = first.select("doc_id", "v.x", "v.low", "v.high").collect()  # SAMPLE rows at most
+    found.sort(key=lambda r: r["doc_id"])
+    pairs = [(r["x"], y) for r in found for y in sorted({r["low"], r["high"]})]
+    x = np.array([x for x, _ in pairs]).reshape(len(pairs), len(FEATURES))
+    return fit_rules(np.round(x, 9), np.array([y for _, y in pairs], float))
 
 
 def scored(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), bind(statistics(F.coalesce(F.col(text_col), F.lit(""))), model.score).alias("score"))
+    rows, stats = statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    rows = rows.select("doc_id", model.score(stats).alias("score"))
     return rows.select("doc_id", "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """The rows predicted to be good, with all their columns."""
-    return docs.where(bind(statistics(F.coalesce(F.col(text_col), F.lit(""))), model.score) >= GOOD)
+    rows, stats = statistics(docs, text_col)
+    score, place = fresh(rows, "score", "place")
+    # The row's place keeps the optimizer from copying the statistics into the filter, once for each use.
+    rows = rows.select(*docs.columns, model.score(stats).alias(score), F.monotonically_increasing_id().alias(place))
+    return rows.where((F.col(score) >= GOOD) & (F.col(place) >= 0)).select(*docs.columns)
