@@ -210,7 +210,8 @@ def confidence_percent(x: Column) -> Column:
 
 
 def atom_time(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """With the offset in digits, also at UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
 
 
 def stale(updated_at: Column, now: Column, seconds: int = 180) -> Column:

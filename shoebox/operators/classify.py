@@ -176,6 +176,11 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("count"))
 
 
+def count_of(rows: DataFrame, category: str) -> DataFrame:
+    """Per user, how many files are of a category."""
+    return rows.where(F.col("category") == category).groupBy("user_id").agg(F.count("*").alias("count"))
+
+
 def all_counts(rows: DataFrame) -> DataFrame:
     """Each category in declared order, with 0 where it has no file, and the total."""
     found = {c: F.count_if(F.col("category") == c) for c in CATEGORIES}

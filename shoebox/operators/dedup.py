@@ -36,10 +36,10 @@ def group_page(index: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame
 def with_files(page: DataFrame, index: DataFrame) -> DataFrame:
     """The files of each group, one a row.
 
-    A page has at most 200 groups, so it may be broadcast; the index is
-    scanned once more and isn't shuffled.
+    A page of ``group_page`` is bounded by its limit, which Spark sees and
+    broadcasts; of any other size it is joined as its size demands.
     """
-    return index.join(F.broadcast(page), GROUP).select(*page.columns, "file_id", "file_path", "file_size", "mime_type", "file_mtime")
+    return index.join(page, GROUP).select(*page.columns, "file_id", "file_path", "file_size", "mime_type", "file_mtime")
 
 
 def group_detail(index: DataFrame, content_hash: str) -> DataFrame:
@@ -136,3 +136,10 @@ def deletion_summary(plan: DataFrame) -> DataFrame:
 def without(group: DataFrame, removed: DataFrame) -> DataFrame:
     """Groups after files were removed: count and size again, groups of one file dropped."""
     return groups(group.join(removed.select("user_id", "file_id"), ["user_id", "file_id"], "left_anti"))
+
+
+def appended(pages: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Pages as a client gathers them (page, pos and the rows): of rows that come again the first one stays."""
+    key = key or ["user_id", "file_id"]
+    once = Window.partitionBy(*key).orderBy("page", "pos")
+    return pages.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")

@@ -7,11 +7,14 @@ on a table format with transactions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.paths import trimmed
 from shoebox.functions.scalars import atom_time, stored_signature
+from shoebox.plans.schema import KEYS
 
 KEY = ["user_id", "file_id"]
 
@@ -42,6 +45,17 @@ def merged(base: DataFrame, updates: DataFrame, key: list[str] = KEY) -> DataFra
     return base.join(updates.select(*key), key, "left_anti").unionByName(updates.select(*base.columns))
 
 
+def at(index: DataFrame, user: str, file_id: int) -> DataFrame:
+    """The row of one file, if any; both keys are filters that reach the scan."""
+    return index.where((F.col("user_id") == user) & (F.col("file_id") == file_id)).limit(1)
+
+
+def upserted(base: DataFrame, updates: DataFrame, kind: str) -> DataFrame:
+    """An index table of a kind (see ``KEYS``) after updates: the last one of a key, by its time, replaces the row or is added."""
+    when = "classified_at" if kind == "classifications" else "updated_at" if kind == "face_labels" else "scanned_at"
+    return merged(base, last_of(updates, KEYS[kind], (when,)), KEYS[kind])
+
+
 def last_of(updates: DataFrame, key: list[str] = KEY, order: tuple[str, ...] = ("file_mtime",)) -> DataFrame:
     """One row of each key, the last by the order columns, so that a merge doesn't depend on the order of rows."""
     window = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))
@@ -92,6 +106,15 @@ def counters(rows: DataFrame, done: str = "hashed") -> DataFrame:
     return rows.groupBy("user_id").agg(*(c.alias(k) for k, c in found.items()))
 
 
+def drop_users(spark: SparkSession, users: Iterable[str | None], path: str) -> None:
+    """Remove the partitions of users, as an overwrite leaves those that get no row; missing ones don't matter."""
+    jvm = spark._jvm
+    spelled = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for user in users:
+        where = jvm.org.apache.hadoop.fs.Path(path, spelled("user_id", user))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_users(table: DataFrame, path: str) -> None:
     """Overwrite the partitions of the users in the table, and no other."""
     table.repartition("user_id", F.pmod(F.xxhash64("file_id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id").parquet(path)
@@ -131,6 +154,36 @@ def settled(p: Column, is_stale: Column) -> Column:
     return F.when((p["status"] == "scanning") & is_stale, F.when(done, F.lit("completed")).otherwise(F.lit("interrupted"))).otherwise(p["status"])
 
 
+def progress_text(status: Column, total: Column, processed: Column, updated_at: Column) -> Column:
+    """A progress as it is stored; ``progress`` reads it."""
+    return F.to_json(F.struct(status.alias("status"), total.cast("long").alias("total"), processed.cast("long").alias("processed"), atom_time(updated_at).alias("updated_at")))
+
+
+def progress_log(outcomes: DataFrame, every: int = 50, status: str = "scanning") -> DataFrame:
+    """What a scan reports: a row after every so many files of a user, and one when all are done.
+
+    outcomes: user_id and processed_at of each file that was handled.  The
+    number of a file among its user's is a running count over counts by
+    second, so a user with very many files needs no single sorted list of
+    files: only as many rows as there were seconds.
+    """
+    seconds = outcomes.groupBy("user_id", F.date_trunc("second", "processed_at").alias("second")).agg(F.count("*").alias("n"), F.max("processed_at").alias("last"))
+    order = Window.partitionBy("user_id").orderBy("second")
+    own = Window.partitionBy("user_id")
+    rows = seconds.withColumns({"upto": F.sum("n").over(order), "total": F.sum("n").over(own)})
+    first = F.floor((F.col("upto") - F.col("n")) / every) + 1
+    marks = F.when(F.floor(F.col("upto") / every) >= first, F.sequence(first, F.floor(F.col("upto") / every))).otherwise(F.array().cast("array<bigint>"))
+    steps = rows.select("user_id", "total", F.explode(F.transform(marks, lambda k: k * every)).alias("processed")).where("processed < total").withColumn("status", F.lit(status))
+    done = rows.groupBy("user_id").agg(F.max("total").alias("total")).select("user_id", "total", F.col("total").alias("processed"), F.lit("completed").alias("status"))
+    return steps.select("user_id", "status", "processed", "total").unionByName(done.select("user_id", "status", "processed", "total"))
+
+
+def may_start(p: Column, is_stale: Column | None = None) -> Column:
+    """Whether a scan may begin: none is running, or the one that says so is stale (HTTP 409 otherwise)."""
+    running = p["status"] == "scanning" if is_stale is None else settled(p, is_stale) == "scanning"
+    return ~running
+
+
 # --- rows as JSON ---
 
 SHAPES = {

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.functions.paths import trimmed
+from shoebox.functions.paths import scoped, trimmed
 from shoebox.functions.scalars import bind, cluster_id, cosine, embedding, unit
 from shoebox.plans.config import CANDIDATES, CLUSTERS, EngineConfig, clamp, page_of
 
@@ -44,6 +44,17 @@ def face_images(faces: DataFrame) -> DataFrame:
     return faces.groupBy("user_id").agg(F.countDistinct("file_id", "file_path").alias("total_face_images"))
 
 
+def with_face(files: DataFrame, user: str | None = None) -> DataFrame:
+    """Rows of the face index that say that a face was found, by file."""
+    rows = files if user is None else files.where(F.col("user_id") == user)
+    return rows.where("has_face")
+
+
+def count_with_face(files: DataFrame, scope: str | None = None) -> DataFrame:
+    """Per user, how many files of a scope have a face."""
+    return scoped(files, scope).groupBy("user_id").agg(F.count_if("has_face").alias("files"))
+
+
 def candidates(faces: DataFrame, limit: int = 120) -> DataFrame:
     """Of each signature its surest single-face file, surest first; a page of each user."""
     single = with_counts(faces).where("faces = 1").withColumn("confidence", F.coalesce("face_confidence", F.lit(0.0)))

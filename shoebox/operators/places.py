@@ -56,3 +56,8 @@ def totals(locations: DataFrame) -> DataFrame:
     keys = F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), marker_id(F.col("lat"), F.col("lng")))
     cells = rows.groupBy("user_id", keys.alias("marker")).agg(F.count("*").alias("n"))
     return cells.groupBy("user_id").agg(F.count("marker").alias("total_markers"), F.sum("n").alias("total_photos_with_location"))
+
+
+def count_with_location(locations: DataFrame) -> DataFrame:
+    """Per user, how many files have a location."""
+    return locations.groupBy("user_id").agg(F.count_if("has_location").alias("files"))

@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.functions.paths import ML_SUPPORTED
+from shoebox.functions.paths import FACE_SUPPORTED, ML_SUPPORTED
 from shoebox.plans.config import MAX_FAILURES, EngineConfig
 
 ANSWER = "user_id string, file_id long, status int, category string, confidence double, model string, algorithm_version string, labels array<struct<name:string,score:double>>"
+FACE_ANSWER = "user_id string, file_id long, status int, response string"
+#: Statuses besides 5xx of a service that is gone or refuses; 0 is no answer.
+TRIPPING = (0, 401, 403, 404)
 #: Statuses that speak of the file, not of the service.
 FILE_ERRORS = (400, 413, 415, 422)
 
@@ -41,33 +44,95 @@ class StubScorer:
         return out
 
 
+class FlakyStub(StubScorer):
+    """Fails for every third file when it is asked first, and rejects every seventh; for tests."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def score(self, files: pd.DataFrame) -> pd.DataFrame:
+        out = super().score(files)
+        first = ~out["file_id"].isin(self.seen)
+        out.loc[(out["file_id"] % 3 == 0) & first, "status"] = 503
+        out.loc[out["file_id"] % 7 == 0, "status"] = 422
+        self.seen |= set(out["file_id"])
+        return out
+
+
+class FaceStub:
+    """Two faces by the file's size, the second one unsure for odd sizes; for tests."""
+
+    def score(self, files: pd.DataFrame) -> pd.DataFrame:
+        out = files[["user_id", "file_id"]].copy()
+        out["status"] = 200
+        face = '{"signature":"%s","confidence":%s}'
+        out["response"] = ['{"faces":[%s,%s]}' % (face % (f"a{s}", 0.9), face % (f"b{s}", 0.2 if s % 2 else 0.8)) for s in files["file_size"]]
+        return out
+
+
 def eligible(files: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     return files.where(F.col("mime_type").isin(*ML_SUPPORTED) & (F.col("file_size") > 0) & (F.col("file_size") <= config.ml_max_file_bytes))
 
 
-def answers(files: DataFrame, scorer: Scorer, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """The scorer's answers; failures are tried again with a growing pause, and a task gives up on the service after a row of them."""
+def eligible_faces(files: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    return files.where(F.col("mime_type").isin(*FACE_SUPPORTED) & (F.col("file_size") > 0) & (F.col("file_size") <= config.people_max_file_bytes))
+
+
+def trips(status: int) -> bool:
+    """Whether a failure with this status may open the breaker; other failures only count."""
+    return status in TRIPPING or 500 <= status <= 599
+
+
+def asked(files: DataFrame, scorer: Scorer, schema: str, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """The scorer's good answers, in the shape of ``schema`` (user_id, file_id and status among it).
+
+    Each file that gets no good answer is asked again by itself, after a
+    growing pause.  After so many failures in a row, one of them of the
+    service, a task stops asking; what a batch brought after that point is
+    dropped, as it is by ``breaker``.
+    """
     retries = config.ml_retries
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         streak, disabled = 0, False
         for batch in batches:
-            if disabled:
+            if disabled or not len(batch):
                 continue
+            batch = batch.reset_index(drop=True)
+            pending, answers = batch, {}
             for attempt in range(retries + 1):
-                out = scorer.score(batch)
-                if (out["status"].between(200, 299) | out["status"].isin(FILE_ERRORS)).any() or attempt == retries:
+                out = scorer.score(pending).reset_index(drop=True)
+                answers |= dict(zip(pending.index, out.to_dict("records")))
+                pending = pending[~out["status"].between(200, 299).to_numpy()]
+                if not len(pending) or attempt == retries:
                     break
                 time.sleep(0.15 * (attempt + 1))
-            for status in out["status"]:
+            good = []
+            for k in batch.index:
+                status = int(answers[k]["status"])
                 if 200 <= status < 300:
                     streak = 0
+                    good.append(answers[k])
                 elif status not in FILE_ERRORS:
                     streak += 1
-                    disabled = disabled or streak >= MAX_FAILURES
-            yield out[out["status"].between(200, 299)]
+                    if streak >= MAX_FAILURES and trips(status):
+                        disabled = True
+                        break
+            if good:
+                yield pd.DataFrame(good)
+
+    return files.mapInPandas(run, schema)
+
+
+def answers(files: DataFrame, scorer: Scorer, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Categories of the files."""
+    return asked(files, scorer, ANSWER, config)
+
 
-    return files.mapInPandas(run, ANSWER)
+def face_answers(files: DataFrame, scorer: Scorer, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """user_id, file_id and signatures: faces that are sure enough (see ``parsed_faces``)."""
+    found = asked(files, scorer, FACE_ANSWER, config)
+    return found.select("user_id", "file_id", parsed_faces(F.col("response"), config).alias("signatures"))
 
 
 def breaker(outcomes: DataFrame, key: str = "run_id", order: str = "seq") -> DataFrame:
@@ -77,11 +142,11 @@ def breaker(outcomes: DataFrame, key: str = "run_id", order: str = "seq") -> Dat
     """
     ok = F.col("status").between(200, 299)
     failing = ~ok & ~F.col("status").isin(*FILE_ERRORS)
-    trips = F.col("status").isin(0, 401, 403, 404) | F.col("status").between(500, 599)
+    opening = F.col("status").isin(*TRIPPING) | F.col("status").between(500, 599)
     run = Window.partitionBy(key).orderBy(order)
     rows = outcomes.withColumn("_epoch", F.sum(ok.cast("int")).over(run))
     rows = rows.withColumn("streak", F.sum(failing.cast("int")).over(Window.partitionBy(key, "_epoch").orderBy(order)))
-    tripped = F.max((trips & failing & (F.col("streak") >= MAX_FAILURES)).cast("int")).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    tripped = F.max((opening & failing & (F.col("streak") >= MAX_FAILURES)).cast("int")).over(run.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("asked", F.coalesce(tripped, F.lit(0)) == 0).drop("_epoch")
 
 

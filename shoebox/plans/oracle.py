@@ -158,12 +158,12 @@ ORACLE: dict[str, str] = {
       SELECT user_id, count(*) AS total, count(*) FILTER (outcome = 'done') AS hashed, count(*) FILTER (outcome = 'skipped') AS skipped, count(*) FILTER (outcome = 'error') AS errors,
         count(*) FILTER (outcome <> 'error' AND file_id % 2 = 0) AS with_positive FROM o GROUP BY user_id""",
     "index_counts": f"WITH {FILES}, {PHOTOS} SELECT user_id, count(*) AS files, count(*) FILTER (mime_type IN {SUPPORTED}) AS images FROM scoped GROUP BY user_id",
-    "index_json": f"WITH {LOCATIONS} SELECT file_id, CAST(has_location AS VARCHAR) AS has_location, round(lat, 6) AS lat, '2023-11-14T22:13:20Z' AS scanned_at FROM locations",
+    "index_json": f"WITH {LOCATIONS} SELECT file_id, CAST(has_location AS VARCHAR) AS has_location, round(lat, 6) AS lat, '2023-11-14T22:13:20+00:00' AS scanned_at FROM locations",
     "class_scores": f"WITH {SCORES} SELECT file_id, round(document, 9) AS document, round(meme, 9) AS meme, round(nature, 9) AS nature, round(family, 9) AS family, round(object, 9) AS object FROM scores",
     "class_indicators": f"WITH {SCORES} SELECT * FROM ({COUNT_INDICATORS}) WHERE files > 0",
     "class_best": f"WITH {SCORES} SELECT file_id, category, round(top, 9) AS confidence, CAST({HELD} AS BIGINT) AS n_indicators FROM best",
     "class_counts": f"WITH {SCORES} SELECT category, count(*) AS count FROM best GROUP BY category",
-    "class_counts_zero_filled": f"WITH {SCORES}, r AS (SELECT * FROM best WHERE category <> 'nature') SELECT c.category, count(r.file_id) AS count, (SELECT count(*) FROM r) AS total FROM (VALUES ('document'), ('meme'), ('nature'), ('family'), ('object')) c(category) LEFT JOIN r USING (category) GROUP BY c.category",
+    "class_counts_zero_filled": f"WITH {SCORES}, r AS (SELECT * FROM best) SELECT c.category, count(r.file_id) AS count, (SELECT count(*) FROM r) AS total FROM (VALUES ('document'), ('meme'), ('nature'), ('family'), ('object')) c(category) LEFT JOIN r USING (category) GROUP BY c.category",
     "class_page": f"WITH {SCORES} SELECT file_id, round(top, 9) AS confidence FROM best WHERE category = 'family' ORDER BY top DESC, file_id LIMIT 30 OFFSET 10",
     "ml_merge": f"""WITH {SCORES}, m AS (SELECT *, file_id % 2 = 0 AND file_id % 10 <> 0 AND (file_id % 100) / 80.0::DOUBLE BETWEEN 0.45::DOUBLE AND 1 AS ok FROM best)
       SELECT file_id, CASE WHEN ok THEN 'meme' ELSE category END AS category, round(CASE WHEN ok THEN (file_id % 100) / 80.0::DOUBLE ELSE top END, 9) AS confidence,

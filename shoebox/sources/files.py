@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions.paths import SUPPORTED, mime_type, visible
-from shoebox.plans.config import KIB
+from shoebox.functions.scalars import gps
+from shoebox.plans.config import KIB, EngineConfig
 
 HEADER_BYTES = 64 * KIB
 
@@ -43,6 +44,25 @@ def hashed(files: DataFrame, most: int | None = None) -> DataFrame:
     return rows.select("path", F.sha2("content", 256).alias("content_hash"))
 
 
+def capped(files: DataFrame, most: int) -> DataFrame:
+    """path, content_hash and outcome of each file: over the limit it fails, and its content isn't read."""
+    fits = F.col("length") <= most
+    read = files.where(fits).select("path", F.sha2("content", 256).alias("content_hash"), F.lit("done").alias("outcome"))
+    return read.unionByName(files.where(~fits).select("path", F.lit(None).cast("string").alias("content_hash"), F.lit("error").alias("outcome")))
+
+
+def header_locations(headers: DataFrame) -> DataFrame:
+    """path, has_location, lat and lng from the tags of ``image_headers``."""
+    at = gps(F.col("lat"), F.col("lat_ref"), F.col("lng"), F.col("lng_ref"))
+    rows = headers.withColumn("_at", at)
+    return rows.select("path", F.col("_at").isNotNull().alias("has_location"), F.col("_at.lat").alias("lat"), F.col("_at.lng").alias("lng"))
+
+
+def located(files: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Locations from the first bytes of each file, as many as the settings say."""
+    return header_locations(image_headers(files, config.exif_read_bytes))
+
+
 # --- image headers ---
 
 TAGS = {0x010F: "make", 0x0110: "model", 0x8769: "_exif", 0x8825: "_gps", 0x9209: "flash", 0x920A: "focal_length", 0xA405: "focal_35mm", 0x9003: "date_original"}

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shoebox.functions.paths import SUPPORTED
-from shoebox.operators.index import KEY, merged, moved, without_files, write_users
+from shoebox.operators.index import KEY, drop_users, merged, moved, without_files, write_users
 from shoebox.plans.config import CLEANUP_SECONDS
 
 OPS = ("created", "written", "renamed", "deleted")
@@ -63,24 +63,40 @@ def delete_cascade(tables: dict[str, DataFrame], events: DataFrame, strict: bool
     return {name: without_files(t, gone) if name in touched else t for name, t in tables.items()}
 
 
-def start_upkeep(events: DataFrame, table_path: str, checkpoint: str, image_only: bool = True, available_now: bool = True) -> StreamingQuery:
-    """Apply a stream of events to the partitioned hash table at a path.
+def start_upkeep(events: DataFrame, table_path: str, checkpoint: str, image_only: bool = True, available_now: bool = True, categories_path: str | None = None) -> StreamingQuery:
+    """Apply a stream of events to the partitioned hash table at a path, and deletions to that of the categories.
 
     Each batch reads the partitions of its users alone, by a semi join
-    that prunes them, and overwrites those.
+    that prunes them, and overwrites those; a user whose last file went
+    loses the partition.  Faces and places are left to their own scans.
     """
 
+    def replace(after: DataFrame, users: DataFrame, path: str) -> None:
+        # The partitions that are read are the ones that get replaced: cut the lineage first.
+        after = after.checkpoint()
+        write_users(after, path)
+        left = after.select("user_id").distinct()
+        empty = users.join(left, users["user_id"].eqNullSafe(left["user_id"]), "left_anti")
+        drop_users(empty.sparkSession, (r["user_id"] for r in empty.toLocalIterator()), path)
+
     def batch(rows: DataFrame, _: int) -> None:
         spark: SparkSession = rows.sparkSession
         rows = rows.persist()
         try:
-            users = [r[0] for r in rows.select("user_id").distinct().limit(10_001).collect()]
-            table = spark.read.parquet(table_path)
-            # Many users: no list in the plan, the join finds them.
-            few = table.where(F.col("user_id").isin(users)) if len(users) <= 10_000 else table.join(rows.select("user_id").distinct(), "user_id", "left_semi")
-            after = apply_to_index(few, rows, image_only)
-            # The partitions that are read are the ones that get replaced: cut the lineage first.
-            write_users(after.checkpoint(), table_path)
+            touched = rows.select("user_id").distinct()
+            users = [r[0] for r in touched.limit(10_001).collect()]
+
+            def of_users(path: str) -> DataFrame:
+                spark.catalog.refreshByPath(path)
+                table = spark.read.parquet(path)
+                # Many users: no list in the plan, the join finds them.
+                return table.where(F.col("user_id").isin(users)) if len(users) <= 10_000 else table.join(touched, "user_id", "left_semi")
+
+            replace(apply_to_index(of_users(table_path), rows, image_only), touched, table_path)
+            if categories_path:
+                gone = last_events(rows).where("op = 'deleted'")
+                few = of_users(categories_path)
+                replace(without_files(few, gone), gone.select("user_id").distinct(), categories_path)
         finally:
             rows.unpersist()
 

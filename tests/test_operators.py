@@ -140,3 +140,83 @@ def test_image_headers(spark, tmp_path):
 def test_usable_references(spark):
     faces = spark.createDataFrame([("u", 1, "a"), ("u", 2, "b"), ("u", 2, "c"), ("u", 3, " ")], "user_id string, file_id long, face_signature string")
     assert [r.file_id for r in people.usable_as_reference(faces).collect()] == [1]
+
+
+def test_a_failed_file_is_asked_again_by_itself(spark):
+    """Only failing files are asked again, and what comes after the breaker opened is dropped, as by the window over the log."""
+    import pandas as pd
+
+    class Logged(scoring.StubScorer):
+        def __init__(self, statuses):
+            self.statuses, self.asked = statuses, []
+
+        def score(self, files):
+            out = super().score(files)
+            self.asked.append(out["file_id"].tolist())
+            out["status"] = [self.statuses[k] for k in out["file_id"]]
+            return out
+
+    def answered(statuses, batches):
+        """file ids of good answers of one task, and what the scorer was asked."""
+        scorer = Logged(statuses)
+        found = []
+
+        class Frame:
+            def mapInPandas(self, run, _):
+                rows = [pd.DataFrame({"user_id": "u", "file_id": b, "file_size": 1}) for b in batches]
+                for part in run(iter(rows)):
+                    found.extend(part["file_id"])
+
+        scoring.asked(Frame(), scorer, scoring.ANSWER)
+        return found, scorer.asked
+
+    assert answered({1: 200, 2: 503, 3: 422}, [[1, 2, 3]]) == ([1], [[1, 2, 3], [2, 3]])
+    for statuses in ([503, 200] + [500] * 5 + [200, 200], [429] * 6 + [200], [429] * 4 + [503, 200], [0, 401, 422, 403, 404, 500, 200], [500] * 4 + [200] + [500] * 4 + [200]):
+        log = [(0, n, s) for n, s in enumerate(statuses)]
+        out = scoring.breaker(spark.createDataFrame(log, "run_id int, seq int, status int")).collect()
+        expected = [r.seq for r in sorted(out, key=lambda r: r.seq) if r.asked and 200 <= r.status < 300]
+        for size in (1, 3, 20):
+            ids = list(range(len(statuses)))
+            assert answered(dict(enumerate(statuses)), [ids[k : k + size] for k in range(0, len(ids), size)])[0] == expected
+
+
+def test_moves_find_free_names(spark):
+    listing = spark.createDataFrame([("u", k, p) for k, p in enumerate(["A/x.jpg", "B/x.jpg", "B/x_1.jpg", "C/x.jpg", "C/x_1.jpg", "D/n", "B/y.tar.gz"])], "user_id string, file_id long, file_path string")
+    asked = spark.createDataFrame([("u", 0, 1, "/B/"), ("u", 3, 2, "B"), ("u", 4, 3, "B"), ("u", 5, 4, "new\\deep"), ("u", 6, 5, "A/.."), ("u", 99, 6, "B"), ("u", 6, 7, "E")], "user_id string, file_id long, pos long, target string")
+    from shoebox.operators import actions
+
+    got = {r.pos: (r.outcome, r.new_path) for r in actions.move_plan(listing, asked, F.lit(5)).collect()}
+    assert got[1] == ("moved", "B/x_2.jpg") and got[2] == ("moved", "B/x_3.jpg") and got[3] == ("moved", "B/x_1_1.jpg")
+    assert got[4] == ("moved", "new/deep/n") and got[5] == ("invalid_target", None) and got[6] == ("not_found", None) and got[7] == ("moved", "E/y.tar.gz")
+
+
+def test_commands_scan_and_clean(spark, tmp_path, capsys):
+    from shoebox import __main__ as commands
+
+    root, table = tmp_path / "files", str(tmp_path / "index")
+    (root / ".trash").mkdir(parents=True)
+    for name, text in (("a.jpg", "x"), ("b.jpg", "x"), (".trash/c.jpg", "x"), ("d.txt", "y")):
+        (root / name).write_text(text)
+
+    def run(*words):
+        commands.run(spark, commands.arguments().parse_args([*words, "--index", table, "--files", str(root)]))
+        spark.catalog.refreshByPath(table)
+        return sorted(r.file_path for r in spark.read.parquet(table).collect())
+
+    assert run("scan") == ["a.jpg", "b.jpg", "d.txt"]
+    (root / "b.jpg").unlink()
+    (root / "d.txt").unlink()
+    assert run("cleanup") == ["a.jpg", "d.txt"]  # no duplicate is looked at for d
+    assert run("scan", "--force") == ["a.jpg"]
+    run("stats")
+    run("groups")
+    assert "duplicate_groups" in capsys.readouterr().out
+
+
+def test_zero_counts_and_capped_copies(spark):
+    rows = spark.createDataFrame([("meme",), ("meme",)], "category string")
+    assert [(r.category, r["count"], r.total) for r in classify.all_counts(rows).orderBy("ord").collect()] == [(c, 2 if c == "meme" else 0, 2) for c in classify.CATEGORIES]
+    from shoebox.sources import files
+
+    found = spark.createDataFrame([("a", bytearray(b"abc"), 3), ("b", bytearray(b"abcd"), 4)], "path string, content binary, length long")
+    assert sorted((r.path, r.outcome, r.content_hash is None) for r in files.capped(found, 3).collect()) == [("a", "done", False), ("b", "error", True)]

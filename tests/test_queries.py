@@ -37,7 +37,29 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_other_queries_are_few():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"face_nms"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"perceptual_hashes"}
+    assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_perceptual_hashes(spark):
+    """Against the sums of the transform, written out."""
+    import numpy as np
+
+    from shoebox.operators import signatures
+
+    r = np.random.default_rng(3)
+    pictures = [r.integers(0, 256, 4096).astype(np.uint8).tobytes() for _ in range(3)] + [bytes(4096)]
+    for raw in pictures:
+        x = np.frombuffer(raw, np.uint8).reshape(64, 64).astype(float)
+        low = np.array([[sum(4 * x[m, n] * math.cos(math.pi * i * (2 * m + 1) / 128) * math.cos(math.pi * j * (2 * n + 1) / 128) for m in range(64) for n in range(64)) for j in range(16)] for i in range(2)])
+        got = signatures.perceptual_hash(raw)
+        bits = bin(int(got, 16))[2:].zfill(256)
+        full = signatures.cosines() @ x @ signatures.cosines().T
+        assert np.allclose(full[:2], low, atol=1e-6)
+        assert bits[:32] == "".join("1" if v > np.median(full) else "0" for v in full[:2].reshape(-1))
+    assert signatures.perceptual_hash(b"abc") is None and signatures.perceptual_hash(None) is None
+    rows = catalogue.queries()["perceptual_hashes"](spark, SF).collect()
+    assert len(rows) > 1 and all(len(x.face_signature) == 64 for x in rows) and len({x.face_signature for x in rows}) > 1
 
 
 def test_greedy_suppression(spark):

@@ -33,6 +33,23 @@ def test_upkeep_is_current_and_may_be_replayed(spark, tmp_path):
         assert got == [("u", 1, "Photos/new.jpg", "old"), ("u", 3, "Photos/a.jpg", "h6"), ("v", 9, "p", "old")]
 
 
+def test_the_last_file_of_a_user_can_go(spark, tmp_path):
+    """A user's last file, and another user's in the categories; names need escaping, replays do no harm."""
+    table, classes, source = (str(tmp_path / x) for x in ("table", "classes", "events"))
+    base = [("u/x=1", 1, "p", 1, "image/jpeg", "old", 0, T0), ("v", 9, "p", 1, "image/jpeg", "old", 0, T0), ("w", 4, "p", 1, "image/jpeg", "old", 0, T0), ("w", 5, "p", 1, "image/jpeg", "old", 0, T0)]
+    spark.createDataFrame(base, schema.FILE_HASHES).write.partitionBy("user_id").parquet(table)
+    kinds = [(u, k, "p", 1, "image/jpeg", "meme", 0.5, ["a"], T0) for u, k in (("u/x=1", 1), ("u/x=1", 2), ("v", 9), ("w", 4))]
+    spark.createDataFrame(kinds, schema.CLASSIFICATIONS).write.partitionBy("user_id").parquet(classes)
+    spark.createDataFrame([event(1, "u/x=1", 1, "deleted", mime="text/plain"), event(2, "w", 4, "deleted"), event(3, "nobody", 3, "deleted")], schema.EVENTS).coalesce(1).write.parquet(source)
+    for run in ("a", "b"):
+        query = upkeep.start_upkeep(spark.readStream.schema(schema.EVENTS).parquet(source), table, str(tmp_path / f"c{run}"), categories_path=classes)
+        query.awaitTermination(120)
+        assert query.exception() is None
+        for path, expected in ((table, [("v", 9), ("w", 5)]), (classes, [("u/x=1", 2), ("v", 9)])):
+            spark.catalog.refreshByPath(path)
+            assert sorted((r.user_id, r.file_id) for r in spark.read.parquet(path).collect()) == expected
+
+
 def test_cleanup_is_throttled(spark, tmp_path):
     times = [(0, False), (10, False), (299, True), (300, False), (301, False), (700, False)]
     rows = [("u", T0 + dt.timedelta(seconds=s), busy) for s, busy in times]
