@@ -53,19 +53,19 @@ def letter_table() -> np.ndarray:
 def ngrams(text: str, most: int | None = PROFILE) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent n-grams of a text and their counts, in that order; without it all of them, in order of their numbers.
 
-    An n-gram is a number of up to three 21-bit code points; a blank is 0,
-    and blanks alone are no n-gram.
+    An n-gram is a number of up to three 21-bit code points; a blank is 1,
+    so that a blank in front counts, and blanks alone are no n-gram.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     is_letter = letter_table()[points]
     if not is_letter.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    points[~is_letter] = 0
-    points = np.concatenate(([0], points, [0]))
-    points = points[np.concatenate(([True], (points[1:] != 0) | (points[:-1] != 0)))]  # one blank between words
+    points[~is_letter] = 1
+    points = np.concatenate(([1], points, [1]))
+    points = points[np.concatenate(([True], (points[1:] != 1) | (points[:-1] != 1)))]  # one blank between words
     two = (points[:-1] << 21) | points[1:]
     three = (two[:-1] << 21) | points[2:]
-    keys = np.concatenate((points[points != 0], two, three))
+    keys = np.concatenate((points[points != 1], two, three))
     keys.sort()
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     counts = np.diff(np.append(first, len(keys)))
