@@ -8,18 +8,20 @@ pieces of one start from short to long, and a path replaces another only
 with a higher score.  A character that no piece of its own covers costs
 the least score less 10 and counts as its UTF-8 bytes (byte fallback).
 
-Blanks are written as U+2581, and one is put in front of the text.  No
-piece of the vocabulary has that mark behind another character (checked
-when it is loaded), so every path breaks before a word and words are
-counted on their own, with a bounded memo.  Scores must be whole numbers,
-so sums are exact in any order.
+Blanks are written as U+2581, and one is put in front of the text.  Where
+no piece of the vocabulary has that mark behind another character, every
+path breaks before a word; where scores are whole numbers too, sums are
+exact in any order.  With such a vocabulary words are counted on their
+own, with a bounded memo.  With any other one the whole text is one path,
+whose sums grow from the left as the library's do.
 
 The vocabulary is read from a sentencepiece model file with its stored
 scores; a file whose model is of another type serves as a unigram
 vocabulary all the same.
 
-Edge cases: a null or empty text has no tokens and score 0; repeated
-rows give repeated results; other input columns are ignored.
+Edge cases: a null or empty text has no tokens and score 0; an empty table
+gives no rows; very long texts take memory in proportion to their size;
+repeated rows give repeated results; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,11 +46,9 @@ class UnigramCounter:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        #: Whether words may be counted on their own.
+        self.by_word = all(score == int(score) and not re.search(f"[^{MARK}]{MARK}", piece) for piece, score in pieces)
         for piece, score in pieces:
-            if score != int(score):
-                raise ValueError("scores must be whole numbers")
-            if re.search(f"[^{MARK}]{MARK}", piece):
-                raise ValueError(f"a piece runs over the start of a word: {piece!r}")
             self.automaton.add_word(piece, (len(piece), float(score)))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
@@ -58,6 +58,8 @@ class UnigramCounter:
         """Tokens and score of a text."""
         if not text:
             return 0, 0.0
+        if not self.by_word:
+            return self.viterbi(MARK + text.replace(" ", MARK))
         memo, tokens, total = self.memo, 0, 0.0
         if len(memo) > MEMO:
             memo.clear()
