@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -134,12 +135,23 @@ def cleanup_due(requests: DataFrame, seconds: int = CLEANUP_SECONDS) -> DataFram
 
 
 def due_in_order(requests: DataFrame, seconds: int = CLEANUP_SECONDS) -> DataFrame:
-    """The same for a finished table: a fold over each user's times, in order."""
-    idle = requests.where("NOT classifying").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    lists = idle.groupBy("user_id").agg(F.array_sort(F.collect_list("at")).alias("ats"))  # a user's page views
+    """The same for a finished table.
 
-    def step(acc: Column, at: Column) -> Column:
-        ok = (F.size(acc) == 0) | (at - F.element_at(acc, -1) >= seconds * 1_000_000)
-        return F.when(ok, F.concat(acc, F.array(at))).otherwise(acc)
-
-    return lists.select("user_id", F.explode(F.aggregate("ats", F.array().cast("array<bigint>"), step)).alias("at")).select("user_id", F.timestamp_micros("at").alias("ts"))
+    Each user's times stream by in order and only the last start is held,
+    so a user with very many page views costs no memory.
+    """
+    idle = requests.where("NOT classifying").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).distinct()
+    rows = idle.repartition("user_id").sortWithinPartitions("user_id", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, last = object(), None
+        for batch in batches:
+            users, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            due = []
+            for k, (u, at) in enumerate(zip(users, times)):
+                if u != user or at - last >= seconds * 1_000_000:
+                    user, last = u, at
+                    due.append(k)
+            yield batch.take(pa.array(due, pa.int64()))
+
+    return rows.mapInArrow(run, "user_id string, at long").select("user_id", F.timestamp_micros("at").alias("ts"))
