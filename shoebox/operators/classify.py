@@ -35,23 +35,30 @@ class Rule:
 
 
 class Facts:
-    """What the rules ask of a row, as columns."""
+    """What the rules ask of a row: columns that are made once (``made``), and by which the rules name them."""
 
     def __init__(self):
         c = F.col
-        self.name, self.mime, self.size = c("file_name"), c("mime_type"), c("file_size")
-        self.camera = ~blank(c("make")) | ~blank(c("model"))
-        self.gps = F.coalesce(c("has_gps"), F.lit(False))
-        self.flash = F.coalesce(c("flash"), F.lit(0)).bitwiseAND(1) == 1
-        self.dated = ~blank(c("date_original"))
-        self.focal = focal_length(c("focal_35mm"), c("focal_length"))
         w, h = c("width").cast("double"), c("height").cast("double")
-        self.screen = screen_sized(c("width"), c("height"))
-        self.aspect = F.when(h > 0, w / h).otherwise(F.lit(1.0))
-        self.mp = w * h / 1_000_000
-        self.bpp = F.when((w > 0) & (h > 0), self.size / (w * h)).otherwise(F.lit(0.0))
-        self.png, self.jpeg = self.mime == "image/png", self.mime == "image/jpeg"
-        self.document_name = any_match(self.name, DOCUMENT_NAMES)
+        given = {
+            "camera": ~blank(c("make")) | ~blank(c("model")),
+            "gps": F.coalesce(c("has_gps"), F.lit(False)),
+            "flash": F.coalesce(c("flash"), F.lit(0)).bitwiseAND(1) == 1,
+            "dated": ~blank(c("date_original")),
+            "focal": focal_length(c("focal_35mm"), c("focal_length")),
+            "screen": screen_sized(c("width"), c("height")),
+            "aspect": F.when(h > 0, w / h).otherwise(F.lit(1.0)),
+            "mp": w * h / 1_000_000,
+            "bpp": F.when((w > 0) & (h > 0), c("file_size") / (w * h)).otherwise(F.lit(0.0)),
+            "document_name": any_match(c("file_name"), DOCUMENT_NAMES),
+            "meme_name": any_match(c("file_name"), MEME_NAMES),
+            "family_name": any_match(c("file_name"), FAMILY_NAMES),
+        }
+        self.made = {f"_fact_{k}": v for k, v in given.items()}
+        for k in given:
+            setattr(self, k, c(f"_fact_{k}"))
+        self.size = c("file_size")
+        self.png, self.jpeg = c("mime_type") == "image/png", c("mime_type") == "image/jpeg"
 
 
 def first_rules(f: Facts) -> list[Rule]:
@@ -72,7 +79,7 @@ def first_rules(f: Facts) -> list[Rule]:
         Rule("meme", 0.15, "small_file_size", (f.size > 0) & (f.size < 500_000)),
         Rule("meme", 0.10, "low_resolution", (f.mp > 0) & (f.mp < 2.0)),
         Rule("meme", 0.15, "high_jpeg_compression", f.jpeg & (f.bpp > 0) & (f.bpp < 0.5)),
-        Rule("meme", 0.30, "meme_filename", any_match(f.name, MEME_NAMES)),
+        Rule("meme", 0.30, "meme_filename", f.meme_name),
         Rule("meme", 0.10, "square_aspect", (f.aspect > 0.8) & (f.aspect < 1.25) & (f.mp < 3)),
         Rule("nature", 0.12, "has_gps", f.gps),
         Rule("nature", 0.06, "has_camera", f.camera),
@@ -90,7 +97,7 @@ def first_rules(f: Facts) -> list[Rule]:
         Rule("family", 0.18, "flash_used", f.flash),
         Rule("family", 0.18, "portrait_focal_length", portrait),
         Rule("family", 0.10, "has_date", f.dated),
-        Rule("family", 0.20, "family_filename", any_match(f.name, FAMILY_NAMES)),
+        Rule("family", 0.20, "family_filename", f.family_name),
         Rule("family", 0.10, "high_quality", (f.mp >= 5) & (f.size > 1_000_000)),
         Rule("family", 0.05, "gps_with_camera", f.gps & f.camera),
         Rule("family", 0.08, "phone_export_people_bias", ~f.camera & (f.mp >= 2.0) & (f.aspect >= 0.75) & (f.aspect <= 1.5)),
@@ -133,10 +140,10 @@ def scores(photos: DataFrame) -> DataFrame:
     has_gps, flash, focal_length, focal_35mm, date_original.
     """
     f = Facts()
-    out = apply_rules(photos, first_rules(f), True)
+    out = apply_rules(photos.withColumns(f.made), first_rules(f), True)
     for rules in second_rules(f):
         out = apply_rules(out, rules, False)
-    return out.withColumns({f"s_{c}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"s_{c}"))) for c in CATEGORIES})
+    return out.withColumns({f"s_{c}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"s_{c}"))) for c in CATEGORIES}).drop(*f.made)
 
 
 def best(scored: DataFrame) -> DataFrame:
