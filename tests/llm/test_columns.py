@@ -270,6 +270,49 @@ def test_languages(spark):
     assert empty.predict("abc") == ("und", 0.0)
 
 
+def brute_profile(texts, most):
+    """N-grams by frequency, ties by code points, of words padded by a blank."""
+    from collections import Counter
+
+    found = Counter()
+    for t in texts:
+        letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower())
+        padded = " " + re.sub(" +", " ", letters).strip() + " "
+        if padded.strip():
+            for n in (1, 2, 3):
+                for k in range(len(padded) - n + 1):
+                    if padded[k : k + n] != " ":
+                        found[padded[k : k + n]] += 1
+    number = lambda g: sum((1 if c == " " else ord(c)) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], number(x[0])))][:most]
+
+
+def test_profiles_and_distances_are_those_of_brute_force(spark):
+    r = random.Random(2)
+    words = {"xx": "tana mora kila étè ñu", "yy": "xyz zzq qxx mora ß", "zz": "漢字 文 абв где"}
+    rows = [(k, " ".join(r.choice(words[lang].split()) for _ in range(r.randint(1, 40))), lang, None, None) for k in range(40) for lang in words]
+    docs = frame(spark, rows + [(900 + k, t, None, None, None) for k, (_, t, *_) in enumerate(awkward())], extra=True)
+    model = language.learn(docs)
+    import zlib
+
+    mine = {lang: [t for k, t, x, *_ in rows if x == lang and zlib.crc32(str(k).encode()) % 4 != 2] for lang in words}
+    profiles = {lang: brute_profile(texts, language.PROFILE) for lang, texts in mine.items()}
+    for t in [t for _, t, *_ in rows] + [t for _, t, *_ in awkward() if t and len(t) < 2000] + ["e\u0301", "\u0301"]:
+        own = brute_profile([t], language.PROFILE)
+        if not own:
+            assert model.predict(t) == ("und", 0.0)
+            continue
+        distances = {lang: sum(abs(p.index(g) - k) if g in p else language.PROFILE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best, second = sorted(distances.values())[:2]
+        lang = min(x for x in sorted(distances) if distances[x] == best)  # of equal distances the first by name
+        assert model.compare(t) == pytest.approx((lang, second / (best + second) if best + second else 0.5, best / (language.PROFILE * len(own))))
+    limit = language.limit_of(docs, model)
+    assert limit < 1
+    kept = {r.text for r in language.keep_identified(docs, model, limit).collect()}
+    assert {t for _, t, *_ in rows} <= kept and not kept & {None, "", " ", "1234 !!! ###"}
+    assert language.keep_identified(spark.createDataFrame([(1, "ωψφ χυτ")], "doc_id long, text string"), model, limit).collect() == []
+
+
 def test_out_of_place_distance():
     model = language.Profiles(["a", "b"], [[97, 98, 99], [98, 97]])
     keys, _ = language.ngrams("ab")

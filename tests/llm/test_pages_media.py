@@ -133,6 +133,58 @@ def test_archives(spark, tmp_path):
     assert media.read_archive(spark, path).count() == len(awkward())
 
 
+def test_image_columns_are_those_of_brute_force(spark, tmp_path):
+    import math
+
+    path = str(tmp_path / "archive")
+    rows = [(k, t, None, None, None) for k, (_, t, *_) in enumerate(awkward())]
+    media.write_archive(media.texts_to_images(texts_of(frame(spark, rows, extra=True))), path)
+    got = {r.doc_id: r for r in media.image_columns(media.read_archive(spark, path)).collect()}
+    assert sorted(got) == [r[0] for r in rows]
+    for k, t, *_ in rows:
+        raw = (t or "").encode()
+        full = raw + b" " * (-len(raw) % 192 if raw else 192)
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
+        image = media.to_png(raw)
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        mean = sum(full) / len(full)
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in full) / len(full))
+        cuts = [b * len(full) // 64 for b in range(65)]
+        sums = [sum(full[a:b]) for a, b in zip(cuts, cuts[1:])]
+        bits = "".join("1" if 64 * s * 64 >= 64 * sum(sums) else "0" for s in sums)
+        shown = r.feature.split(":")
+        assert abs(float(shown[0]) - mean) < 1e-3 and abs(float(shown[1]) - deviation) < 1e-3 and shown[2] == f"{int(bits, 2):016x}"
+    same = [r.doc_id for r in got.values() if r.payload_sha256 == got[8].payload_sha256]
+    assert len({(got[k].media_sha256, got[k].feature) for k in same}) == 1
+
+
+@pytest.mark.parametrize("name", ["", "a", "n" * 100, "n" * 101, "é" * 50 + "n", "漢" * 33, "漢" * 34, "x" * 5000, "nul\0inside\0"])
+def test_names_of_any_length(name):
+    raw = media.header(name, b"12345") + b"12345"
+    assert len(media.header(name, b"")) % 512 == 0
+    assert media.member(lambda at, n: raw[at : at + n], 0) == (name, b"12345")
+
+
+def test_damaged_members_raise_what_is_retried(tmp_path):
+    whole = media.header("a", b"12345") + b"12345" + bytes(507)
+    for at, byte in ((124, b"9"), (125, b"x"), (257, b"?"), (512, b"!"), (170, b"z")):
+        damaged = whole[:at] + byte + whole[at + 1 :]
+        with pytest.raises(OSError):
+            media.member(lambda at, n, d=damaged: d[at : at + n], 0)
+        # Read again from a handle that gives it whole, it is there.
+        path, seen = tmp_path / f"{at}.tar", []
+        path.write_bytes(whole)
+
+        def handle():
+            seen.append(1)
+            import io
+
+            return io.BytesIO(damaged) if len(seen) < 2 else open(path, "rb")
+
+        assert media.retried(handle, 0) == ("a", b"12345") and len(seen) == 2
+
+
 def test_no_members(spark, tmp_path):
     path = str(tmp_path / "none")
     media.write_archive(spark.createDataFrame([], "name string, payload binary"), path)
