@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import EVENTS, FACES, FILES, LAST, LISTING, LOCATIONS, REQUESTS, SCORES, SUPPORTED
+from .oracle import FACES, FILES, LAST, LISTING, LOCATIONS, REQUESTS, SCORES, SUPPORTED
 
 AT = "strftime(make_timestamp((1700000000 + {}) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
 IMAGES = f"mime_type IN {SUPPORTED}"
