@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
     path = vocabulary("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(texts_of(table(spark, sf_dir, "documents")), path), path)
+    out = bpe.round_trip(texts_of(table(spark, sf_dir, "documents")), path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -53,10 +52,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
     scratch = Scratch(spark, "media")
-    media.write_archive(media.texts_to_images(texts_of(table(spark, sf_dir, "documents"))), scratch.path("archives"))
-    out = scratch.put(media.image_columns(media.read_archive(spark, scratch.path("archives"))), "columns")
-    scratch.drop("archives")
-    return out
+    try:
+        media.write_archive(media.texts_to_images(texts_of(table(spark, sf_dir, "documents"))), scratch.path("archives"))
+        return scratch.put(media.image_columns(media.read_archive(spark, scratch.path("archives"))), "columns")
+    finally:
+        scratch.drop("archives")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     from test_columns import base
     from test_near import brute
 
-    from shoebox.llm import language, near, quality
+    from shoebox.llm import language, quality
 
     sf = str(tmp_path)
     rows = awkward() + [(30 + k, prose(60 + k) + ". call a.b@c.de or 1.2.3.4", "en", "s", 1) for k in range(12)] + [(60, None, "en", None, None), (61, "ωψφ χυτ " * 20, None, None, None)]

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
-from data import awkward, frame
+from data import awkward, frame, prose
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -45,15 +45,28 @@ def test_counts_are_those_of_a_unigram_model():
     own = counts.counter(PIECE)
     for t in odd_texts():
         assert own.count(t)[0] == len(model.encode(t, add_special_tokens=False).ids)
-    with pytest.raises(ValueError):
-        counts.UnigramCounter([("a▁b", -1.0)])
-    with pytest.raises(ValueError):
-        counts.UnigramCounter([("a", -1.5)])
+    assert own.by_word
+
+
+def test_counts_of_any_unigram_vocabulary():
+    """Scores with fractions, ties, and pieces that run over the start of a word."""
+    from tokenizers import Tokenizer, models, normalizers
+
+    r = random.Random(8)
+    base = [p for p, _ in counts.pieces_of(PIECE)]
+    for scores, more in ((lambda: -r.random() * 12, []), (lambda: -r.choice((1.1, 2.2, 3.3)), ["the▁the", "a▁b", "▁'s▁"]), (lambda: -float(r.randint(1, 9)), [])):
+        pieces = [(p, 0.0 if k < 3 else scores()) for k, p in enumerate(base + more)]
+        model = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+        model.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+        own = counts.UnigramCounter(pieces)
+        for t in odd_texts(400) + ["the the a b's a b " * 30, prose(3)]:
+            assert own.count(t)[0] == len(model.encode(t, add_special_tokens=False).ids), (t, own.by_word)
 
 
 def test_frames_of_awkward_rows(spark):
     docs = texts_of(frame(spark, extra=True))
     got = bpe.decode(bpe.encode(docs, BYTE), BYTE).collect()
+    assert sorted(map(str, got)) == sorted(map(str, bpe.round_trip(docs, BYTE).collect()))
     assert len(got) == len(awkward())
     assert sorted(r.decoded for r in got) == sorted(t or "" for _, t, *_ in awkward())
     assert len(counts.count(docs, PIECE).collect()) == len(awkward())
