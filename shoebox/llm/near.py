@@ -294,7 +294,7 @@ class Group:
 
 
 def open_classes(rows: DataFrame) -> DataFrame:
-    """key, blocks, rep, component, n_shingles, registers -> key and rep of the classes that have a pair to confirm."""
+    """key, blocks, rep, component, n_shingles, n_chars, registers -> key, rep, component and n_chars of the classes that have a pair to confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["key", "lo", "hi"]):
@@ -302,9 +302,9 @@ def open_classes(rows: DataFrame) -> DataFrame:
             for a, b in group.pairs():
                 found[a] = found[b] = True
             if found.any():
-                yield pa.record_batch([pa.array(np.full(found.sum(), group.key)), pa.array(group.rep[found])], ["key", "rep"])
+                yield from table.select(["key", "rep", "component", "n_chars"]).filter(pa.array(found)).to_batches()
 
-    return blocks(rows).mapInArrow(run, "key long, rep long").distinct()
+    return blocks(rows).mapInArrow(run, "key long, rep long, component long, n_chars long").distinct()
 
 
 def across(rows: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     # Texts of classes that meet another one, one row of each class.
     ids = shared.select("rep").distinct()
-    wanted = classes.join(ids, "rep", "left_semi").select("first_id", "set_id", "rep")
+    wanted = classes.join(ids, "rep", "left_semi").select("first_id", "set_id", "rep", "n_shingles", "registers")
     texts = scratch.put(one_text(docs, wanted), "texts")
 
     met = scratch.put(estimated(shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), classes), "met")
@@ -397,10 +397,8 @@ def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     placed = scratch.put(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
     open_keys = scratch.put(open_keys.select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")), "open")
-    meeting = placed.join(open_keys, "key").join(classes.select("rep", "n_shingles", "registers"), "rep")
-    chosen = scratch.put(open_classes(meeting.select("key", "blocks", "rep", "component", "n_shingles", "registers")), "chosen")
-
-    chosen = chosen.join(placed, ["key", "rep"]).join(classes.select("rep", "n_shingles", "n_chars", "registers"), "rep")
+    meeting = placed.join(open_keys, "key").join(classes.select("rep", "n_shingles", "n_chars", "registers"), "rep")
+    chosen = scratch.put(open_classes(meeting.select("key", "blocks", "rep", "component", "n_shingles", "n_chars", "registers")), "chosen")
     sizes = chosen.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_chars") / BLOCK_CHARS)).alias("blocks"))
     rest = chosen.join(sizes, "key").join(texts, "rep")
     second = scratch.put(across(rest.select("key", "blocks", "rep", "component", "n_shingles", "registers", "text")), "second")
@@ -417,14 +415,14 @@ def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, text: for each class the text of its first document; equal ids are told apart by the set."""
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select(F.col("rep").alias("doc_id"), "text", "set_id")
+    """rep, text, n_shingles, registers: each class with the text of its first document; equal ids are told apart by the set."""
+    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("rep", "text", "set_id", "n_shingles", "registers")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         same = [hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() == s for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        return pa.record_batch([batch.column(0), batch.column(1)], ["rep", "text"]).filter(pa.array(same))
+        return batch.select(["rep", "text", "n_shingles", "registers"]).filter(pa.array(same))
 
-    return map_slices(joined, work, "rep long, text string").dropDuplicates(["rep"])
+    return map_slices(joined, work, "rep long, text string, n_shingles long, registers binary").dropDuplicates(["rep"])
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -105,8 +105,8 @@ def test_rows_of_an_open_bucket_grow_linearly(spark):
     registers = np.stack([near.registers(np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))) for _ in range(5000)])
     registers[:, : near.WIDTH] = registers[0, : near.WIDTH]
     bucket = int(near.band_keys(registers[:1])[0, 0])
-    made = [(bucket, 1, k, k, 300, bytearray(x.tobytes())) for k, x in enumerate(registers)]
-    df = spark.createDataFrame(made, "key long, blocks long, rep long, component long, n_shingles long, registers binary")
+    made = [(bucket, 1, k, k, 300, 1800, bytearray(x.tobytes())) for k, x in enumerate(registers)]
+    df = spark.createDataFrame(made, "key long, blocks long, rep long, component long, n_shingles long, n_chars long, registers binary")
     assert near.open_classes(df).collect() == []
 
 
