@@ -99,6 +99,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import codes
+
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audit
+
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(turns.unionByName(probe), vocabulary("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_counts": op2_counts,
@@ -110,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_lines": op9_lines,
     "op10_quality": op10_quality,
+    "op11_codes": op11_codes,
+    "op12_audit": op12_audit,
+    "op13_chat": op13_chat,
 }
 
 

@@ -33,3 +33,53 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 ORACLE = {"op9_lines": OP9}
+
+# Filters: A under 100 words, B distinct words under 80 %, C capitals A-Z over 10 % of the code points, D one of # $ % & * |,
+# E a text that a smaller doc_id has, too.
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END ||
+  CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END ||
+  CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x <> b.x AND a.x <> c.x AND a.x <> d.x AND a.x <> e.x AND b.x <> c.x AND b.x <> d.x AND b.x <> e.x AND c.x <> d.x AND c.x <> e.x AND d.x <> e.x),
+steps AS (SELECT filter_order, step, filter_order[step] AS x, filter_order[1:step - 1] AS earlier FROM orders, range(1, 6) r(step)),
+s AS (SELECT part, filter_order, step, x, good, toxic, contains(fails, x) AS failing, fails = x AS only_this,
+  len(regexp_extract_all(fails, '[' || earlier || '_]')) > 0 AS gone FROM f, steps),
+c AS (SELECT part, filter_order, step, x, count(*) FILTER (NOT gone AND NOT failing) AS kept, count(*) FILTER (NOT gone AND failing) AS removed,
+  count(*) FILTER (gone AND failing) AS redundant, count(*) FILTER (only_this) AS unique_fails,
+  count(*) FILTER (NOT gone AND failing AND good = 1) AS good_lost, count(*) FILTER (NOT gone AND failing AND toxic = 1) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM c
+"""
+
+ORACLE["op12_audit"] = OP12
+
+
+def op11(parts: int = 4, most: int = 256, rounds: int = 4) -> str:
+    """Exact search by all distances, a table for each round; for vectors of one length."""
+    steps = []
+    nearest = "SELECT v.vec_id, v.rid, v.part, v.x, arg_min(b.entry, (list_sum(list_transform(list_zip(v.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), b.entry)) AS entry, min(list_sum(list_transform(list_zip(v.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM v JOIN {book} b ON b.part = v.part GROUP BY ALL"
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({nearest.format(book=f'b{k}')})")
+        steps.append(f"m{k} AS (SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS y FROM a{k}, range(1, {{width}} + 1) r(i) GROUP BY ALL)")
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(any_value(n.x), any_value(b.x)) AS x FROM b{k} b LEFT JOIN (SELECT part, entry, list(y ORDER BY i) AS x FROM m{k} GROUP BY ALL) n ON n.part = b.part AND n.entry = b.entry GROUP BY b.part, b.entry)")
+    body = ",\n".join(steps).replace("{width}", f"(SELECT len(embedding) // {parts} FROM e LIMIT 1)")
+    return f"""
+WITH e AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT vec_id, rid, p AS part, list_transform(embedding[p * len(embedding) // {parts} + 1:(p + 1) * len(embedding) // {parts}], lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM e, range({parts}) r(p)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM v WHERE rid <= {most}),
+{body},
+last AS MATERIALIZED ({nearest.format(book=f"b{rounds}")}),
+c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM last GROUP BY rid)
+SELECT e.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM e JOIN c USING (rid)
+"""
+
+
+ORACLE["op11_codes"] = op11()
