@@ -159,7 +159,7 @@ WINDOW = "conv_id long, first_turn long, n_turns int, n_repeated int, n_tokens l
 
 def cut(rows: Iterator[tuple], budget: int, history: int) -> Iterator[dict]:
     """Windows of one segment after another, from sorted rows of conversation, segment, whether carried, pos, start, tokens, role and text."""
-    group, system, recent, fresh = object(), None, deque(), []
+    group, system, recent, fresh, opening = object(), None, deque(), [], 0
 
     def spelled(turn: tuple) -> str:
         return f"{BEGIN}{turn[3]}\n{turn[4]}{END}"
@@ -191,17 +191,19 @@ def cut(rows: Iterator[tuple], budget: int, history: int) -> Iterator[dict]:
             else:
                 recent.append(turn)
             continue
-        held = system[2] if system else 0
-        if fresh and held + turn[1] + turn[2] - (recent[0] if recent else fresh[0] if fresh[0] is not system else fresh[1] if len(fresh) > 1 else turn)[1] > budget:
+        held, end = system[2] if system else 0, turn[1] + turn[2]
+        # Tokens from the first turn beside the system turn on, as a difference of prefix sums.
+        if fresh and held + end - min(opening, turn[1]) > budget:
             yield window()
             recent.extend(t for t in fresh if t is not system)
             fresh = []
         if not fresh:
             # Of what was before, the turns that directly come before, as far as history and budget go.
-            while recent and (turn[1] - recent[0][1] > history or held + turn[1] + turn[2] - recent[0][1] > budget):
+            while recent and (turn[1] - recent[0][1] > history or held + end - recent[0][1] > budget):
                 recent.popleft()
             if recent and recent[-1][0] != turn[0] - 1:
                 recent.clear()
+            opening = recent[0][1] if recent else end if is_system else turn[1]
         if is_system:
             system = turn
         fresh.append(turn)
