@@ -376,8 +376,9 @@ def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sketches = scratch.put(sketch(docs), "sketches")
     # Classes are numbered, as ids may be null or repeat.  The numbers are written once, so they hold.
     first = [F.first(c).alias(c) for c in ("n_shingles", "n_chars", "registers")]
-    classes = sketches.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), *first)
-    classes = scratch.put(classes.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("x")
+    classes = sketches.where("n_shingles > 0").groupBy("set_id").agg(least, *first)
+    classes = scratch.put(classes.select(F.monotonically_increasing_id().alias("rep"), "set_id", F.col("x.doc_id").alias("first_id"), F.col("x.mark").alias("first_mark"), "n_shingles", "n_chars", "registers"), "classes")
 
     banded = scratch.put(bands(classes), "bands")
     buckets = scratch.put(banded.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "buckets")
@@ -386,7 +387,7 @@ def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     # Texts of classes that meet another one, one row of each class.
     ids = shared.select("rep").distinct()
-    wanted = classes.join(ids, "rep", "left_semi").select("first_id", "set_id", "rep", "n_shingles", "registers")
+    wanted = classes.join(ids, "rep", "left_semi").select("first_id", "first_mark", "set_id", "rep", "n_shingles", "registers")
     texts = scratch.put(one_text(docs, wanted), "texts")
 
     met = scratch.put(estimated(shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), classes), "met")
@@ -415,8 +416,13 @@ def _linked(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def one_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, text, n_shingles, registers: each class with the text of its first document; equal ids are told apart by the set."""
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("rep", "text", "set_id", "n_shingles", "registers")
+    """rep, text, n_shingles, registers: each class with the text of its first document.
+
+    Documents are met by id and a hash of the text, so classes of one id,
+    or of none, don't meet each other's documents; the set confirms it.
+    """
+    same_row = docs["doc_id"].eqNullSafe(wanted["first_id"]) & (docs["mark"] == wanted["first_mark"])
+    joined = docs.join(wanted, same_row).select("rep", "text", "set_id", "n_shingles", "registers")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         same = [hashlib.blake2b(shingles(t).tobytes(), digest_size=16).digest() == s for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]

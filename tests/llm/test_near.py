@@ -151,3 +151,23 @@ def test_components_of_chains_and_stars(spark):
     got = {r.vertex: r.component for r in components(edges, Scratch(spark, "cc"), "t").collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
     assert components(edges.limit(0), Scratch(spark, "cc"), "t").collect() == []
+
+
+def test_rows_without_an_id_meet_by_their_text(spark, monkeypatch):
+    """Near copies without ids: each class fetches its own text, and no other."""
+    rows = []
+    for k in range(1500):
+        text = prose(k, 40)
+        rows += [(None, text, "en", "s", 1), (None, text + " more", "en", "s", 1)]
+    met = []
+    real = near.map_slices
+
+    def counted(df, work, schema):
+        if schema.startswith("rep long, text string"):
+            met.append(df.count())
+        return real(df, work, schema)
+
+    monkeypatch.setattr(near, "map_slices", counted)
+    found = near.link(frame(spark, rows))
+    assert found.where("component_id IS NOT NULL OR NOT kept").count() == 0 and found.count() == 3000
+    assert met == [3000]
