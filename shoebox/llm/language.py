@@ -114,18 +114,17 @@ class Profiles:
 
 
 def sampled(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """lang and text of the labelled rows that are learned from."""
+    """lang and text of the labelled rows that are learned from: of each language those whose hash of id and text is least, ``per_language`` at most."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(~held_out() & F.col("lang").isNotNull())
-    # Only ids are ranked: keep a share of them that holds the sample, then rank the few that are left.  Counting reads no text.
-    sizes = rows.groupBy("lang").count().collect()  # one row a language
-    order = F.xxhash64("doc_id")
+    rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("rank", F.xxhash64("doc_id", "text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    # Hashes are ranked first, of which each task keeps only the least, so texts are moved for the sample alone.
+    ends = rows.select("lang", "rank").withColumn("at", place).where(F.col("at") <= per_language).groupBy("lang").agg(F.max("rank").alias("rank")).collect()  # one row a language
     keep = F.lit(False)
-    for r in sizes:
-        share = min(1.0, 2.0 * per_language / r["count"])
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod(order, F.lit(1_000_000)) <= int(share * 1_000_000)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(order, F.lit(1_000_000)), order, "doc_id"))
-    return rows.where(keep & F.col("text").isNotNull()).withColumn("at", place).where(F.col("at") <= per_language).select("lang", "text")
+    for r in ends:
+        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("rank") <= r["rank"]))
+    return rows.where(keep).withColumn("at", place).where(F.col("at") <= per_language).select("lang", "text")
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
