@@ -136,9 +136,20 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, int]]
 
 
+def manifests(fs, root: str) -> list[str]:
+    from pyarrow.fs import FileSelector
+
+    return sorted(f.path for f in fs.get_file_info(FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".manifest"))
+
+
+def read_manifest(fs, path: str) -> list[tuple[str, int]]:
+    with fs.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files: list[tuple[str, int]] = []
@@ -171,10 +182,19 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """A manifest of its own for each commit, so that appending keeps what is there; overwriting takes the others away once it is written."""
         fs, root = opened(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/manifest.json") as f:
+        old = manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{uuid.uuid4().hex}.manifest") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        for path in old:
+            gone = [name for name, _ in read_manifest(fs, path)]
+            fs.delete_file(path)
+            for name in gone:
+                for part in (f"{root}/{name}", f"{root}/{name}.idx"):
+                    if fs.get_file_info(part).type.name == "File":
+                        fs.delete_file(part)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = opened(self.path)
@@ -198,8 +218,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         fs, root = opened(self.path)
-        with fs.open_input_stream(f"{root}/manifest.json") as f:
-            files = json.loads(f.read())
+        files = [x for path in manifests(fs, root) for x in read_manifest(fs, path)]
         return [Range(name, at, min(size, at + self.range_bytes)) for name, size in files for at in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -262,13 +281,13 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options["path"].rstrip("/"), int(self.options.get("rangebytes", self.options.get("rangeBytes", RANGE_BYTES))))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"].rstrip("/"))
+        return ArchiveWriter(self.options["path"].rstrip("/"), overwrite)
 
 
-def write_archive(df: DataFrame, path: str) -> None:
-    """Store name and payload of each row."""
+def write_archive(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Store name and payload of each row, beside what is there or (``overwrite``) in its place."""
     df.sparkSession.dataSource.register(MediaArchive)
-    df.select(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("payload", F.lit(b"")).alias("payload")).write.format("mediaarchive").mode("append").option("path", path).save()
+    df.select(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("payload", F.lit(b"")).alias("payload")).write.format("mediaarchive").mode(mode).option("path", path).save()
 
 
 def read_archive(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

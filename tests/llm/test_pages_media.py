@@ -121,7 +121,7 @@ def test_archives(spark, tmp_path):
     docs = texts_of(frame(spark, extra=True)).repartition(3)
     media.write_archive(media.texts_to_images(docs), path)
     members = media.read_archive(spark, path, range_bytes=4096)
-    assert members.rdd.getNumPartitions() > 3 or sum(os.path.getsize(f"{path}/{n}") for n, _ in json.load(open(f"{path}/manifest.json"))) < 4096 * 4
+    assert members.rdd.getNumPartitions() > 3 or sum(os.path.getsize(f"{path}/{n}") for n, _ in (x for f in os.listdir(path) if f.endswith(".manifest") for x in json.load(open(f"{path}/{f}")))) < 4096 * 4
     got = sorted((r.payload_sha256, r.n_bytes) for r in media.image_columns(members).collect())
     expected = []
     for _, t, *_ in awkward():
@@ -221,3 +221,14 @@ def test_members_are_retried_alone(tmp_path):
     file.write_bytes(one.replace(b"12345" + bytes(507), b"12346" + bytes(507)) + two)
     with pytest.raises(OSError, match="damaged"):
         media.retried(lambda: open(file, "rb"), 0, retries=0)
+
+
+def test_appending_keeps_and_overwriting_replaces(spark, tmp_path):
+    path = str(tmp_path / "archives")
+    rows = lambda a, b: spark.createDataFrame([(f"n{k}", bytearray([k] * k)) for k in range(a, b)], "name string, payload binary").repartition(2)
+    names = lambda: sorted(r.name for r in media.read_archive(spark, path).collect())
+    media.write_archive(rows(0, 5), path)
+    media.write_archive(rows(5, 10), path)
+    assert names() == [f"n{k}" for k in range(10)]
+    media.write_archive(rows(20, 22), path, "overwrite")
+    assert names() == ["n20", "n21"] and sum(n.endswith(".tar") for n in os.listdir(path)) <= 2
