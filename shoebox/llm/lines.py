@@ -123,6 +123,28 @@ def line_fails(line: Column) -> Column:
     return has_word(line) & bind(F.regexp_replace(F.regexp_replace(line, SMALL, "a"), f"{GOES_ON}$", ""), counted)
 
 
+def first_lines(marked: Column) -> Column:
+    """The lines without those that repeat an earlier one; the first of equals keeps its own mark.
+
+    Lines that occur both with and without a mark are rare, so only texts
+    with such a line are sorted to find the first of each.
+    """
+    bare = lambda x: F.regexp_replace(x, f"{GOES_ON}$", "")
+
+    def sorted_out(lines: Column) -> Column:
+        numbered = F.array_sort(F.transform(lines, lambda x, i: F.struct(bare(x).alias("line"), i.alias("at"), x.alias("marked"))))
+        new = lambda s: F.zip_with(F.slice(s, 2, F.size(s)), F.slice(s, 1, F.size(s) - 1), lambda x, before: F.when(x["line"] != before["line"], x))
+        firsts = F.transform(bind(numbered, lambda s: F.concat(F.slice(s, 1, 1), F.filter(new(s), lambda x: x.isNotNull()))), lambda x: F.struct(x["at"].alias("at"), x["marked"].alias("marked")))
+        return F.transform(F.array_sort(firsts), lambda x: x["marked"])
+
+    def judged(lines: Column) -> Column:
+        with_mark = F.filter(lines, lambda x: F.endswith(x, F.lit(GOES_ON)))
+        both = (F.size(with_mark) > 0) & F.arrays_overlap(F.transform(with_mark, bare), lines)
+        return F.when(both, sorted_out(lines)).otherwise(lines)
+
+    return bind(F.array_distinct(marked), judged)
+
+
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
     """doc_id, base statistics, base_failed, kept, lost (share of characters removed) and cleaned (the text left)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -138,7 +160,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_l
         repeat_words(F.col("words")).alias("n_repeat_words"),
         F.filter("lines", has_word).alias("worded"),
         # A line that begins with a small letter goes on from the one before it.
-        F.filter(F.array_distinct(F.split(F.regexp_replace("text", r"\n(?=\p{Ll})", f"{GOES_ON}\n"), "\n", -1)), lambda x: ~line_fails(x)).alias("passing"),
+        F.filter(first_lines(F.split(F.regexp_replace("text", r"\n(?=\p{Ll})", f"{GOES_ON}\n"), "\n", -1)), lambda x: ~line_fails(x)).alias("passing"),
     )
     rows = rows.withColumn("passing", F.transform("passing", lambda x: F.regexp_replace(x, f"{GOES_ON}$", "")))
     size = lambda ls: F.aggregate(ls, F.lit(0), lambda acc, x: acc + F.length(x))

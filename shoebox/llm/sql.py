@@ -2,16 +2,17 @@
 
 # Words are [^\\x20\\x09-\\x0D]+.  Base statistics: as their contract defines them.  Verdict: a line with a word fails if
 # no sentence ends in it (and the next line doesn't begin with a small letter), or it is symbolic, navigation, no prose,
-# shouting or boilerplate; a document is kept if its distinct passing lines hold at least half of the characters of its lines with a word.
+# shouting or boilerplate; a line that repeats an earlier one
+# counts as failing; a document is kept if its other passing lines hold at least half of the characters of its lines with a word.
 OP9 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls,
-  list_distinct(string_split(regexp_replace(t, '\n(\p{Ll})', chr(57344) || chr(10) || '\1', 'g'), chr(10))) AS distinct_lines FROM d),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS ls FROM d),
 base AS (SELECT *, list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS worded FROM w),
 grams AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
-lines AS (SELECT doc_id, y, regexp_replace(y, chr(57344) || '$', '') AS x, regexp_matches(y, chr(57344) || '$') AS goes_on FROM (SELECT doc_id, unnest(distinct_lines) AS y FROM base)),
+numbered AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM base),
+lines AS (SELECT doc_id, x, coalesce(regexp_matches(lead(x) OVER (PARTITION BY doc_id ORDER BY i), '^\p{Ll}'), false) AS goes_on FROM numbered QUALIFY row_number() OVER (PARTITION BY doc_id, x ORDER BY i) = 1),
 chars AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS n,
   length(regexp_replace(x, '[^\p{L}]+', '', 'g')) AS letters, length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) AS capitals,
   length(regexp_replace(x, '[^|\x{00bb}\x{203a}\x{00b7}\x{2022}\x{2192}]+', '', 'g')) AS separators,

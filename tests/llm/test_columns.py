@@ -412,3 +412,29 @@ def test_lines_match_their_sql(spark):
     got = lines.clean(spark.createDataFrame([(int(d), t) for d, t in zip(both.doc_id, both.text)], "doc_id long, text string")).drop("cleaned", "lost")
     expected = con.sql(entry.oracle_sql()["op9_lines"])
     assert sorted(map(tuple, got.select(*sorted(got.columns)).collect())) == sorted(expected.select(*sorted(got.columns)).fetchall())
+
+
+def test_a_repeat_goes_whatever_follows_it(spark):
+    """The first of equal lines stays, with what follows it there; others go."""
+    text = "The same line ends here.\nand this one goes on.\nThe same line ends here.\nOther line is here.\nno end\ngoes on.\nno end\nHere is one."
+    other = "no end\nHere is one more.\nno end\ngoes on."
+    docs = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    got = {r.doc_id: r.cleaned for r in lines.clean(docs).collect()}
+    assert got[1] == "The same line ends here.\nand this one goes on.\nOther line is here.\nno end\ngoes on.\nHere is one."
+    assert got[2] == "Here is one more.\ngoes on."
+    r = random.Random(3)
+    texts = ["\n".join(r.choice(["A b c.", "a b c.", "no end", "No end", "", " "]) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    seen = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("text", lines.first_lines(F.split(F.regexp_replace("text", r"\n(?=\p{Ll})", f"{lines.GOES_ON}\n"), "\n", -1)).alias("x")).collect()
+    for t, found in seen:
+        plain = t.split("\n")
+        want = [x + (lines.GOES_ON if k + 1 < len(plain) and plain[k + 1][:1].islower() else "") for k, x in enumerate(plain) if x not in plain[:k]]
+        assert found == want
+
+
+def test_a_language_of_one_repeated_id_is_learned(spark):
+    """Many rows of one id, and of one id and text."""
+    rows = [(1, f"hello there my friend {prose(k, 5)}", "en") for k in range(500)] + [(1, "guten tag mein freund", "de")] * 500
+    found = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert found.languages == ["de", "en"]
+    few = language.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert sorted((r.lang, r.n) for r in few.groupBy("lang").agg(F.count("*").alias("n")).collect()) == [("de", 50), ("en", 50)]
