@@ -1,15 +1,11 @@
 """Index upkeep: what changed, merges, stale rows, counters, deletions, rows as JSON.
 
-Merges return the new table.  Writing it overwrites just the partitions
-of the users that changed (``write_users``), so there is no dependency
-on a table format with transactions.
+Merges return the new table; ``snapshots.IndexTable`` publishes it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.paths import trimmed
@@ -106,20 +102,6 @@ def counters(rows: DataFrame, done: str = "hashed") -> DataFrame:
     return rows.groupBy("user_id").agg(*(c.alias(k) for k, c in found.items()))
 
 
-def drop_users(spark: SparkSession, users: Iterable[str | None], path: str) -> None:
-    """Remove the partitions of users, as an overwrite leaves those that get no row; missing ones don't matter."""
-    jvm = spark._jvm
-    spelled = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-    for user in users:
-        where = jvm.org.apache.hadoop.fs.Path(path, spelled("user_id", user))
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def write_users(table: DataFrame, path: str) -> None:
-    """Overwrite the partitions of the users in the table, and no other."""
-    table.repartition("user_id", F.pmod(F.xxhash64("file_id"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_id").parquet(path)
-
-
 def moved(index: DataFrame, moves: DataFrame) -> DataFrame:
     """New paths (user_id, file_id, file_path) for files that are indexed; all else stays."""
     new = moves.select(*KEY, F.col("file_path").alias("_path"))
@@ -186,13 +168,14 @@ def may_start(p: Column, is_stale: Column | None = None) -> Column:
 
 # --- rows as JSON ---
 
+# The keys of each kind, in order.
 SHAPES = {
-    "file_hashes": ("file_id", "file_path", "file_size", "content_hash", "mime_type", "file_mtime", "scanned_at"),
-    "classifications": ("file_id", "file_path", "file_size", "mime_type", "category", "confidence", "indicators", "classified_at"),
-    "file_locations": ("file_id", "file_path", "file_size", "mime_type", "has_location", "lat", "lng", "file_mtime", "scanned_at"),
-    "file_faces": ("file_id", "file_path", "file_size", "mime_type", "has_face", "face_signature", "face_confidence", "file_mtime", "scanned_at"),
-    "face_instances": ("file_id", "file_path", "file_size", "mime_type", "face_index", "face_signature", "face_confidence", "file_mtime", "scanned_at"),
-    "face_labels": ("user_id", "face_signature", "label_name", "updated_at"),
+    "file_hashes": ("id", "user_id", "file_id", "file_path", "file_size", "content_hash", "mime_type", "file_mtime", "scanned_at"),
+    "classifications": ("id", "user_id", "file_id", "file_path", "file_size", "mime_type", "category", "confidence", "indicators", "classified_at"),
+    "file_locations": ("id", "user_id", "file_id", "file_path", "file_size", "mime_type", "has_location", "lat", "lng", "file_mtime", "scanned_at"),
+    "file_faces": ("id", "user_id", "file_id", "file_path", "file_size", "mime_type", "has_face", "face_signature", "face_confidence", "file_mtime", "scanned_at"),
+    "face_instances": ("id", "user_id", "file_id", "file_path", "file_size", "mime_type", "face_index", "face_signature", "face_confidence", "file_mtime", "scanned_at"),
+    "face_labels": ("id", "user_id", "face_signature", "label_name", "updated_at"),
 }
 PLACES = {"classifications": {"confidence": 3}, "file_locations": {"lat": 6, "lng": 6}, "file_faces": {"face_confidence": 4}}
 

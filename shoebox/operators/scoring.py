@@ -7,13 +7,16 @@ Statuses are HTTP-like; 0 means no answer.
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shoebox.functions.paths import FACE_SUPPORTED, ML_SUPPORTED
 from shoebox.plans.config import MAX_FAILURES, EngineConfig
@@ -30,44 +33,54 @@ class Scorer(Protocol):
     def score(self, files: pd.DataFrame) -> pd.DataFrame: ...
 
 
-class StubScorer:
-    """Answers by the file's size; for tests."""
-
-    def score(self, files: pd.DataFrame) -> pd.DataFrame:
-        names = ("document", "meme", "nature", "family", "object")
-        out = files[["user_id", "file_id"]].copy()
-        out["status"] = 200
-        out["category"] = [names[s % 5] for s in files["file_size"]]
-        out["confidence"] = [(s % 100) / 100 for s in files["file_size"]]
-        out["model"], out["algorithm_version"] = "stub", "1"
-        out["labels"] = [[{"name": "size", "score": (s % 100) / 100}] for s in files["file_size"]]
-        return out
-
-
-class FlakyStub(StubScorer):
-    """Fails for every third file when it is asked first, and rejects every seventh; for tests."""
-
-    def __init__(self) -> None:
-        self.seen: set[int] = set()
-
-    def score(self, files: pd.DataFrame) -> pd.DataFrame:
-        out = super().score(files)
-        first = ~out["file_id"].isin(self.seen)
-        out.loc[(out["file_id"] % 3 == 0) & first, "status"] = 503
-        out.loc[out["file_id"] % 7 == 0, "status"] = 422
-        self.seen |= set(out["file_id"])
-        return out
+class HttpScorer:
+    """A worker behind HTTP: a form with the file, and a JSON answer.
 
+    files: user_id, file_id and ``path``, which tasks read.  ``task`` is
+    ``classify`` or ``face-signature``.  No answer in time is status 0.
+    """
 
-class FaceStub:
-    """Two faces by the file's size, the second one unsure for odd sizes; for tests."""
+    def __init__(self, url: str, task: str = "classify", labels: str = "", token: str | None = None, config: EngineConfig = EngineConfig()):
+        self.url, self.task, self.labels, self.token, self.timeout = url.rstrip("/"), task, labels, token, config.ml_timeout_seconds
+
+    def _asked(self, path: str) -> tuple[int, str]:
+        from urllib import error, request
+
+        from shoebox.sources.stores import opened
+
+        fs, place = opened(path)
+        with fs.open_input_file(place) as f:
+            content = f.read()
+        mark = uuid.uuid4().hex
+        parts = [f'--{mark}\r\nContent-Disposition: form-data; name="file"; filename="image"\r\nContent-Type: application/octet-stream\r\n\r\n'.encode(), content, b"\r\n"]
+        if self.labels:
+            parts.append(f'--{mark}\r\nContent-Disposition: form-data; name="candidate_labels"\r\n\r\n{self.labels}\r\n'.encode())
+        parts.append(f"--{mark}--\r\n".encode())
+        headers = {"Content-Type": f"multipart/form-data; boundary={mark}"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
+        try:
+            with request.urlopen(request.Request(f"{self.url}/{self.task}", b"".join(parts), headers), timeout=self.timeout) as answer:
+                return answer.status, answer.read().decode("utf-8", "replace")
+        except error.HTTPError as e:
+            return e.code, ""
+        except OSError:
+            return 0, ""
 
     def score(self, files: pd.DataFrame) -> pd.DataFrame:
-        out = files[["user_id", "file_id"]].copy()
-        out["status"] = 200
-        face = '{"signature":"%s","confidence":%s}'
-        out["response"] = ['{"faces":[%s,%s]}' % (face % (f"a{s}", 0.9), face % (f"b{s}", 0.2 if s % 2 else 0.8)) for s in files["file_size"]]
-        return out
+        out = files[["user_id", "file_id", "path"]].copy()
+        found = [self._asked(p) for p in files["path"]]
+        out["status"], out["response"] = [s for s, _ in found], [r for _, r in found]
+        if self.task != "classify":
+            return out
+        answers = []
+        for status, text in found:
+            try:
+                answers.append(json.loads(text) if 200 <= status < 300 else {})
+            except ValueError:
+                answers.append({})
+        for name in ("category", "confidence", "model", "algorithm_version"):
+            out[name] = [a.get(name) for a in answers]
+        out["labels"] = [[{"name": str(x.get("name", x.get("label"))), "score": float(x.get("score", 0))} for x in a.get("labels") or []] for a in answers]
+        return out.drop(columns="response")
 
 
 def eligible(files: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -92,6 +105,7 @@ def asked(files: DataFrame, scorer: Scorer, schema: str, config: EngineConfig =
     dropped, as it is by ``breaker``.
     """
     retries = config.ml_retries
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         streak, disabled = 0, False
@@ -119,7 +133,7 @@ def asked(files: DataFrame, scorer: Scorer, schema: str, config: EngineConfig =
                         disabled = True
                         break
             if good:
-                yield pd.DataFrame(good)
+                yield pd.DataFrame(good)[names]
 
     return files.mapInPandas(run, schema)
 

@@ -297,16 +297,16 @@ def place_marker_files(spark, sf_dir):
     return places.marker_files(fixtures.locations(spark, sf_dir)).select("user_id", "marker", "pos", "file_id")
 
 
-GPS_CASES = [
-    ("40/1", "26/1", "46302/1000", "N", 40.446195), ("33", "51", "35.9", "S", -33.859972), ("1/0", "0", "0", "N", None), ("10", "30", None, "E", None),
-    ("10", " 30/2 ", "0", " w ", -10.25), ("x", "0", "0", "E", None), ("0", "0", "0", "W", -0.0),
-]
-
-
 @query
 def gps_decimal(spark, sf_dir):
-    rows = spark.createDataFrame([(k, d, m, s, r) for k, (d, m, s, r, _) in enumerate(GPS_CASES)], "k long, d string, m string, s string, r string")
-    return rows.select("k", F.round(scalars.degrees(F.array("d", "m", "s"), F.col("r")), 6).alias("decimal"))
+    """Degrees, minutes and seconds in several spellings; some have no divisor, no number or no third part."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id")
+    text = lambda c: c.cast("string")
+    degree = F.when(k % 7 == 2, "1/0").when(k % 7 == 5, "x").otherwise(F.concat(text(k % 90), F.lit("/1")))
+    minute, second = F.concat(F.lit(" "), text(k % 60), F.lit("/2 ")), F.when(k % 7 != 3, F.concat(text(k % 3600), F.lit("/100")))
+    hemisphere = F.element_at(F.array(F.lit("S"), F.lit(" w "), F.lit("N"), F.lit("E")), (k % 4 + 1).cast("int"))
+    return rows.select("event_id", F.round(scalars.degrees(F.array(degree, minute, second), hemisphere), 6).alias("decimal"))
 
 
 # --- people ---
@@ -399,13 +399,18 @@ def event_apply_last(spark, sf_dir):
     return upkeep.last_events(fixtures.file_events(spark, sf_dir)).select("user_id", "file_id", "event_id", "op", "file_size")
 
 
-@query
-def event_apply_index(spark, sf_dir):
+def index_before(spark, sf_dir):
+    """An index of every third event's file, and the log."""
     log = fixtures.file_events(spark, sf_dir).withColumn("scanned_at", F.col("ts"))
     start = log.where("event_id % 3 = 0").groupBy("user_id", "file_id").agg(F.max("event_id").alias("file_mtime"))
     columns = ["user_id", "file_id", "file_path", "file_size", "mime_type", "content_hash", "file_mtime", "scanned_at"]
     base = start.select("user_id", "file_id", F.lit("Photos/old.jpg").alias("file_path"), F.lit(1).cast("long").alias("file_size"), F.lit("image/jpeg").alias("mime_type"), F.lit("old").alias("content_hash"), "file_mtime", F.timestamp_seconds(F.lit(0)).alias("scanned_at"))
-    return upkeep.apply_to_index(base.select(*columns), log).select("user_id", "file_id", "file_path", "content_hash", "file_size")
+    return base.select(*columns), log
+
+
+@query
+def event_apply_index(spark, sf_dir):
+    return upkeep.apply_to_index(*index_before(spark, sf_dir)).select("user_id", "file_id", "file_path", "content_hash", "file_size")
 
 
 @query

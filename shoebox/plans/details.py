@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import paths, scalars
 from shoebox.operators import actions, classify, dedup, index, people, places, scoring, signatures
+from shoebox.operators.snapshots import IndexTable
 from shoebox.plans import config, schema
 from shoebox.sources import files as sources
-from shoebox.sources import fixtures
+from shoebox.sources import fixtures, ranges, stores
 from shoebox.streaming import events as upkeep
-from shoebox.streaming import jobs
+from shoebox.streaming import jobs, timers
 
-from .catalogue import categories, indexed_of, listing_of, query, requests
+from .catalogue import categories, index_before, indexed_of, listing_of, query, requests
 
 
 def moment(seconds) -> F.Column:
@@ -54,6 +55,17 @@ def capped_hashes(spark, sf_dir):
     return sources.capped(rows, 2000)
 
 
+@query
+def ranged_hashes(spark, sf_dir):
+    """Texts stored as files, then read by ranges of 1000 bytes, most of them several; those over a cap aren't opened."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = stores.shared_folder(spark, "files")
+    content = docs.select(F.concat(F.lit("file "), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
+    found = ranges.hashed(ranges.write_contents(content, folder), most=20_000, chunk=1000)
+    number = F.regexp_extract("path", r"file (-?[0-9]+)\.txt$", 1).cast("long")
+    return found.select(number.alias("file_id"), "length", "content_hash", "outcome")
+
+
 def tags(spark, sf_dir) -> DataFrame:
     """Tags of a position for every event; some are missing."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -99,9 +111,16 @@ def tags_flattened(spark, sf_dir):
 
 @query
 def page_settings(spark, sf_dir):
-    asked = [(limit, offset, scope) for limit in (-5, 0, 1, 50, 200, 201, 10_000) for offset in (-3, 0, 7) for scope in ("photos", "Photos", "all", "")]
-    rows = [(n, *config.page_of(limit, offset), config.clamp(limit, *config.CLUSTERS), config.clamp(limit, *config.CANDIDATES), config.normal_scope(scope)) for n, (limit, offset, scope) in enumerate(asked)]
-    return spark.createDataFrame(rows, "n long, page_limit long, page_offset long, clusters long, candidates long, scope string")
+    """What becomes of the limits, offsets and scopes that requests ask for."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id")
+    limit, offset = k * 7 % 500 - 100, k % 50 - 10
+    scope = F.element_at(F.array(F.lit("photos"), F.lit("Photos"), F.lit("all"), F.lit("")), (k % 4 + 1).cast("int"))
+    clamped = lambda x, bounds: F.greatest(F.lit(bounds[0]), F.least(F.lit(bounds[1]), x)).cast("long")
+    return rows.select(
+        "event_id", clamped(limit, config.PAGE).alias("page_limit"), F.greatest(F.lit(0), offset).cast("long").alias("page_offset"), clamped(limit, config.CLUSTERS).alias("clusters"),
+        clamped(limit, config.CANDIDATES).alias("candidates"), F.when(scope == config.normal_scope("photos"), scope).otherwise(config.normal_scope(None)).alias("scope"),
+    )
 
 
 @query
@@ -249,7 +268,7 @@ def point_lookup(spark, sf_dir):
 
 
 def shown(table: DataFrame, kind: str) -> DataFrame:
-    return index.as_json(table, kind).select(F.col("json"))
+    return index.as_json(table.withColumn("id", F.col("file_id") * 10 + 1), kind).select(F.col("json"))
 
 
 @query
@@ -286,7 +305,7 @@ def json_face_instances(spark, sf_dir):
 @query
 def json_face_labels(spark, sf_dir):
     rows = files_of(spark, sf_dir)
-    return shown(rows.select("user_id", F.concat(F.lit("s"), F.col("file_id").cast("string")).alias("face_signature"), F.lit('A "B"').alias("label_name"), moment(F.col("file_id")).alias("updated_at")), "face_labels")
+    return shown(rows.select("user_id", "file_id", F.concat(F.lit("s"), F.col("file_id").cast("string")).alias("face_signature"), F.lit('A "B"').alias("label_name"), moment(F.col("file_id")).alias("updated_at")), "face_labels")
 
 
 # --- names, numbers, forms ---
@@ -320,8 +339,8 @@ def face_confidences(spark, sf_dir):
 def prompt_expansion(spark, sf_dir):
     rows = files_of(spark, sf_dir)
     k = F.col("file_id")
-    known = rows.where("file_id < 40").select(F.concat(F.lit("c"), (k % 4).cast("string")).alias("category"), F.concat(F.when(k % 2 == 0, " P").otherwise("p"), F.floor(k / 8).cast("string"), F.when(k % 5 == 0, " ").otherwise("")).alias("prompt"), k.alias("pos"))
-    wanted = rows.where("file_id < 6").select(F.concat(F.lit("c"), k.cast("string")).alias("label"), k.alias("pos"))
+    known = rows.select(F.concat(F.lit("c"), (k % 4).cast("string")).alias("category"), F.concat(F.when(k % 2 == 0, " P").otherwise("p"), F.floor(k / 8).cast("string"), F.when(k % 5 == 0, " ").otherwise("")).alias("prompt"), k.alias("pos"))
+    wanted = rows.groupBy((k % 6).alias("n")).agg(F.min(k).alias("pos")).select(F.concat(F.lit("c"), F.col("n").cast("string")).alias("label"), "pos")
     return classify.prompts_of(wanted, known).select("category", "prompt", F.col("ord").cast("long").alias("ord"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -342,13 +361,13 @@ def perceptual_hashes(spark, sf_dir):
 def ml_retry(spark, sf_dir):
     """Every third file fails once and is asked again; every seventh is rejected for good."""
     rows = scoring.eligible(files_of(spark, sf_dir)).select("user_id", "file_id", "file_size", "mime_type")
-    return scoring.answers(rows, scoring.FlakyStub()).select("user_id", "file_id", "category", F.round("confidence", 6).alias("confidence"))
+    return scoring.answers(rows, fixtures.FlakyStub()).select("user_id", "file_id", "category", F.round("confidence", 6).alias("confidence"))
 
 
 @query
 def face_worker(spark, sf_dir):
     rows = scoring.eligible_faces(files_of(spark, sf_dir)).select("user_id", "file_id", "file_size")
-    found = scoring.face_answers(rows, scoring.FaceStub())
+    found = scoring.face_answers(rows, fixtures.FaceStub())
     return found.select("user_id", "file_id", F.posexplode("signatures").alias("pos", "s")).select("user_id", "file_id", F.col("pos").cast("long").alias("pos"), "s.signature", "s.confidence")
 
 
@@ -396,9 +415,69 @@ def pages_appended(spark, sf_dir):
 
 @query
 def event_apply_all_types(spark, sf_dir):
-    log = fixtures.file_events(spark, sf_dir)
-    base = log.where("event_id < 0").withColumn("scanned_at", F.col("ts")).select("user_id", "file_id", "file_path", "file_size", "mime_type", "content_hash", "file_mtime", "scanned_at")
-    return upkeep.apply_to_index(base, log, image_only=False).select("user_id", "file_id", "file_path", "mime_type")
+    return upkeep.apply_to_index(*index_before(spark, sf_dir), image_only=False).select("user_id", "file_id", "file_path", "mime_type")
+
+
+def streamed(spark, rows: DataFrame, order: str, files: int) -> DataFrame:
+    """A table as a stream, a file a batch, in order: the files are written one after another, as a stream reads them by their times."""
+    ranges_, folder = stores.shared_folder(spark, "ranges"), stores.shared_folder(spark, "stream")
+    rows.repartitionByRange(files, order).withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(ranges_)
+    for k in range(files):
+        spark.read.schema(f"{rows._jdf.schema().toDDL()}, part int").parquet(ranges_).where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    stores.remove(spark, ranges_)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def finished(query) -> None:
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+@query
+def event_apply_stream(spark, sf_dir):
+    """The log in batches that have nothing to do with time, through the state of each file, into a table of snapshots."""
+    base, log = index_before(spark, sf_dir)
+    table = IndexTable(spark, stores.shared_folder(spark, "upkeep"), schema.FILE_HASHES)
+    table.commit(None, lambda _: base)
+    events = streamed(spark, log.drop("scanned_at").withColumn("turn", F.xxhash64("event_id")), "turn", 4)
+    late = 10 * 365 * 86400  # nothing is too late
+    finished(upkeep.start_upkeep(events.drop("turn"), table, stores.shared_folder(spark, "check"), late_seconds=late))
+    return table.read().select("user_id", "file_id", "file_path", "content_hash", "file_size")
+
+
+def scans(spark, sf_dir) -> DataFrame:
+    """Progress of each user's scans, with pauses."""
+    rows = fixtures.file_events(spark, sf_dir)
+    k = F.col("event_id")
+    status = F.when(k % 11 == 0, "completed").when(k % 37 == 0, "error").otherwise("scanning")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + k * F.lit(10))
+    return rows.select((k % 23).cast("string").alias("user_id"), status.alias("status"), (k % 5 * 10).alias("total"), (k % 7 * 10).alias("processed"), at.alias("updated_at"))
+
+
+@query
+def scans_settled(spark, sf_dir):
+    return timers.scans_settled_by(scans(spark, sf_dir), "2100-01-01 00:00:00")
+
+
+@query
+def scans_settled_stream(spark, sf_dir):
+    """The same as a stream with timers; its last row is one of another user, late enough to settle all."""
+    rows = scans(spark, sf_dir)
+    end = rows.groupBy().agg(F.max("updated_at").alias("at")).select(F.lit("end").alias("user_id"), F.lit("completed").alias("status"), F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("processed"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("updated_at"))
+    out = stores.shared_folder(spark, "settled")
+    query = timers.scans_settled(streamed(spark, rows.unionByName(end), "updated_at", 4), clock="EventTime").writeStream.format("parquet").option("path", out)
+    finished(query.option("checkpointLocation", stores.shared_folder(spark, "check")).outputMode("append").trigger(availableNow=True).start())
+    return spark.read.schema(timers.WATCHED).parquet(out).where("user_id <> 'end'")
+
+
+@query
+def cleanup_throttle_stream(spark, sf_dir):
+    log = fixtures.file_events(spark, sf_dir).select("user_id", "ts", (F.col("op") == "created").alias("classifying"))
+    out = stores.shared_folder(spark, "due")
+    query = timers.cleanup_due(streamed(spark, log, "ts", 4)).writeStream.format("parquet").option("path", out)
+    finished(query.option("checkpointLocation", stores.shared_folder(spark, "check")).outputMode("append").trigger(availableNow=True).start())
+    return spark.read.schema("user_id string, ts timestamp").parquet(out).groupBy("user_id").agg(F.count("*").alias("cleanups"))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import FACES, FILES, LAST, LISTING, LOCATIONS, REQUESTS, SCORES, SUPPORTED
+from .oracle import EVENTS, FACES, FILES, GONE, LAST, LISTING, LOCATIONS, REQUESTS, SCORES, SUPPORTED, THROTTLE, replayed
 
 AT = "strftime(make_timestamp((1700000000 + {}) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
 IMAGES = f"mime_type IN {SUPPORTED}"
@@ -13,7 +13,7 @@ def json(names: dict[str, str]) -> str:
     return "SELECT CAST(json_object(" + ", ".join(f"'{k}', {v}" for k, v in names.items()) + ") AS VARCHAR) AS json FROM r"
 
 
-FILE = {"fileId": "file_id", "filePath": "file_path", "fileSize": "file_size"}
+FILE = {"id": "file_id * 10 + 1", "userId": "user_id", "fileId": "file_id", "filePath": "file_path", "fileSize": "file_size"}
 
 STORED = f"""stored AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '{{bad' WHEN 3 THEN '{{"status":"completed","total":-4,"processed":2}}'
   ELSE '{{"status":"scanning"}}' END AS raw, event_id AS total, event_id - event_id % 3 AS processed, event_id % 400 AS age FROM events),
@@ -43,6 +43,12 @@ moved AS (SELECT a.user_id, a.file_id AS pos, a.file_id, 'moved' AS outcome, 'Ne
 IOU = """(CASE WHEN least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y)
   THEN (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) ELSE 0 END)"""
 
+# Progress ends as it says; while scanning, if nothing comes for more than 180 seconds.
+SETTLED = """WITH s AS (SELECT CAST(event_id % 23 AS VARCHAR) AS user_id, CASE WHEN event_id % 11 = 0 THEN 'completed' WHEN event_id % 37 = 0 THEN 'error' ELSE 'scanning' END AS status, event_id % 5 * 10 AS total, event_id % 7 * 10 AS processed,
+  make_timestamp((1700000000 + event_id * 10) * 1000000) AS updated_at FROM events), n AS (SELECT *, lead(updated_at) OVER (PARTITION BY user_id ORDER BY updated_at) AS next FROM s)
+SELECT user_id, CASE WHEN status <> 'scanning' THEN status WHEN total > 0 AND processed >= total THEN 'completed' ELSE 'interrupted' END AS status, total, processed, updated_at FROM n
+WHERE status <> 'scanning' OR next IS NULL OR next > updated_at + INTERVAL 180 SECOND"""
+
 SQL = {
     "listing_visible": f"""WITH {FILES} SELECT user_id, count(*) AS files, count(*) FILTER ({IMAGES}) AS images FROM files WHERE file_id % 6 NOT IN (0, 1, 3) GROUP BY user_id""",
     "listing_types": """SELECT doc_id AS file_id, CASE doc_id % 9 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/png' WHEN 4 THEN 'image/heic' WHEN 6 THEN 'image/x-dcraw' WHEN 7 THEN 'image/svg+xml' WHEN 8 THEN 'image/webp'
@@ -54,8 +60,10 @@ SQL = {
     "tag_numbers": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_id / 4.0::DOUBLE WHEN 2 THEN event_id + 0.5::DOUBLE WHEN 5 THEN -event_id::DOUBLE WHEN 7 THEN event_id * 10.0::DOUBLE END AS number FROM events",
     "tags_flattened": """SELECT doc_id AS file_id, CASE WHEN doc_id % 4 = 0 THEN 'last' ELSE CAST(doc_id AS VARCHAR) END AS make, CASE WHEN doc_id % 3 <> 0 THEN '1' ELSE '0' END AS flash,
       CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id AS VARCHAR) END AS iso, CASE WHEN doc_id % 3 <> 0 THEN 3 ELSE 2 END AS tags FROM documents""",
-    "page_settings": """WITH a AS (SELECT l, o, s, row_number() OVER (ORDER BY i, j, k) - 1 AS n FROM (VALUES (0,-5),(1,0),(2,1),(3,50),(4,200),(5,201),(6,10000)) x(i, l), (VALUES (0,-3),(1,0),(2,7)) y(j, o), (VALUES (0,'photos'),(1,'Photos'),(2,'all'),(3,'')) z(k, s))
-      SELECT n, greatest(1, least(200, l)) AS page_limit, greatest(0, o) AS page_offset, greatest(1, least(50, l)) AS clusters, greatest(1, least(300, l)) AS candidates, CASE WHEN s = 'photos' THEN 'photos' ELSE 'all' END AS scope FROM a""",
+    "page_settings": """WITH a AS (SELECT event_id, event_id * 7 % 500 - 100 AS l, event_id % 50 - 10 AS o FROM events)
+      SELECT event_id, greatest(1, least(200, l)) AS page_limit, greatest(0, o) AS page_offset, greatest(1, least(50, l)) AS clusters, greatest(1, least(300, l)) AS candidates, CASE WHEN event_id % 4 = 0 THEN 'photos' ELSE 'all' END AS scope FROM a""",
+    "ranged_hashes": """SELECT doc_id AS file_id, strlen(coalesce(text, '')) AS length, CASE WHEN strlen(coalesce(text, '')) <= 20000 THEN sha256(coalesce(text, '')) END AS content_hash,
+      CASE WHEN strlen(coalesce(text, '')) <= 20000 THEN 'done' ELSE 'error' END AS outcome FROM documents""",
     "eligible_files": f"""WITH {FILES}, r AS (SELECT file_id, CASE WHEN file_id % 19 = 0 THEN 0 ELSE file_size * 4096 END AS size, CASE file_id % 8 WHEN 0 THEN 'image/tiff' WHEN 1 THEN 'image/heic' ELSE mime_type END AS mime FROM files)
       SELECT file_id, 'categories' AS worker FROM r WHERE size > 0 AND size <= 12582912 AND mime IN ('image/jpeg','image/png','image/webp','image/gif')
       UNION ALL SELECT file_id, 'faces' FROM r WHERE size > 0 AND size <= 52428800 AND mime IN ('image/jpeg','image/png','image/webp','image/gif','image/bmp','image/tiff')""",
@@ -91,13 +99,14 @@ SQL = {
     + json(FILE | {"mimeType": "mime_type", "hasFace": "t", "faceSignature": "CASE WHEN t THEN 's' END", "faceConfidence": "CASE WHEN t THEN (file_id % 8) / 8.0::DOUBLE + 0.25::DOUBLE END", "fileMtime": "file_mtime", "scannedAt": AT.format("file_id")}),
     "json_face_instances": f"WITH {FILES}, r AS (SELECT * FROM files) "
     + json(FILE | {"mimeType": "mime_type", "faceIndex": "1", "faceSignature": "'s' || file_id", "faceConfidence": "(file_id % 8) / 8.0::DOUBLE + 0.25::DOUBLE", "fileMtime": "file_mtime", "scannedAt": AT.format("file_id")}),
-    "json_face_labels": f"WITH {FILES}, r AS (SELECT * FROM files) " + json({"userId": "user_id", "faceSignature": "'s' || file_id", "labelName": "'A \"B\"'", "updatedAt": AT.format("file_id")}),
+    "json_face_labels": f"WITH {FILES}, r AS (SELECT * FROM files) " + json({"id": "file_id * 10 + 1", "userId": "user_id", "faceSignature": "'s' || file_id", "labelName": "'A \"B\"'", "updatedAt": AT.format("file_id")}),
     "free_names": f"""WITH {FILES} SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'a_3.jpg' WHEN 1 THEN 'b_1' WHEN 2 THEN 'c.tar_2.gz' WHEN 3 THEN '_2.x' ELSE 'free.png' END AS name FROM files""",
     "confidence_forms": f"WITH {FILES} SELECT file_id, CAST(floor((file_id % 201) / 200.0::DOUBLE * 100 + 0.5::DOUBLE) AS BIGINT) AS percent, 'a b ' || replace(user_id, '_', ' ') || ' ' AS spaced FROM files",
     "face_confidences": """WITH b AS (SELECT vec_id, 0.5::DOUBLE + ((vec_id % 30 + 1) * (vec_id % 41 + 1))::DOUBLE / 4096 * 2.0::DOUBLE + (vec_id % 5 + 1) * 0.05::DOUBLE AS base FROM embeddings)
       SELECT vec_id, round_even(least(1.0::DOUBLE, greatest(0.3::DOUBLE, CASE WHEN vec_id % 3 <> 0 THEN base * 0.6::DOUBLE + (vec_id % 64) / 64.0::DOUBLE * 0.4::DOUBLE ELSE base END)), 4) AS confidence FROM b""",
-    "prompt_expansion": """WITH d AS (SELECT DISTINCT doc_id AS k FROM documents), known AS (SELECT 'c' || (k % 4) AS category, 'p' || (k // 8) AS prompt, min(k) AS pos FROM d WHERE k < 40 GROUP BY ALL)
-      SELECT 'c' || k AS category, coalesce(prompt, 'c' || k) AS prompt, k AS ord, coalesce(pos, 0) AS pos FROM d LEFT JOIN known ON category = 'c' || k WHERE k < 6""",
+    "prompt_expansion": """WITH d AS (SELECT DISTINCT doc_id AS k FROM documents), known AS (SELECT 'c' || (k % 4) AS category, 'p' || (k // 8) AS prompt, min(k) AS pos FROM d GROUP BY ALL),
+      wanted AS (SELECT 'c' || (k % 6) AS label, min(k) AS ord FROM d GROUP BY ALL)
+      SELECT label AS category, coalesce(prompt, label) AS prompt, ord, coalesce(pos, 0) AS pos FROM wanted LEFT JOIN known ON category = label""",
     "ml_retry": f"""WITH {FILES} SELECT user_id, file_id, ['document','meme','nature','family','object'][file_size % 5 + 1] AS category, round((file_size % 100) / 100.0::DOUBLE, 6) AS confidence FROM files
       WHERE mime_type IN ('image/jpeg','image/png','image/webp','image/gif') AND file_size > 0 AND file_id % 7 <> 0""",
     "face_worker": f"""WITH {FILES}, r AS (SELECT * FROM files WHERE mime_type IN ('image/jpeg','image/png','image/webp','image/gif','image/bmp','image/tiff') AND file_size > 0)
@@ -109,10 +118,12 @@ SQL = {
       SELECT user_id, content_hash, count(*) AS count, CAST(sum(file_size) AS BIGINT) AS total_size FROM files f WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = f.user_id AND g.file_id = f.file_id) GROUP BY ALL HAVING count(*) > 1""",
     "reference_faces": f"WITH {FACES} SELECT user_id, file_id FROM faces GROUP BY ALL HAVING count(*) = 1",
     "pages_appended": "SELECT lang AS user_id, doc_id AS file_id, doc_id // 20 AS page, doc_id % 20 AS pos FROM documents",
-    "event_apply_all_types": f"""WITH {LAST}, content AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, file_id ORDER BY ts DESC, event_id DESC) AS n FROM log WHERE op <> 'renamed') WHERE n = 1 AND op <> 'deleted')
-      SELECT c.user_id, c.file_id, CASE WHEN l.op = 'renamed' THEN l.file_path ELSE c.file_path END AS file_path, c.mime_type FROM content c JOIN last l ON l.user_id = c.user_id AND l.file_id IS NOT DISTINCT FROM c.file_id""",
-    "event_delete_both": f"""WITH {LAST}, left_over AS (SELECT DISTINCT user_id, file_id FROM log EXCEPT SELECT user_id, file_id FROM last WHERE op = 'deleted')
-      SELECT *, 'file_hashes' AS table_name FROM left_over UNION ALL SELECT *, 'classifications' FROM left_over""",
+    "event_apply_all_types": f"""WITH {EVENTS}, {replayed('true')} SELECT user_id, file_id, file_path, mime_type FROM rows_after""",
+    "event_delete_both": f"""WITH {LAST}, {GONE} SELECT user_id, file_id, 'file_hashes' AS table_name FROM last ANTI JOIN gone_last USING (user_id, file_id)
+      UNION ALL SELECT user_id, file_id, 'classifications' FROM last ANTI JOIN gone_ever USING (user_id, file_id)""",
+    "scans_settled": SETTLED,
+    "scans_settled_stream": SETTLED,
+    "cleanup_throttle_stream": THROTTLE,
     "job_scan": f"""WITH {FILES}, {LISTING}, work AS (SELECT l.* FROM listing l LEFT JOIN indexed i USING (user_id, file_id) WHERE l.file_size <> 0 AND l.file_id % 40 <> 0 AND (i.file_id IS NULL OR i.file_mtime <> l.file_mtime OR i.file_size <> l.file_size))
       SELECT user_id, file_id, file_size, file_mtime FROM work UNION ALL SELECT i.user_id, i.file_id, i.file_size, i.file_mtime FROM indexed i JOIN listing USING (user_id, file_id) WHERE NOT EXISTS (SELECT 1 FROM work w WHERE w.user_id = i.user_id AND w.file_id = i.file_id)""",
     "job_scan_forced": f"""WITH {FILES}, {LISTING} SELECT user_id, count(*) AS total, count(*) FILTER (file_id % 40 <> 0) AS hashed, 0 AS skipped, count(*) FILTER (file_id % 40 = 0) AS errors FROM listing WHERE file_size <> 0 GROUP BY user_id""",

@@ -116,6 +116,27 @@ files AS (SELECT *, row_number() OVER (PARTITION BY user_id, person ORDER BY mat
 PEOPLE = f"WITH {FACES}, {LABELS}, {CENTRES}, {ASSIGN}"
 
 LAST = f"{EVENTS}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, file_id ORDER BY ts DESC, event_id DESC) AS n FROM log) WHERE n = 1)"
+THROTTLE = f"""WITH RECURSIVE {EVENTS}, idle AS (SELECT DISTINCT user_id, ts FROM log WHERE op <> 'created'), due AS (SELECT user_id, min(ts) AS ts FROM idle GROUP BY user_id
+      UNION ALL SELECT d.user_id, (SELECT min(i.ts) FROM idle i WHERE i.user_id = d.user_id AND i.ts >= d.ts + INTERVAL 300 SECOND) AS ts FROM due d WHERE d.ts IS NOT NULL) SELECT user_id, count(*) AS cleanups FROM due WHERE ts IS NOT NULL GROUP BY user_id"""
+
+# Listeners see images alone.
+GONE = """gone_last AS (SELECT user_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, file_id ORDER BY ts DESC, event_id DESC) AS m FROM log WHERE mime_type = 'image/jpeg') WHERE m = 1 AND op = 'deleted'),
+gone_ever AS (SELECT DISTINCT user_id, file_id FROM log WHERE mime_type = 'image/jpeg' AND op = 'deleted')"""
+BASE = "base AS (SELECT user_id, file_id, 'Photos/old.jpg' AS file_path, 1::BIGINT AS file_size, 'image/jpeg' AS mime_type, 'old' AS content_hash, max(event_id) AS file_mtime FROM log WHERE event_id % 3 = 0 GROUP BY user_id, file_id)"
+
+
+def replayed(seen: str) -> str:
+    """Rows after the log: one event after another, a created one counts unless the content before it has its time and size, a rename unless a content that counts comes later."""
+    content = "file_path, file_size, mime_type, content_hash, file_mtime"
+    return f"""{BASE}, seen AS (SELECT * FROM log WHERE {seen} AND NOT (op IN ('created', 'written') AND file_size = 0)),
+contents AS (SELECT *, lag(op) OVER w AS op0, lag(file_mtime) OVER w AS m0, lag(file_size) OVER w AS s0 FROM seen WHERE op <> 'renamed' WINDOW w AS (PARTITION BY user_id, file_id ORDER BY ts, event_id)),
+known AS (SELECT c.*, CASE WHEN op0 IS NULL THEN b.file_mtime WHEN op0 <> 'deleted' THEN m0 END AS m1, CASE WHEN op0 IS NULL THEN b.file_size WHEN op0 <> 'deleted' THEN s0 END AS s1 FROM contents c LEFT JOIN base b USING (user_id, file_id)),
+counted AS (SELECT * FROM known WHERE op <> 'created' OR m1 IS NULL OR m1 <> file_mtime OR s1 <> file_size QUALIFY row_number() OVER (PARTITION BY user_id, file_id ORDER BY ts DESC, event_id DESC) = 1),
+named AS (SELECT user_id, file_id, ts, event_id, file_path FROM seen WHERE op = 'renamed' QUALIFY row_number() OVER (PARTITION BY user_id, file_id ORDER BY ts DESC, event_id DESC) = 1),
+there AS (SELECT user_id, file_id, {content}, ts, event_id FROM counted WHERE op <> 'deleted' UNION ALL SELECT user_id, file_id, {content}, NULL, NULL FROM base b WHERE NOT EXISTS (SELECT 1 FROM counted c WHERE c.user_id = b.user_id AND c.file_id = b.file_id)),
+rows_after AS (SELECT t.* REPLACE (CASE WHEN n.file_path IS NOT NULL AND (t.ts IS NULL OR n.ts > t.ts OR n.ts = t.ts AND n.event_id > t.event_id) THEN n.file_path ELSE t.file_path END AS file_path) FROM there t LEFT JOIN named n USING (user_id, file_id))"""
+
+
 SUPPORTED = "('image/jpeg','image/png','image/gif','image/webp','image/heic','image/heif','image/tiff','image/bmp','image/svg+xml','image/x-dcraw')"
 
 
@@ -171,7 +192,7 @@ ORACLE: dict[str, str] = {
     "place_markers": f"WITH {MARKED} SELECT user_id, marker, round(arg_min(lat, file_id), 6) AS lat, round(arg_min(lng, file_id), 6) AS lng, count(*) AS count FROM marked GROUP BY user_id, marker",
     "place_totals": f"WITH {MARKED} SELECT user_id, (SELECT count(DISTINCT marker) FROM marked m WHERE m.user_id = l.user_id) AS total_markers, count(*) AS total_photos_with_location FROM locations l WHERE has_location GROUP BY user_id",
     "place_marker_files": f"WITH {MARKED} SELECT * FROM (SELECT user_id, marker, CAST(row_number() OVER (PARTITION BY user_id, marker ORDER BY file_id) AS INT) AS pos, file_id FROM marked) WHERE pos <= 200",
-    "gps_decimal": "SELECT * FROM (VALUES (0::BIGINT, 40.446195::DOUBLE), (1, -33.859972), (2, NULL), (3, NULL), (4, -10.25), (5, NULL), (6, -0.0)) t(k, decimal)",
+    "gps_decimal": """SELECT event_id, CASE WHEN event_id % 7 IN (2, 3, 5) THEN NULL ELSE round(((event_id % 90)::DOUBLE + (event_id % 60)::DOUBLE / 2 / 60 + (event_id % 3600)::DOUBLE / 100 / 3600) * CASE WHEN event_id % 4 < 2 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END, 6) + 0.0::DOUBLE END AS decimal FROM events""",
     "face_counts": f"WITH {FACES} SELECT user_id, file_id, count(*) AS faces FROM faces GROUP BY ALL",
     "face_images": f"WITH {FACES} SELECT user_id, count(DISTINCT file_id) AS total_face_images FROM faces GROUP BY ALL",
     "face_decode": f"WITH {FACES} SELECT vec_id, CAST(list_sum(sig) AS BIGINT) AS total, list_min(sig) AS least, list_max(sig) AS most FROM faces",
@@ -192,15 +213,10 @@ ORACLE: dict[str, str] = {
       c AS (SELECT *, count(*) OVER (PARTITION BY user_id, file_id) AS k, row_number() OVER (PARTITION BY user_id, file_id ORDER BY face_confidence DESC, face_index) AS n FROM w)
       SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY face_confidence DESC, file_size DESC, file_id) AS INT) AS pos, file_id, k AS faces, count(*) OVER (PARTITION BY user_id) AS count FROM c WHERE n = 1""",
     "event_apply_last": f"WITH {LAST} SELECT user_id, file_id, event_id, op, file_size FROM last",
-    "event_apply_index": f"""WITH {EVENTS}, seen AS (SELECT * FROM log WHERE mime_type = 'image/jpeg' OR op = 'deleted'),
-      c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, file_id ORDER BY ts DESC, event_id DESC) AS n FROM seen WHERE op <> 'renamed') WHERE n = 1),
-      l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, file_id ORDER BY ts DESC, event_id DESC) AS n FROM seen) WHERE n = 1),
-      base AS (SELECT user_id, file_id, 'Photos/old.jpg' AS file_path, 1::BIGINT AS file_size, 'old' AS content_hash, max(event_id) AS m FROM log WHERE event_id % 3 = 0 GROUP BY user_id, file_id),
-      fresh AS (SELECT c.* FROM c LEFT JOIN base b USING (user_id, file_id) WHERE op IN ('created', 'written') AND (op = 'written' OR b.m IS NULL OR b.m <> c.file_mtime OR b.file_size <> c.file_size)),
-      after AS (SELECT user_id, file_id, file_path, file_size, content_hash FROM fresh UNION ALL SELECT user_id, file_id, file_path, file_size, content_hash FROM base ANTI JOIN fresh USING (user_id, file_id)),
-      alive AS (SELECT * FROM after ANTI JOIN (SELECT user_id, file_id FROM c WHERE op = 'deleted') USING (user_id, file_id))
-      SELECT a.user_id, a.file_id, coalesce(r.file_path, a.file_path) AS file_path, a.content_hash, a.file_size FROM alive a LEFT JOIN (SELECT user_id, file_id, file_path FROM l WHERE op = 'renamed') r USING (user_id, file_id)""",
-    "event_delete_cascade": f"WITH {LAST} SELECT t.table_name, CASE WHEN t.cleaned THEN (SELECT count(*) FROM last WHERE op <> 'deleted') ELSE (SELECT count(*) FROM last) END AS rows FROM (VALUES ('file_hashes', true), ('classifications', true), ('file_faces', false), ('file_locations', false)) t(table_name, cleaned)",
+    "event_apply_index": f"""WITH {EVENTS}, {replayed("mime_type = 'image/jpeg'")} SELECT user_id, file_id, file_path, content_hash, file_size FROM rows_after""",
+    "event_apply_stream": f"""WITH {EVENTS}, {replayed("mime_type = 'image/jpeg'")} SELECT user_id, file_id, file_path, content_hash, file_size FROM rows_after""",
+    "event_delete_cascade": f"""WITH {LAST}, {GONE} SELECT t.table_name, CASE t.table_name WHEN 'file_hashes' THEN (SELECT count(*) FROM last ANTI JOIN gone_last USING (user_id, file_id))
+      WHEN 'classifications' THEN (SELECT count(*) FROM last ANTI JOIN gone_ever USING (user_id, file_id)) ELSE (SELECT count(*) FROM last) END AS rows FROM (VALUES ('file_hashes'), ('classifications'), ('file_faces'), ('file_locations')) t(table_name)""",
     "event_rates": f"WITH {EVENTS} SELECT date_trunc('day', ts) AS start, op, count(*) AS n FROM log GROUP BY ALL",
     "path_functions": f"WITH {FILES} SELECT file_id, regexp_extract(file_path, '[^/]*$') AS base, regexp_replace(file_path, '/?[^/]*$', '') AS folder, file_path AS relative, {trimmed_target()} AS target FROM files",
     "ml_label_argmax": f"""WITH {FILES}, prompts AS (SELECT unnest(range(22)) AS rank), s AS (SELECT file_id, rank, ((file_id * 31 + rank * 17) % 101) / 128.0::DOUBLE AS score,
@@ -216,8 +232,7 @@ ORACLE: dict[str, str] = {
     "ml_breaker": f"""WITH RECURSIVE {EVENTS}, calls AS (SELECT event_id % 16 AS run_id, event_id AS seq, CASE WHEN event_id % 6 = 0 THEN CASE WHEN event_id % 16 = 3 THEN 503 ELSE 200 END WHEN event_id % 5 = 0 THEN 422 ELSE 503 END AS status FROM log),
       e AS (SELECT *, sum((status = 200)::INT) OVER (PARTITION BY run_id ORDER BY seq) AS epoch FROM calls), s AS (SELECT *, sum((status = 503)::INT) OVER (PARTITION BY run_id, epoch ORDER BY seq) AS streak FROM e),
       t AS (SELECT run_id, min(seq) AS stop FROM s WHERE status = 503 AND streak >= 5 GROUP BY run_id) SELECT c.run_id, count(*) AS calls, count(*) FILTER (t.stop IS NULL OR c.seq <= t.stop) AS asked FROM calls c LEFT JOIN t USING (run_id) GROUP BY c.run_id""",
-    "cleanup_throttle": f"""WITH RECURSIVE {EVENTS}, idle AS (SELECT DISTINCT user_id, ts FROM log WHERE op <> 'created'), due AS (SELECT user_id, min(ts) AS ts FROM idle GROUP BY user_id
-      UNION ALL SELECT d.user_id, (SELECT min(i.ts) FROM idle i WHERE i.user_id = d.user_id AND i.ts >= d.ts + INTERVAL 300 SECOND) AS ts FROM due d WHERE d.ts IS NOT NULL) SELECT user_id, count(*) AS cleanups FROM due WHERE ts IS NOT NULL GROUP BY user_id""",
+    "cleanup_throttle": THROTTLE,
     "signature_hashes": f"""WITH {FILES}, s AS (SELECT file_id, user_id, content_hash, repeat(content_hash, CAST(file_id % 4 + 1 AS INT)) AS t FROM files)
       SELECT file_id, CASE WHEN length(t) <= 191 THEN t ELSE 'sig:v1:' || sha256(t) END AS signature, 'person-' || substr(sha1(user_id), 1, 12) AS cluster,
         CAST(list_sum(list_transform(range(1, 65), lambda i: bit_count(xor(('0x' || content_hash[i])::INT, ('0x' || content_hash[65 - i])::INT)))) AS BIGINT) AS distance FROM s""",

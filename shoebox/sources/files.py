@@ -51,11 +51,11 @@ def capped(files: DataFrame, most: int) -> DataFrame:
     return read.unionByName(files.where(~fits).select("path", F.lit(None).cast("string").alias("content_hash"), F.lit("error").alias("outcome")))
 
 
-def header_locations(headers: DataFrame) -> DataFrame:
-    """path, has_location, lat and lng from the tags of ``image_headers``."""
+def header_locations(headers: DataFrame, *more: str) -> DataFrame:
+    """path, has_location, lat and lng from the tags of ``image_headers``, and columns that are kept."""
     at = gps(F.col("lat"), F.col("lat_ref"), F.col("lng"), F.col("lng_ref"))
     rows = headers.withColumn("_at", at)
-    return rows.select("path", F.col("_at").isNotNull().alias("has_location"), F.col("_at.lat").alias("lat"), F.col("_at.lng").alias("lng"))
+    return rows.select("path", F.col("_at").isNotNull().alias("has_location"), F.col("_at.lat").alias("lat"), F.col("_at.lng").alias("lng"), *more)
 
 
 def located(files: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

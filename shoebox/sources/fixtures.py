@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 FILE_INDEX = """
@@ -99,3 +100,46 @@ def face_labels(faces: DataFrame) -> DataFrame:
     pair = faces.where("vec_id = 2").select(F.lit(-1).cast("long").alias("label_id"), "user_id", "face_signature", F.lit("Nobody").alias("label_name"))
     blank = faces.where("vec_id = 9").select(F.lit(-2).cast("long").alias("label_id"), "user_id", "face_signature", F.lit("  ").alias("label_name"))
     return good.unionByName(pair).unionByName(blank)
+
+
+# --- workers: the tables hold no pictures, so answers follow from a file's size and id ---
+
+
+class StubScorer:
+    """Answers by the file's size; a stand-in for a model."""
+
+    def score(self, files: pd.DataFrame) -> pd.DataFrame:
+        names = ("document", "meme", "nature", "family", "object")
+        out = files[["user_id", "file_id"]].copy()
+        out["status"] = 200
+        out["category"] = [names[s % 5] for s in files["file_size"]]
+        out["confidence"] = [(s % 100) / 100 for s in files["file_size"]]
+        out["model"], out["algorithm_version"] = "stub", "1"
+        out["labels"] = [[{"name": "size", "score": (s % 100) / 100}] for s in files["file_size"]]
+        return out
+
+
+class FlakyStub(StubScorer):
+    """Fails for every third file when it is asked first, and rejects every seventh; a stand-in for a model."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def score(self, files: pd.DataFrame) -> pd.DataFrame:
+        out = super().score(files)
+        first = ~out["file_id"].isin(self.seen)
+        out.loc[(out["file_id"] % 3 == 0) & first, "status"] = 503
+        out.loc[out["file_id"] % 7 == 0, "status"] = 422
+        self.seen |= set(out["file_id"])
+        return out
+
+
+class FaceStub:
+    """Two faces by the file's size, the second one unsure for odd sizes; a stand-in for a model."""
+
+    def score(self, files: pd.DataFrame) -> pd.DataFrame:
+        out = files[["user_id", "file_id"]].copy()
+        out["status"] = 200
+        face = '{"signature":"%s","confidence":%s}'
+        out["response"] = ['{"faces":[%s,%s]}' % (face % (f"a{s}", 0.9), face % (f"b{s}", 0.2 if s % 2 else 0.8)) for s in files["file_size"]]
+        return out

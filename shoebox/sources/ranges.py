@@ -98,6 +98,23 @@ def hashed(files: DataFrame, most: int | None = None, chunk: int = CHUNK, tasks:
     return rows.mapInArrow(run, SCHEMA)
 
 
+def heads(files: DataFrame, most: int) -> DataFrame:
+    """path and content: the first bytes of each file, as many as are asked for; null for one that can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():  # one file's bytes at a time
+                try:
+                    fs, place = opened(path)
+                    with fs.open_input_file(place) as f:
+                        found = f.read(most)
+                except OSError:
+                    found = None
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([found], pa.binary())], names=["path", "content"])
+
+    return files.select("path").mapInArrow(run, "path string, content binary")
+
+
 def tasks_for(files: DataFrame, split: int = SPLIT) -> int:
     """Tasks that read about ``split`` bytes each."""
     total = files.agg(F.sum("length")).first()[0] or 0

@@ -1,25 +1,21 @@
-"""The index kept current from file events.
-
-Batches are reduced to the last event of each file before they are
-merged, and merging the same batch twice gives the same table, so a
-replayed batch does no harm.
-"""
+"""The index kept current from file events: applied to a table, or as they stream."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shoebox.functions.paths import SUPPORTED
-from shoebox.operators.index import KEY, drop_users, merged, moved, without_files, write_users
+from shoebox.operators.index import KEY, without_files
+from shoebox.operators.snapshots import IndexTable
 from shoebox.plans.config import CLEANUP_SECONDS
 
+from . import versions
+
 OPS = ("created", "written", "renamed", "deleted")
 
 
@@ -30,78 +26,53 @@ def last_events(events: DataFrame) -> DataFrame:
 
 
 def wanted(events: DataFrame, image_only: bool = True) -> DataFrame:
-    """Listeners only see images, a full scan sees every type; deletions always pass."""
-    if not image_only:
-        return events
-    return events.where(F.col("mime_type").isin(*SUPPORTED) | (F.col("op") == "deleted"))
+    """Listeners only see images, deletions of other files included; a full scan sees every type."""
+    return events.where(F.col("mime_type").isin(*SUPPORTED)) if image_only else events
 
 
 def apply_to_index(index: DataFrame, events: DataFrame, image_only: bool = True) -> DataFrame:
-    """The hash index after the events.
+    """The hash index after the events, one after another (see ``versions``)."""
+    return versions.applied(index, versions.settled(index, wanted(events, image_only)))
+
 
-    created: added unless an unchanged row is there.  written: replaced in
-    any case.  renamed: only the path, and only of indexed files.
-    deleted: gone.  Of a file's events the last counts, but a rename keeps
-    the content that an earlier event of the same batch brought.
+def delete_cascade(tables: dict[str, DataFrame], events: DataFrame, strict: bool = False, image_only: bool = True) -> dict[str, DataFrame]:
+    """Tables after deletions: hashes and categories only, or with ``strict`` all of them.
+
+    A hash comes back with a later event of its file; other tables wait for their own scans.
     """
     seen = wanted(events, image_only)
-    content = last_events(seen.where(F.col("op").isin("created", "written", "deleted")))
-    old = index.select(*KEY, F.col("file_mtime").alias("_mtime"), F.col("file_size").alias("_size"))
-    fresh = content.where(F.col("op").isin("created", "written")).join(old, KEY, "left")
-    same = F.col("file_mtime").eqNullSafe(F.col("_mtime")) & F.col("file_size").eqNullSafe(F.col("_size"))
-    fresh = fresh.where((F.col("op") == "written") | ~F.coalesce(same, F.lit(False)))
-    fresh = fresh.withColumn("scanned_at", F.col("ts")).select(*index.columns)
-    after = without_files(merged(index, fresh), content.where(F.col("op") == "deleted"))
-    # A rename that a later event of the same file follows doesn't move it any more.
-    last = last_events(seen)
-    return moved(after, last.where(F.col("op") == "renamed").select(*KEY, "file_path"))
-
-
-def delete_cascade(tables: dict[str, DataFrame], events: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
-    """Tables after deletions: hashes and categories only, or with ``strict`` all of them."""
-    gone = last_events(events).where(F.col("op") == "deleted")
+    gone = {"file_hashes": last_events(seen).where(F.col("op") == "deleted")}
+    every = seen.where(F.col("op") == "deleted").select(*KEY).distinct()
     touched = set(tables) if strict else {"file_hashes", "classifications"}
-    return {name: without_files(t, gone) if name in touched else t for name, t in tables.items()}
+    return {name: without_files(t, gone.get(name, every)) if name in touched else t for name, t in tables.items()}
 
 
-def start_upkeep(events: DataFrame, table_path: str, checkpoint: str, image_only: bool = True, available_now: bool = True, categories_path: str | None = None) -> StreamingQuery:
-    """Apply a stream of events to the partitioned hash table at a path, and deletions to that of the categories.
+def start_upkeep(events: DataFrame, table: IndexTable, checkpoint: str, image_only: bool = True, available_now: bool = True, categories: IndexTable | None = None, late_seconds: int = 3600) -> StreamingQuery:
+    """Apply a stream of events to the hash table, and deletions to that of the categories.
 
-    Each batch reads the partitions of its users alone, by a semi join
-    that prunes them, and overwrites those; a user whose last file went
-    loses the partition.  Faces and places are left to their own scans.
+    The state of each file knows its row, so a batch replaces rows without
+    asking what they were, and a repeated batch does no harm.  Rows are
+    published by users, some thousand at once (see ``IndexTable``).  Faces
+    and places are left to their own scans.
     """
 
-    def replace(after: DataFrame, users: DataFrame, path: str) -> None:
-        # The partitions that are read are the ones that get replaced: cut the lineage first.
-        after = after.checkpoint()
-        write_users(after, path)
-        left = after.select("user_id").distinct()
-        empty = users.join(left, users["user_id"].eqNullSafe(left["user_id"]), "left_anti")
-        drop_users(empty.sparkSession, (r["user_id"] for r in empty.toLocalIterator()), path)
-
     def batch(rows: DataFrame, _: int) -> None:
-        spark: SparkSession = rows.sparkSession
         rows = rows.persist()
         try:
-            touched = rows.select("user_id").distinct()
-            users = [r[0] for r in touched.limit(10_001).collect()]
-
-            def of_users(path: str) -> DataFrame:
-                spark.catalog.refreshByPath(path)
-                table = spark.read.parquet(path)
-                # Many users: no list in the plan, the join finds them.
-                return table.where(F.col("user_id").isin(users)) if len(users) <= 10_000 else table.join(touched, "user_id", "left_semi")
-
-            replace(apply_to_index(of_users(table_path), rows, image_only), touched, table_path)
-            if categories_path:
-                gone = last_events(rows).where("op = 'deleted'")
-                few = of_users(categories_path)
-                replace(without_files(few, gone), gone.select("user_id").distinct(), categories_path)
+
+            def after(old: DataFrame, users: list) -> DataFrame:
+                own = rows.where(IndexTable._among(users))
+                return without_files(old, own).unionByName(own.where("op = 'indexed'").select(*old.columns))
+
+            table.in_turns(rows.select("user_id").distinct(), after)
+            if categories:
+                gone = rows.where("went")  # also where a file came back: it is to be classified anew
+                categories.in_turns(gone.select("user_id").distinct(), lambda old, users: without_files(old, gone.where(IndexTable._among(users))))
         finally:
             rows.unpersist()
 
-    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    changes = versions.changes(wanted(events, image_only), table.read(), late_seconds)
+    writer = changes.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 
@@ -115,27 +86,8 @@ def rates(events: DataFrame, window: str = "1 hour", late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "op").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "op", "n")
 
 
-def cleanup_due(requests: DataFrame, seconds: int = CLEANUP_SECONDS) -> DataFrame:
-    """Of a stream of page views (user_id, ts, classifying), those that start a cleanup: none while classifying, and not again within so many seconds."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        due = []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for at, busy in zip(rows["ts"], rows["classifying"]):
-            now = at.timestamp()
-            if not busy and (last is None or now - last >= seconds):
-                due.append(at)
-                last = now
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"user_id": [key[0]] * len(due), "ts": due})
-
-    return requests.groupBy("user_id").applyInPandasWithState(run, "user_id string, ts timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
-
-
 def due_in_order(requests: DataFrame, seconds: int = CLEANUP_SECONDS) -> DataFrame:
-    """The same for a finished table.
+    """Of a table of page views (user_id, ts, classifying), those that start a cleanup: none while classifying, and not again within so many seconds (as a stream: ``timers.cleanup_due``).
 
     Each user's times stream by in order and only the last start is held,
     so a user with very many page views costs no memory.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import paths, scalars
 from shoebox.operators import classify, dedup, index, people, scoring
+from shoebox.sources import fixtures
 from shoebox.plans.config import EngineConfig, normal_scope, page_of
 
 
@@ -99,7 +100,7 @@ def test_prompts_and_worker_answers(spark):
     wanted = spark.createDataFrame([("cat", 0), ("dog", 1)], "label string, pos int")
     assert sorted((r.category, r.prompt) for r in classify.prompts_of(wanted, known).collect()) == [("cat", "a"), ("cat", "b"), ("dog", "dog")]
     files = spark.createDataFrame([("u", k, 1000 + k, "image/jpeg") for k in range(20)], "user_id string, file_id long, file_size long, mime_type string")
-    got = scoring.answers(scoring.eligible(files), scoring.StubScorer()).collect()
+    got = scoring.answers(scoring.eligible(files), fixtures.StubScorer()).collect()
     assert len(got) == 20 and {r.category for r in got} == set(classify.CATEGORIES)
     faces = one(spark, scoring.parsed_faces(F.lit('{"faces":[{"signature":"a","confidence":0.2},{"signature":"b","confidence":0.9}]}')))
     assert [f.signature for f in faces] == ["b"]
@@ -146,7 +147,7 @@ def test_a_failed_file_is_asked_again_by_itself(spark):
     """Only failing files are asked again, and what comes after the breaker opened is dropped, as by the window over the log."""
     import pandas as pd
 
-    class Logged(scoring.StubScorer):
+    class Logged(fixtures.StubScorer):
         def __init__(self, statuses):
             self.statuses, self.asked = statuses, []
 
@@ -190,29 +191,6 @@ def test_moves_find_free_names(spark):
     assert got[4] == ("moved", "new/deep/n") and got[5] == ("invalid_target", None) and got[6] == ("not_found", None) and got[7] == ("moved", "E/y.tar.gz")
 
 
-def test_commands_scan_and_clean(spark, tmp_path, capsys):
-    from shoebox import __main__ as commands
-
-    root, table = tmp_path / "files", str(tmp_path / "index")
-    (root / ".trash").mkdir(parents=True)
-    for name, text in (("a.jpg", "x"), ("b.jpg", "x"), (".trash/c.jpg", "x"), ("d.txt", "y")):
-        (root / name).write_text(text)
-
-    def run(*words):
-        commands.run(spark, commands.arguments().parse_args([*words, "--index", table, "--files", str(root)]))
-        spark.catalog.refreshByPath(table)
-        return sorted(r.file_path for r in spark.read.parquet(table).collect())
-
-    assert run("scan") == ["a.jpg", "b.jpg", "d.txt"]
-    (root / "b.jpg").unlink()
-    (root / "d.txt").unlink()
-    assert run("cleanup") == ["a.jpg", "d.txt"]  # no duplicate is looked at for d
-    assert run("scan", "--force") == ["a.jpg"]
-    run("stats")
-    run("groups")
-    assert "duplicate_groups" in capsys.readouterr().out
-
-
 def test_zero_counts_and_capped_copies(spark):
     rows = spark.createDataFrame([("meme",), ("meme",)], "category string")
     assert [(r.category, r["count"], r.total) for r in classify.all_counts(rows).orderBy("ord").collect()] == [(c, 2 if c == "meme" else 0, 2) for c in classify.CATEGORIES]
