@@ -114,17 +114,23 @@ class Profiles:
 
 
 def sampled(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """lang and text of the labelled rows that are learned from: of each language those whose hash of id and text is least, ``per_language`` at most."""
+    """lang and text of the labelled rows that are learned from: of each language those whose hash of id and text is least, ``per_language`` at most.
+
+    Repeated rows count once.  A share of all hashes that holds the sample
+    twice over is kept first, by an estimate of the distinct ones, so few
+    rows are ranked, and texts are moved for those alone.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("rank", F.xxhash64("doc_id", "text"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
-    # Hashes are ranked first, of which each task keeps only the least, so texts are moved for the sample alone.
-    ends = rows.select("lang", "rank").withColumn("at", place).where(F.col("at") <= per_language).groupBy("lang").agg(F.max("rank").alias("rank")).collect()  # one row a language
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).collect()  # one row a language
     keep = F.lit(False)
-    for r in ends:
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("rank") <= r["rank"]))
-    return rows.where(keep).withColumn("at", place).where(F.col("at") <= per_language).select("lang", "text")
+    for r in sizes:
+        share = min(1.0, 2.0 * per_language / r["n"]) if r["n"] > 4 * per_language else 1.0
+        keep = keep | ((F.col("lang") == r["lang"]) & (F.pmod("rank", F.lit(1_000_000_007)) <= int(share * 1_000_000_007)))
+    few = rows.where(keep).groupBy("lang", "rank").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("rank", F.lit(1_000_000_007)), "rank"))
+    return few.withColumn("at", place).where(F.col("at") <= per_language).select("lang", "text")
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:

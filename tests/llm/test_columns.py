@@ -437,4 +437,4 @@ def test_a_language_of_one_repeated_id_is_learned(spark):
     found = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
     assert found.languages == ["de", "en"]
     few = language.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
-    assert sorted((r.lang, r.n) for r in few.groupBy("lang").agg(F.count("*").alias("n")).collect()) == [("de", 50), ("en", 50)]
+    assert sorted((r.lang, r.n) for r in few.groupBy("lang").agg(F.count("*").alias("n")).collect()) == [("de", 1), ("en", 50)]
