@@ -74,13 +74,6 @@ def listed(spark: SparkSession, root: str, user: str) -> DataFrame:
     return rows.where(visible(F.col("file_path")))
 
 
-def in_table(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    """The rows, listed once: what is done with them doesn't depend on what happens in the folders meanwhile."""
-    path = stores.shared_folder(spark, label)
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 class Scan:
     """One user's scan: what is listed, compared and done, with its progress, and published at its end."""
 
@@ -100,7 +93,7 @@ class Scan:
             print(f"{self.user}: no folder {self.root}", file=sys.stderr)
             return 1
         try:
-            listing = in_table(self.spark, listed(self.spark, self.root, self.user), f"{self.command}-listing")
+            listing = stores.kept(listed(self.spark, self.root, self.user), f"{self.command}-listing")
             counts = {"scan": self.hashes, "classify": self.classes, "gps": self.locations, "people": self.faces}[self.command](listing)
         except Exception:
             self.report("error", 0, 0)
@@ -116,12 +109,12 @@ class Scan:
         files that it can't handle; ``write`` gives a user's rows from the
         old ones and the listed files with what was found.
         """
-        compared = in_table(self.spark, index.compared(rows, table.read(users=[self.user]), by, self.given.force), f"{self.command}-compared")
+        compared = stores.kept(index.compared(rows, table.read(users=[self.user]), by, self.given.force), f"{self.command}-compared")
         total, skipped = compared.count(), compared.where("NOT needs_work").count()
         self.report("scanning", total, 0)
         work = compared.where("needs_work").drop("needs_work", "was_indexed")
         found = work.join(progress.in_steps(work, do, lambda n: self.report("scanning", total, skipped + n), self.command), "path").withColumn("scanned_at", F.current_timestamp())
-        found = in_table(self.spark, found.where("outcome = 'done'"), f"{self.command}-found")
+        found = stores.kept(found.where("outcome = 'done'"), f"{self.command}-found")
         listing = rows.select("user_id", "file_id")
         table.commit([self.user], lambda old: index.split_stale(write(old, found), listing)[0])
         good = found.count()
@@ -197,7 +190,7 @@ def cleaned(spark: SparkSession, tables: Index, given: argparse.Namespace) -> in
     if not given.user or not given.files or not there(given.files):
         print("Give a user, and --files that is there", file=sys.stderr)
         return 1
-    listing = in_table(spark, listed(spark, given.files, given.user), "cleanup-listing")
+    listing = stores.kept(listed(spark, given.files, given.user), "cleanup-listing")
     tables.hashes.commit([given.user], lambda old: jobs.cleanup(old, listing))
     return 0
 

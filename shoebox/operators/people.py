@@ -11,15 +11,16 @@ their first label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoebox.functions.paths import scoped, trimmed
-from shoebox.functions.scalars import bind, cluster_id, cosine, embedding, unit
+from shoebox.functions.scalars import cluster_id, embedding, unit
+from shoebox.operators import vectors
+from shoebox.sources.stores import kept
 from shoebox.plans.config import CANDIDATES, CLUSTERS, EngineConfig, clamp, page_of
 
 FILE = ["user_id", "file_id"]
-SCORED = "array<struct<ord:bigint,person:string,vector:array<double>>>"
 
 
 def with_vectors(faces: DataFrame) -> DataFrame:
@@ -79,53 +80,33 @@ def centroids(refs: DataFrame) -> DataFrame:
     rows = refs.withColumn("vector", embedding(F.col("face_signature"))).where("vector IS NOT NULL")
     own = Window.partitionBy("user_id", "person").orderBy("label_id")
     rows = rows.withColumn("dim", F.first(F.size("vector")).over(own)).withColumn("ord", F.first("label_id").over(own)).where(F.size("vector") == F.col("dim"))
-    parts = rows.select("user_id", "person", "ord", F.posexplode("vector").alias("pos", "x")).groupBy("user_id", "person", "ord", "pos").agg(F.sum("x").alias("x"))
-    whole = parts.groupBy("user_id", "person", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("total"))  # a value a dimension
+    whole = vectors.sums(rows, ["user_id", "person", "ord"])
     return whole.withColumn("vector", unit(F.col("total"))).where("vector IS NOT NULL").select("user_id", "person", "ord", "vector")
 
 
-def best_of(vector: Column, people: Column) -> Column:
-    """struct(person, score, second): the nearest of an array of people and the runner-up's score; the first of equals wins."""
-    start = F.struct(F.lit(None).cast("string").alias("person"), F.lit(-1.0).alias("score"), F.lit(-1.0).alias("second"))
-
-    def step(acc: Column, p: Column) -> Column:
-        def judged(s: Column) -> Column:
-            better = s > acc["score"]
-            return F.struct(
-                F.when(better, p["person"]).otherwise(acc["person"]).alias("person"),
-                F.when(better, s).otherwise(acc["score"]).alias("score"),
-                F.when(better, acc["score"]).otherwise(F.greatest(s, acc["second"])).alias("second"),
-            )
-
-        return F.element_at(F.transform(F.array(cosine(vector, p["vector"])), judged), 1)
-
-    return F.aggregate(people, start, step)
-
-
 def assigned(faces: DataFrame, refs: DataFrame, people: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """Each face that belongs to someone, with person and match_score.
 
     A reference's own signature belongs to its person with score 1.  Any
     other face goes to the nearest centroid if that is near enough and far
-    enough ahead of the next.  A user's people travel as one array, so no
-    row is made for a pair of face and person.
+    enough ahead of the next.  A person further off than the least
+    similarity less the margin changes no verdict, so ``nearest_two`` needs
+    to look no further; it compares each different signature once.
     """
-    rows = with_counts(faces)
+    people = kept(people.select("user_id", "person", "ord", "vector"), "people")
     exact = refs.join(people.select("user_id", "person"), ["user_id", "person"], "left_semi").groupBy("user_id", "face_signature").agg(F.max_by("person", "label_id").alias("own"))
-    arrays = people.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ord", "person", "vector"))).alias("people"))
-    joined = rows.join(exact, ["user_id", "face_signature"], "left").join(arrays, "user_id")
-
-    def judged(near: Column) -> Column:
-        """One entry of person and score, or none."""
-        accepted = near["person"].isNotNull() & (near["score"] >= config.people_min_similarity) & (near["score"] - near["second"] >= config.people_min_margin)
-        return F.when(accepted, F.array(F.struct(near["person"].alias("person"), near["score"].alias("score")))).otherwise(none)
-
-    none = F.array().cast("array<struct<person:string,score:double>>")
-    # Exploding keeps the search from being copied into a filter below.
-    nearest = F.when(F.col("vector").isNotNull(), bind(best_of(F.col("vector"), F.col("people")), judged)).otherwise(none)
-    exact_one = F.array(F.struct(F.col("own").alias("person"), F.lit(1.0).alias("score")))
-    found = joined.select(*rows.columns, F.explode(F.when(F.col("own").isNotNull(), exact_one).otherwise(nearest)).alias("_m"))
-    return found.withColumns({"person": F.col("_m.person"), "match_score": F.col("_m.score"), "confidence": F.coalesce("face_confidence", F.lit(0.0))}).drop("_m")
+    exact = kept(exact, "exact")
+    rows = with_counts(faces)
+    key = F.sha2(F.to_json(F.struct("user_id", "face_signature")), 256)
+    signatures = signed(faces).select("user_id", "face_signature").distinct()
+    asked = signatures.join(exact, ["user_id", "face_signature"], "left_anti").select(key.alias("key"), "user_id", embedding(F.col("face_signature")).alias("vector"))
+    named = people.select("user_id", "ord", F.col("person").alias("name"), "vector")
+    least, margin = config.people_min_similarity, config.people_min_margin
+    near = vectors.nearest_two(asked, named, "user_id", "key", least - margin, asking=signatures)
+    near = near.where((F.col("score") >= least) & (F.col("score") - F.col("second") >= margin)).select("key", F.col("name").alias("near"), F.col("score").alias("near_score"))
+    joined = rows.withColumn("key", key).join(exact, ["user_id", "face_signature"], "left").join(near, "key", "left")
+    joined = joined.withColumns({"person": F.coalesce("own", "near"), "match_score": F.when(F.col("own").isNotNull(), F.lit(1.0)).otherwise(F.col("near_score")), "confidence": F.coalesce("face_confidence", F.lit(0.0))})
+    return joined.where("person IS NOT NULL").select(*rows.columns, "person", "match_score", "confidence")
 
 
 def person_files(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from urllib.parse import unquote, urlsplit
 
 from pyarrow import fs as arrow_fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def opened(path: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -37,6 +37,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table of the shared folder: worked out once, whatever reads them and whichever executors are lost."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
