@@ -64,3 +64,40 @@ def classified_deletes(listing: DataFrame, requests: DataFrame) -> DataFrame:
     there = listing.select(*KEY).distinct().withColumn("there", F.lit(True))
     outcome = F.when(F.coalesce("there", F.lit(False)), "deleted").otherwise("already_removed")
     return requests.join(there, KEY, "left").select("user_id", "pos", "file_id", outcome.alias("outcome"))
+
+
+def duplicate_deletes(index: DataFrame, nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """user_id, pos, file_id, outcome and path (of the node that goes) of requests to delete copies, one after another by pos.
+
+    index: user_id, file_id, content_hash.  nodes: user_id, file_id, nth,
+    path, deletable: where storage has a file, in its order.  A file that
+    isn't indexed fails (``not_indexed``), also when it was asked for
+    before; the last copy of a content stays (``last_copy``); a file that
+    storage doesn't have is taken off the index (``already_removed``); else
+    the first node that may be deleted goes (``deleted``), or none
+    (``not_deletable``), which leaves the copy in the index.
+    """
+    first = F.min(F.when(F.coalesce("deletable", F.lit(False)), F.struct("nth", "path")))
+    stored = nodes.groupBy(*KEY).agg(first.alias("node"), F.lit(True).alias("there"))
+    known = index.select(*KEY, "content_hash")
+    rows = requests.select(*KEY, "pos").join(known, KEY, "left").join(stored, KEY, "left")
+    gone = ~F.coalesce("there", F.lit(False))
+    takes = F.col("content_hash").isNotNull() & (gone | F.col("node").isNotNull())
+    # A second request for a file that went finds no row; for one that stayed it meets the same answer.
+    again = F.row_number().over(Window.partitionBy("user_id", "file_id").orderBy("pos")) > 1
+    rows = rows.withColumns({"gone": gone, "takes": takes, "again": again})
+    asked = rows.where("content_hash IS NOT NULL").select("user_id", "content_hash").distinct()
+    copies = known.join(asked, ["user_id", "content_hash"], "left_semi").groupBy("user_id", "content_hash").agg(F.count("*").alias("copies"))
+    rows = rows.join(copies, ["user_id", "content_hash"], "left")
+    counts = (F.col("takes") & ~F.col("again")).cast("int")
+    before = F.sum(counts).over(Window.partitionBy("user_id", "content_hash").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("taken", F.least(F.coalesce(before, F.lit(0)), F.col("copies") - 1))
+    # Whether this file's own first request took it.
+    own = F.max(F.when(F.col("takes") & ~F.col("again"), F.col("taken") < F.col("copies") - 1)).over(Window.partitionBy("user_id", "file_id"))
+    last = F.col("taken") >= F.col("copies") - 1
+    outcome = (
+        F.when(F.col("content_hash").isNull() | (F.col("again") & F.coalesce("own", F.lit(False))), "not_indexed")
+        .when(last, "last_copy").when(F.col("gone"), "already_removed").when(F.col("node").isNull(), "not_deletable").otherwise("deleted")
+    )
+    rows = rows.withColumn("own", own).withColumn("outcome", outcome)
+    return rows.select(*KEY, "pos", "outcome", F.when(F.col("outcome") == "deleted", F.col("node.path")).alias("path"))

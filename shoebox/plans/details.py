@@ -66,6 +66,19 @@ def ranged_hashes(spark, sf_dir):
     return found.select(number.alias("file_id"), "length", "content_hash", "outcome")
 
 
+@query
+def header_sizes(spark, sf_dir):
+    """Pictures with a header and a long tail, stored as files; only their first bytes are read."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    k = F.col("doc_id")
+    number = lambda x: F.lpad(F.hex(x), 8, "0")
+    header = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(k % 5000), number(k * 31 % 7001)))
+    content = F.when(k % 9 == 4, F.lit(b"GIF8")).otherwise(F.concat(header, F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    files = ranges.write_contents(docs.select(F.concat(k.cast("string"), F.lit(".png")).alias("name"), content.alias("content")), stores.shared_folder(spark, "pictures"))
+    found = sources.image_headers(ranges.heads(files, 1024))
+    return found.select(F.regexp_extract("path", r"(-?[0-9]+)\.png$", 1).cast("long").alias("file_id"), "width", "height")
+
+
 def tags(spark, sf_dir) -> DataFrame:
     """Tags of a position for every event; some are missing."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -390,6 +403,18 @@ def classified_delete(spark, sf_dir):
     return actions.classified_deletes(listing_of(files), requests(files).where("pos < 0"))
 
 
+@query
+def duplicate_delete(spark, sf_dir):
+    """Every third file is asked for; storage lacks some, holds some twice, and protects some."""
+    files = files_of(spark, sf_dir)
+    k = F.col("file_id")
+    nodes = files.where(k % 8 != 0).withColumn("nth", F.explode(F.when(k % 8 == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    nodes = nodes.select("user_id", "file_id", "nth", F.concat("file_path", F.lit("#"), F.col("nth").cast("string")).alias("path"), ((k % 8 > 2) | (F.col("nth") == 2)).alias("deletable"))
+    asked = files.where(k % 3 != 1).select("user_id", "file_id", (k * 7919 % 10007).alias("pos"))
+    unknown = files.where(k % 100 == 5).select("user_id", (-k).alias("file_id"), k.alias("pos"))
+    return actions.duplicate_deletes(files, nodes, asked.unionByName(unknown)).drop("pos")
+
+
 @query
 def group_after_delete(spark, sf_dir):
     files = files_of(spark, sf_dir)

@@ -114,6 +114,14 @@ SQL = {
     "move_files": f"""WITH {FILES}, {MOVES} SELECT * FROM moved UNION ALL SELECT user_id, file_id, file_id, 'invalid_target', NULL FROM files WHERE file_id % 6 = 3
       UNION ALL SELECT user_id, file_id, -file_id, 'not_found', NULL FROM files WHERE file_id % 6 = 4""",
     "classified_delete": f"""WITH {FILES}, {LISTING}, {REQUESTS} SELECT a.user_id, a.pos, a.file_id, CASE WHEN l.file_id IS NULL THEN 'already_removed' ELSE 'deleted' END AS outcome FROM asked a LEFT JOIN listing l USING (user_id, file_id) WHERE a.pos < 0""",
+    "duplicate_delete": f"""WITH {FILES}, nodes AS (SELECT user_id, file_id, n, file_path || '#' || n AS path, file_id % 8 > 2 OR n = 2 AS deletable FROM files, (VALUES (1), (2)) v(n) WHERE file_id % 8 <> 0 AND (n = 1 OR file_id % 8 = 2)),
+      asked AS (SELECT user_id, file_id, content_hash, file_id * 7919 % 10007 AS pos FROM files WHERE file_id % 3 <> 1),
+      s AS (SELECT a.*, (SELECT count(*) FROM nodes n WHERE n.user_id = a.user_id AND n.file_id = a.file_id) = 0 AS gone, (SELECT arg_min(path, n.n) FROM nodes n WHERE n.user_id = a.user_id AND n.file_id = a.file_id AND deletable) AS path,
+        (SELECT count(*) FROM files f WHERE f.user_id = a.user_id AND f.content_hash = a.content_hash) AS copies FROM asked a),
+      t AS (SELECT *, copies - least(copies - 1, coalesce(sum((gone OR path IS NOT NULL)::INT) OVER (PARTITION BY user_id, content_hash ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS alive FROM s),
+      o AS (SELECT user_id, file_id, CASE WHEN alive <= 1 THEN 'last_copy' WHEN gone THEN 'already_removed' WHEN path IS NULL THEN 'not_deletable' ELSE 'deleted' END AS outcome, path FROM t)
+      SELECT user_id, file_id, outcome, CASE WHEN outcome = 'deleted' THEN path END AS path FROM o UNION ALL SELECT user_id, -file_id, 'not_indexed', NULL FROM files WHERE file_id % 100 = 5""",
+    "header_sizes": "SELECT doc_id AS file_id, CASE WHEN doc_id % 9 = 4 THEN 0 ELSE doc_id % 5000 END::INT AS width, CASE WHEN doc_id % 9 = 4 THEN 0 ELSE doc_id * 31 % 7001 END::INT AS height FROM documents",
     "group_after_delete": f"""WITH {FILES}, {REQUESTS}, gone AS (SELECT user_id, file_id FROM plan WHERE outcome = 'deleted')
       SELECT user_id, content_hash, count(*) AS count, CAST(sum(file_size) AS BIGINT) AS total_size FROM files f WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.user_id = f.user_id AND g.file_id = f.file_id) GROUP BY ALL HAVING count(*) > 1""",
     "reference_faces": f"WITH {FACES} SELECT user_id, file_id FROM faces GROUP BY ALL HAVING count(*) = 1",

@@ -58,8 +58,26 @@ def test_perceptual_hashes(spark):
         assert np.allclose(full[:2], low, atol=1e-6)
         assert bits[:32] == "".join("1" if v > np.median(full) else "0" for v in full[:2].reshape(-1))
     assert signatures.perceptual_hash(b"abc") is None and signatures.perceptual_hash(None) is None
-    rows = catalogue.queries()["perceptual_hashes"](spark, SF).collect()
-    assert len(rows) > 1 and all(len(x.face_signature) == 64 for x in rows) and len({x.face_signature for x in rows}) > 1
+    assert signatures.perceptual_hashes([None, pictures[0], b"abc", pictures[1]]) == [None, signatures.perceptual_hash(pictures[0]), None, signatures.perceptual_hash(pictures[1])]
+
+
+def test_perceptual_hashes_of_the_table(spark):
+    """Every row, with the transform as plain sums."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/embeddings.parquet")
+    i = np.arange(4096)
+    wave = lambda n: np.array([[math.cos(math.pi * k * (2 * m + 1) / 128) for m in range(64)] for k in range(n)])
+    expected = {}
+    for vec_id, v in zip(t.column("vec_id").to_pylist(), t.column("embedding").to_pylist()):
+        x = np.abs(np.array(v, np.float32).astype(float))
+        samples = (np.floor(x[i % 64] * 997 + x[i // 64 % 64] * 31).astype(int) % 256).reshape(64, 64)
+        low = np.einsum("mn,im,jn->ij", samples * 4.0, wave(16), wave(16))
+        bits = "".join("1" if y > np.median(low) else "0" for y in low.reshape(-1))
+        expected[vec_id] = f"{int(bits, 2):064x}"
+    rows = {x.vec_id: x.face_signature for x in catalogue.queries()["perceptual_hashes"](spark, SF).collect()}
+    assert rows == expected and len(set(rows.values())) > 1
 
 
 def test_greedy_suppression(spark):
