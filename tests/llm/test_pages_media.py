@@ -96,6 +96,44 @@ def test_markup_edges(page, expected):
     assert html.main_text(page) == expected
 
 
+MORE = "It is the second part of the story and it was told by the people of the town to a friend."
+
+
+@pytest.mark.parametrize(
+    "page,expected",
+    [
+        (f"<body><form id=aspnetForm action=x><nav><a href=/>Home of the page</a></nav><h1>Title</h1><p>{TEXT}</p><p>{MORE}</p><div id=comments><p>{TEXT}</p></div></form></body>", f"Title {TEXT} {MORE}"),
+        (f"<form><p>{TEXT}</p></form>", TEXT), (f"<div class='layout sidebar-right'><article><p>{TEXT}</p></article><div class=sidebar>{MORE}</div></div>", TEXT),
+        (f"<div class='page menu-open'><p>{TEXT}</p><div class=cookie-notice>{MORE}</div></div>", TEXT), (f"<div id='search-theory'><p>{TEXT}</p></div>", TEXT),
+        (f"<article><p>{TEXT}</p><section class='related-work'><h2>Work</h2><p>{MORE}</p></section></article>", f"{TEXT} Work {MORE}"),
+        (f"<article><p>{TEXT}</p><div class='related-posts'><h2>Others</h2><p>{MORE}</p></div></article>", TEXT),
+        (f"<article><p>{TEXT} where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", f"{TEXT} where x=2 holds."),
+        (f"<header class=page-header><div class=header><h1>Title</h1><p>{TEXT}</p></div></header>", f"Title {TEXT}"),
+        # Comments, adverts and notices stay chrome, however long they are.
+        (f"<article><h1>T</h1><p>Short.</p></article><div id=comments><article><p>{TEXT}</p><p>{MORE}</p></article></div>", "T Short."), (f"<div class=ad>{TEXT}</div><footer>{MORE}</footer>", ""),
+        (f"<div class=newsletter><h1>News</h1><p>{TEXT}</p></div>", ""), (f"<p>{TEXT}</p><form><p>{MORE}</p></form>", TEXT),
+    ],
+)
+def test_wrappers_are_no_chrome(page, expected):
+    assert html.main_text(page) == expected
+
+
+@pytest.mark.parametrize("piece", ["<iframe>x", "</div></p>", "</section>x", "<div class=menu>", "<form>", "<div class=ad><p>x", "<noscript>", "<ul><li>", "<p>a<h1>", "&am", "<a href=x>y"])
+def test_time_is_in_proportion(piece):
+    import time
+
+    def taken(n):
+        page = f"<p>{TEXT}</p>" + piece * n
+        best = 9.0
+        for _ in range(2):
+            began = time.process_time()
+            html.main_text(page)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert taken(16_000) < 8 * max(taken(4000), 0.05)
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article>{TEXT}</article>"), (1, "u", f"<article>{TEXT}</article>"), (2, None, None), (None, "v", ""), (3, "w", "<article><p>é\U0001f642</p>" + "<div>" * 3000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
