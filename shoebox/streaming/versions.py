@@ -76,6 +76,7 @@ def applied(index: DataFrame, changes: DataFrame) -> DataFrame:
 # --- a stream ---
 
 EVENT = "at long, event_id long, op string, file_path string, file_size long, mime_type string, content_hash string, file_mtime long"
+COLON = EVENT.replace(" ", ":").replace(",:", ",")
 CHANGE = "user_id string, file_id long, op string, file_path string, file_size long, mime_type string, content_hash string, file_mtime long, at long, went boolean"
 
 
@@ -120,16 +121,16 @@ class FileVersions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.start = handle.getValueState("start", EVENT)
-        self.since = handle.getListState("since", EVENT)
+        # One value, as each access is a call to the store.
+        self.state = handle.getValueState("file", f"start struct<{COLON}>, since array<struct<{COLON}>>")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         r = initialState
-        self.start.update((None, None, "indexed", r["file_path"], r["file_size"], r["mime_type"], r["content_hash"], r["file_mtime"]))
+        self._keep(Event(None, None, "indexed", r["file_path"], r["file_size"], r["mime_type"], r["content_hash"], r["file_mtime"]), [])
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        start = Event(*self.start.get()) if self.start.exists() else None
-        events = {e.event_id: e for e in (Event(*x) for x in self.since.get())}
+        start, since = self._known()
+        events = {e.event_id: e for e in since}
         new = [Event(*(r[c] for c in Event._fields)) for r in rows]
         events |= {e.event_id: e for e in new}
         went = any(e.op == "deleted" for e in new)
@@ -154,8 +155,7 @@ class FileVersions(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         """Fold what is older than events may be late."""
-        start = Event(*self.start.get()) if self.start.exists() else None
-        since = [Event(*x) for x in self.since.get()]
+        start, since = self._known()
         row, rest = self._row(start), []
         for e in since:
             if not rest and e.at // 1000 + self.late_ms <= expiredTimerInfo.getExpiryTimeInMs():
@@ -176,13 +176,14 @@ class FileVersions(StatefulProcessor):
     def _row(start: Event | None) -> Event | None:
         return None if start is None or start.op == "deleted" else start
 
+    def _known(self) -> tuple[Event | None, list[Event]]:
+        found = self.state.get()
+        if found is None:
+            return None, []
+        return Event(*found[0]) if found[0] is not None else None, [Event(*x) for x in found[1]]
+
     def _keep(self, start: Event | None, since: list[Event]) -> None:
-        if start is not None:
-            self.start.update(tuple(start))
-        if since:
-            self.since.put([tuple(e) for e in since])
-        else:
-            self.since.clear()
+        self.state.update((tuple(start) if start else None, [tuple(e) for e in since]))
 
 
 def with_rocks(spark: SparkSession) -> None:
