@@ -11,8 +11,7 @@ blocks, the squared distance of a vector to an entry is the sum of
 distance of what is left after the means are taken off, which is at
 least the squared difference of the two norms.  Entries are filtered by
 that bound, first with one block, then with finer ones; each level's best
-entry gets its exact distance, which is what the next bounds must not
-exceed.  Bounds are floating point and get a margin, so no entry at the
+entry gets its exact distance, which is what bounds must not exceed.  Bounds are floating point and get a margin, so no entry at the
 least distance is lost; survivors get exact integer distances, and the
 lowest index of the least one wins.
 
@@ -47,6 +46,8 @@ PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 MOST = 1 << 24
 #: Rows that are compared with all entries at once.
 ROWS = 512
+#: Up to here squares of differences sum up exactly as doubles, which are faster (for parts of up to 2048 components).
+SMALL = 1 << 19
 
 
 def finite(vector: Column) -> Column:
@@ -68,10 +69,12 @@ class Codebook:
     """The entries of one part, with their block means and residual norms at each level."""
 
     def __init__(self, entries: np.ndarray):
-        self.entries = entries
+        self.entries, self.whole = entries, entries.astype(np.float64)
+        self.small = entries.shape[1] <= 2048 and bool((np.abs(entries) <= SMALL).all())
         width = entries.shape[1]
         self.levels = [self.cut(width, n) for n in sorted({1, max(1, width // 4), max(1, width // 2)})]
         self.profiles = [self.profile(entries, cut) for cut in self.levels]
+        self.sizes = [np.einsum("ij,ij->i", p, p) for p in self.profiles]
 
     @staticmethod
     def cut(width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,33 +91,27 @@ class Codebook:
         return np.hstack([means * np.sqrt(lengths), np.sqrt(np.einsum("ij,ij->i", left, left))[:, None]])
 
     def exact(self, rows: np.ndarray, row: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        gap = rows[row] - self.entries[entry]
-        return np.einsum("ij,ij->i", gap, gap)
+        gap = rows.take(row, axis=0)
+        gap -= self.whole.take(entry, axis=0) if rows.dtype == np.float64 else self.entries.take(entry, axis=0)
+        return np.einsum("ij,ij->i", gap, gap).astype(np.int64)
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Index and squared distance of each row's nearest entry, and how many distances were computed."""
-        n = len(rows)
+        """Index and squared distance of each row's nearest entry, and how many exact distances were computed."""
+        n, m = len(rows), len(self.entries)
+        if self.small and (np.abs(rows) <= SMALL).all():
+            rows = rows.astype(np.float64)  # whole numbers still, and exact
         each = np.arange(n)
-        upper = np.full(n, np.iinfo(np.int64).max)
-        row = entry = None
-        spent = 0
-        for level, (cut, known) in enumerate(zip(self.levels, self.profiles)):
+        upper, alive, spent = np.full(n, np.inf), np.ones((n, m), bool), 0
+        for cut, known, known_size in zip(self.levels, self.profiles, self.sizes):
             own = self.profile(rows, cut)
-            if level == 0:
-                bound = np.zeros((n, len(known)))
-                for k in range(known.shape[1]):
-                    bound += (own[:, k, None] - known[None, :, k]) ** 2
-                best = bound.argmin(axis=1)
-                upper = np.minimum(upper, self.exact(rows, each, best))
-                row, entry = np.nonzero(bound <= self.ceiling(upper)[:, None])
-            else:
-                gap = own[row] - known[entry]
-                bound = np.einsum("ij,ij->i", gap, gap)
-                best = entry[self.first_least(bound, row)]
-                upper = np.minimum(upper, self.exact(rows, each, best))
-                stays = bound <= self.ceiling(upper)[row]
-                row, entry = row[stays], entry[stays]
+            size = np.einsum("ij,ij->i", own, own)[:, None] + known_size
+            bound = size - 2 * (own @ known.T)  # the squared distance of the profiles, but for rounding
+            bound -= 1e-12 * size
+            # The likeliest entry gets its exact distance; no bound above it matters.
+            upper = np.minimum(upper, self.exact(rows, each, bound.argmin(axis=1)))
             spent += n
+            alive &= bound <= self.ceiling(upper)[:, None]
+        row, entry = np.nonzero(alive)
         distance = self.exact(rows, row, entry)
         at = self.first_least(distance, row)
         return entry[at], distance[at], spent + len(row)
