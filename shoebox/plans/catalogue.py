@@ -192,7 +192,7 @@ def index_counts(spark, sf_dir):
 
 @query
 def index_json(spark, sf_dir):
-    rows = fixtures.locations(spark, sf_dir).withColumns({"file_path": F.lit("p"), "file_size": F.lit(1), "mime_type": F.lit("image/jpeg"), "file_mtime": F.lit(0), "scanned_at": F.timestamp_seconds(F.lit(1700000000))})
+    rows = fixtures.locations(spark, sf_dir).withColumns({"file_path": F.lit("p"), "file_size": F.lit(1), "mime_type": F.lit("image/jpeg"), "file_mtime": F.lit(0), "scanned_at": F.timestamp_seconds(F.lit(1700000000)), "id": F.col("file_id") + 1})
     made = index.as_json(rows, "file_locations")
     return made.select(F.get_json_object("json", "$.fileId").cast("long").alias("file_id"), F.get_json_object("json", "$.hasLocation").alias("has_location"), F.get_json_object("json", "$.lat").cast("double").alias("lat"), F.get_json_object("json", "$.scannedAt").alias("scanned_at"))
 
