@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_slices
+from .common import given_back, map_slices
 
 #: Fragments that a worker remembers before it starts anew.
 MEMO = 150_000
@@ -189,4 +189,4 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 yield work(batch.slice(at, 128))
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.mapInArrow(given_back(run), "doc_id long, ids array<int>, decoded string")

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, given_back, slices
 
 BUDGET, HISTORY = 2048, 512
 #: Tokens of a conversation whose windows are cut by one task; at least the history.
@@ -120,7 +120,7 @@ def summed(turns: DataFrame, path: str) -> DataFrame:
             sums = [pa.array(x, pa.int64()) for x in zip(*at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *sums, pa.array(tokens, pa.int32())], names=[c.split()[0] for c in RANGED.split(", ")])
 
-    return rows.select("conv_id", "turn", "tie", "role", "text", F.spark_partition_id().alias("pid")).mapInArrow(run, RANGED)
+    return rows.select("conv_id", "turn", "tie", "role", "text", F.spark_partition_id().alias("pid")).mapInArrow(given_back(run), RANGED)
 
 
 def carries(ranged: DataFrame) -> list[tuple[int, int | None, int, int]]:
@@ -249,7 +249,7 @@ def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HI
                 held, size = [], 0
         yield pa.RecordBatch.from_pylist(held, pa.schema(list(kinds.items())))
 
-    return whole.mapInArrow(run, WINDOW)
+    return whole.mapInArrow(given_back(run), WINDOW)
 
 
 # --- reading back ---
@@ -295,4 +295,4 @@ def digests(found: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_pylist([settled()], pa.schema(list(kinds.items())))
 
-    return rows.mapInArrow(run, DIGEST)
+    return rows.mapInArrow(given_back(run), DIGEST)

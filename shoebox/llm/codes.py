@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, given_back
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Scaled components are held to this.
@@ -161,7 +161,7 @@ def summed(rows: DataFrame, entries: np.ndarray) -> DataFrame:
         yield pa.RecordBatch.from_arrays([*columns, *(pa.array(total[p, e, k]) for k in range(width))], names=["part", "entry", "n", *(f"x{k}" for k in range(width))])
 
     names = ["n", *(f"x{k}" for k in range(width))]
-    sums = rows.select("vector").mapInArrow(run, "part int, entry int, " + ", ".join(f"{c} long" for c in names))
+    sums = rows.select("vector").mapInArrow(given_back(run), "part int, entry int, " + ", ".join(f"{c} long" for c in names))
     return sums.groupBy("part", "entry").agg(*(F.sum(c).alias(c) for c in names))
 
 
@@ -196,7 +196,7 @@ def encoded(rows: DataFrame, entries: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code, pa.string()), pa.array(error)], names=["vec_id", "label", "code", "error"])
 
     kind = dict(rows.dtypes)["label"]
-    return rows.select("vec_id", "label", "vector").mapInArrow(run, f"vec_id long, label {kind}, code string, error long")
+    return rows.select("vec_id", "label", "vector").mapInArrow(given_back(run), f"vec_id long, label {kind}, code string, error long")
 
 
 def compress(embeddings: DataFrame, parts: int = PARTS, most: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_slices, slices, texts_of
+from .common import given_back, held_out, map_slices, slices, texts_of
 
 #: Rows of a language that its profile is learned from, at most.
 SAMPLE_PER_LANGUAGE = 2000
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
             yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "key", "n"])
 
     few = sampled(docs, lang_col, id_col, text_col, per_language)
-    counted = few.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = few.mapInArrow(given_back(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))).where(F.col("at") <= PROFILE).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("keys"))
     found = sorted((r["lang"], [k["key"] for k in r["keys"]]) for r in ranked.collect())  # PROFILE numbers a language
     return Profiles([x for x, _ in found], [k for _, k in found])

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, map_slices, texts_of
+from .common import Scratch, fresh, given_back, map_slices, texts_of
 from .components import components
 
 SHINGLE = 5
@@ -226,7 +226,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         if links:
             yield _pairs(links)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(given_back(run), "a long, b long")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -304,7 +304,7 @@ def open_classes(rows: DataFrame) -> DataFrame:
             if found.any():
                 yield from table.select(["key", "rep", "component", "n_chars"]).filter(pa.array(found)).to_batches()
 
-    return blocks(rows).mapInArrow(run, "key long, rep long, component long, n_chars long").distinct()
+    return blocks(rows).mapInArrow(given_back(run), "key long, rep long, component long, n_chars long").distinct()
 
 
 def across(rows: DataFrame) -> DataFrame:
@@ -321,7 +321,7 @@ def across(rows: DataFrame) -> DataFrame:
             if links := joined(Group(table), table["text"]):
                 yield _pairs(links)
 
-    return blocks(rows).mapInArrow(run, "a long, b long")
+    return blocks(rows).mapInArrow(given_back(run), "a long, b long")
 
 
 def joined(group: Group, texts: pa.ChunkedArray) -> list[tuple[int, int]]:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_slices, slices, texts_of
+from .common import Scratch, given_back, map_slices, slices, texts_of
 from .words import word_bpe
 
 WINDOW = 4096
@@ -366,7 +366,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
         found = np.flatnonzero(df)
         yield pa.record_batch([pa.array(found), pa.array(df[found])], ["id", "n"])
 
-    out, df = rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << 16, np.int64)
+    out, df = rows.mapInArrow(given_back(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow(), np.zeros(1 << 16, np.int64)
     df[out["id"].to_numpy()] = out["n"].to_numpy()
     return df
 
@@ -401,7 +401,7 @@ def own_sequences(rows: DataFrame) -> DataFrame:
 
         yield from written(found(), (1 << 62) + (TaskContext.get().partitionId() << 40))
 
-    return rows.where(f"n >= {WINDOW} OR {ALONE}").selectExpr("doc_id", "tokens", f"{ALONE} AS alone").mapInArrow(run, SCHEMA)
+    return rows.where(f"n >= {WINDOW} OR {ALONE}").selectExpr("doc_id", "tokens", f"{ALONE} AS alone").mapInArrow(given_back(run), SCHEMA)
 
 
 def shared_sequences(rows: DataFrame, corpus: Corpus, ranges: int, shard_documents: int) -> DataFrame:
@@ -414,7 +414,7 @@ def shared_sequences(rows: DataFrame, corpus: Corpus, ranges: int, shard_documen
         found = ([(tag[0], tag[1] // WINDOW * WINDOW + at, ids[at : at + size], tag[1]) for tag, ids, at, size in s] for s in sequences(corpus, stream, shard_documents))
         yield from written(found, TaskContext.get().partitionId() << 40)
 
-    return waiting.mapInArrow(run, SCHEMA)
+    return waiting.mapInArrow(given_back(run), SCHEMA)
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
