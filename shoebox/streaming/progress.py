@@ -26,6 +26,8 @@ from shoebox.sources import stores
 
 #: Files after which a scan reports, at least; and reports of a scan, at most.
 EVERY, REPORTS = 50, 200
+#: How long the end of a query may take to be told.
+WAIT_SECONDS = 30
 
 
 class Store:
@@ -75,22 +77,34 @@ class Store:
 
 
 class Counted(StreamingQueryListener):
-    """Adds up an observed count of one query and reports the sum after each step."""
+    """Adds up an observed count of one query and reports the sum after each step, until it is closed."""
 
     def __init__(self, name: str, report: Callable[[int], None]):
         self.name, self.report, self.batches = name, report, {}
+        self.changed, self.ended, self.closed = threading.Condition(), set(), False
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         found = event.progress.observedMetrics.get(self.name)
-        if found is not None:
-            self.batches[event.progress.batchId] = found["n"]
-            self.report(sum(self.batches.values()))
+        if found is None:
+            return
+        with self.changed:
+            if not self.closed:
+                self.batches[event.progress.batchId] = found["n"]
+                self.report(sum(self.batches.values()))
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def close(self, run_id: str) -> None:
+        """Wait until a run's end was told, which comes after its steps; nothing is reported from then on."""
+        with self.changed:
+            self.changed.wait_for(lambda: run_id in self.ended, timeout=WAIT_SECONDS)
+            self.closed = True
 
 
 def in_steps(work: DataFrame, do: Callable[[DataFrame], DataFrame], report: Callable[[int], None], label: str, every: int | None = None) -> DataFrame:
@@ -107,7 +121,6 @@ def in_steps(work: DataFrame, do: Callable[[DataFrame], DataFrame], report: Call
     size = math.ceil(step / tasks)
     work.repartition(max(1, math.ceil(total / (size * tasks)))).write.option("maxRecordsPerFile", size).parquet(queue)
     name = f"{label}-{queue[-8:]}"
-    done = threading.Event()
     listener = Counted(name, report)
     spark.streams.addListener(listener)
     try:
@@ -117,7 +130,7 @@ def in_steps(work: DataFrame, do: Callable[[DataFrame], DataFrame], report: Call
         query.awaitTermination()
         if query.exception():
             raise query.exception()
-        done.wait(0.2)  # the last report is on its way
+        listener.close(str(query.runId))
         found = spark.read.schema(rows.schema).parquet(out)
         report(total)
         return found
