@@ -230,3 +230,36 @@ def test_awkward_conversations(spark):
     assert read_back(found) == spelled(rows)[0]
     assert [w["over_budget"] for w in found.where("conv_id = 5").orderBy("first_turn").collect()] == [True, False]
     assert chat.digests(chat.windows(spark.createDataFrame([], TURNS), BYTE)).count() == 0
+
+
+# --- queries ---
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op11_codes", "op12_audit"])
+def test_queries_match_their_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+    from shoebox.llm import entry
+
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    df = entry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    expected = con.sql(entry.oracle_sql()[name])
+    assert sorted(expected.columns) == columns
+    assert sorted(tuple(map(str, r)) for r in df.select(*columns).collect()) == sorted(tuple(map(str, r)) for r in expected.select(*columns).fetchall())
+
+
+def test_chat_query_gives_back_the_table(spark):
+    import pyarrow.parquet as pq
+    from shoebox.llm import entry
+
+    rows = [tuple(r.values()) for r in pq.read_table(f"{SF}/conversations.parquet", columns=["conv_id", "turn", "role", "text"]).to_pylist()]
+    rows += [(-1, 0, "user", SAID[0]), (-1, 1, "assistant", SAID[0])]
+    found = entry.op13_chat(spark, SF)
+    assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in found.collect()} == spelled(rows)[0]

@@ -215,6 +215,6 @@ def test_many_ranges_and_shards(spark):
 def test_query_columns(spark):
     from shoebox.llm import entry
 
-    assert set(entry.queries()) == {"op1_bpe", "op2_counts", "op3_packing", "op4_html", "op5_media", "op6_language", "op7_near", "op8_pii", "op9_lines", "op10_quality"}
+    assert set(entry.queries()) == {"op1_bpe", "op2_counts", "op3_packing", "op4_html", "op5_media", "op6_language", "op7_near", "op8_pii", "op9_lines", "op10_quality", "op11_codes", "op12_audit", "op13_chat"}
     rows = entry.op1_bpe(spark, "/root/testdata/sf0.001").where(F.length("ids_sha256") == 64).count()
     assert rows == 200
