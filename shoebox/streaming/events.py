@@ -50,29 +50,33 @@ def delete_cascade(tables: dict[str, DataFrame], events: DataFrame, strict: bool
 def start_upkeep(events: DataFrame, table: IndexTable, checkpoint: str, image_only: bool = True, available_now: bool = True, categories: IndexTable | None = None, late_seconds: int = 3600) -> StreamingQuery:
     """Apply a stream of events to the hash table, and deletions to that of the categories.
 
-    The state of each file knows its row, so a batch replaces rows without
-    asking what they were, and a repeated batch does no harm.  Rows are
-    published by users, some thousand at once (see ``IndexTable``).  Faces
-    and places are left to their own scans.
+    What is held of each file tells its row (see ``Versions``), so a batch
+    replaces rows without asking what they were, and a repeated batch does
+    no harm.  Whoever else writes the table sends what it wrote as
+    ``written`` events.  Rows are published by users, some thousand at once
+    (see ``IndexTable``).  Faces and places are left to their own scans.
     """
+    held = versions.Versions(events.sparkSession, f"{checkpoint.rstrip('/')}/files", table.read(), late_seconds)
 
-    def batch(rows: DataFrame, _: int) -> None:
-        rows = rows.persist()
+    def batch(new: DataFrame, number: int) -> None:
+        new = wanted(new, image_only).persist()
+        rows = held.taken(new, number).persist()
         try:
 
             def after(old: DataFrame, users: list) -> DataFrame:
-                own = rows.where(IndexTable._among(users))
+                own = table.of(rows, users)
                 return without_files(old, own).unionByName(own.where("op = 'indexed'").select(*old.columns))
 
             table.in_turns(rows.select("user_id").distinct(), after)
             if categories:
                 gone = rows.where("went")  # also where a file came back: it is to be classified anew
-                categories.in_turns(gone.select("user_id").distinct(), lambda old, users: without_files(old, gone.where(IndexTable._among(users))))
+                categories.in_turns(gone.select("user_id").distinct(), lambda old, users: without_files(old, categories.of(gone, users)))
+            held.forget(number)
         finally:
             rows.unpersist()
+            new.unpersist()
 
-    changes = versions.changes(wanted(events, image_only), table.read(), late_seconds)
-    writer = changes.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
 
 

@@ -9,22 +9,21 @@ content that took effect follows it.
 ``settled`` works on a log as a whole.  Only events since the last written
 or deleted one matter, so a hot file is first cut down to those, by an
 aggregate; whether a created event took effect then shows in the content
-event before it.  ``FileVersions`` is the same as a state of each file in
-a stream: the newest written or deleted event (or the row that the index
-had), and what came since, by (ts, event_id).  An older event that comes
-late takes its place among them, or none if it is older than that event,
-so any split of a log into batches ends with the same row.  Events are
-held back for ``late``; then a timer folds them into the row.
+event before it.  ``Versions`` does the same to a stream, a batch at a
+time: of each file it keeps the row that the index had, or the newest
+written or deleted event, and what came since, by (ts, event_id).  An
+older event that comes late takes its place among them, or none if it is
+older than that event, so any split of a log into batches ends with the
+same row.  Events are held back for ``late``; then they are folded into
+the row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from shoebox.sources import stores
 
 KEY = ["user_id", "file_id"]
 CONTENT = ["file_path", "file_size", "mime_type", "content_hash", "file_mtime"]
@@ -75,130 +74,96 @@ def applied(index: DataFrame, changes: DataFrame) -> DataFrame:
 
 # --- a stream ---
 
-EVENT = "at long, event_id long, op string, file_path string, file_size long, mime_type string, content_hash string, file_mtime long"
-COLON = EVENT.replace(" ", ":").replace(",:", ",")
-CHANGE = "user_id string, file_id long, op string, file_path string, file_size long, mime_type string, content_hash string, file_mtime long, at long, went boolean"
-
-
-class Event(NamedTuple):
-    """at: microseconds; None for the row that an index had."""
-
-    at: int | None
-    event_id: int
-    op: str
-    file_path: str | None
-    file_size: int | None
-    mime_type: str | None
-    content_hash: str | None
-    file_mtime: int | None
-
-    @property
-    def place(self) -> tuple:
-        return self.at, self.event_id
+HELD = "user_id string, file_id long, at long, event_id long, op string, file_path string, file_size long, mime_type string, content_hash string, file_mtime long, scanned_at timestamp"
+#: Batches after which all that is held is written anew, by one of them.
+WHOLE_AFTER = 20
 
 
-def after(row: Event | None, e: Event) -> Event | None:
-    """A file's row after an event."""
-    if e.op == "written":
-        return e
-    if e.op == "deleted":
-        return None
-    if e.op == "renamed":
-        return row and row._replace(file_path=e.file_path)
-    return row if row and (row.file_mtime, row.file_size) == (e.file_mtime, e.file_size) else e
+class Versions:
+    """What is held of each file between the batches of a stream, as tables in a folder.
 
-
-class FileVersions(StatefulProcessor):
-    """State of a file: what it starts from, and the events since; gives the row after each batch.
-
-    ``start`` is the newest written or deleted event, or the row that the
-    index had (op ``indexed``), or what a timer folded; ``since`` are the
-    created and renamed ones after it.
+    Rows are events, and the rows that the index had when the stream began
+    (op ``indexed``, without a time).  A batch reads what is held of its
+    files and writes it anew to a folder of its own; every ``whole_after``
+    batches one writes the rows of all files, with those events folded that
+    nothing can come before.  A batch that runs again reads what it read
+    before and writes over its own folder.
     """
 
-    def __init__(self, late_seconds: int):
-        self.late_ms = late_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        # One value, as each access is a call to the store.
-        self.state = handle.getValueState("file", f"start struct<{COLON}>, since array<struct<{COLON}>>")
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        r = initialState
-        self._keep(Event(None, None, "indexed", r["file_path"], r["file_size"], r["mime_type"], r["content_hash"], r["file_mtime"]), [])
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        start, since = self._known()
-        events = {e.event_id: e for e in since}
-        new = [Event(*(r[c] for c in Event._fields)) for r in rows]
-        events |= {e.event_id: e for e in new}
-        went = any(e.op == "deleted" for e in new)
-        if start and start.at is not None:
-            events = {k: e for k, e in events.items() if e.place > start.place}  # late beyond what counts
-        settling = [e for e in events.values() if e.op in ("written", "deleted")]
-        if settling:
-            start = max(settling, key=lambda e: e.place)
-            events = {k: e for k, e in events.items() if e.place > start.place}
-        since = sorted(events.values(), key=lambda e: e.place)
-        self._keep(start, since)
-        if since:
-            at = since[0].at // 1000 + self.late_ms
-            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
-        row = self._row(start)
-        for e in since:
-            row = after(row, e)
-        if row is None:
-            yield Row(user_id=key[0], file_id=key[1], op="deleted", file_path=None, file_size=None, mime_type=None, content_hash=None, file_mtime=None, at=None, went=went)
-        else:
-            yield Row(user_id=key[0], file_id=key[1], op="indexed", file_path=row.file_path, file_size=row.file_size, mime_type=row.mime_type, content_hash=row.content_hash, file_mtime=row.file_mtime, at=row.at, went=went)
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        """Fold what is older than events may be late."""
-        start, since = self._known()
-        row, rest = self._row(start), []
-        for e in since:
-            if not rest and e.at // 1000 + self.late_ms <= expiredTimerInfo.getExpiryTimeInMs():
-                row = after(row, e)
-                # Where it stood stays known, so that nothing older comes in behind it.
-                start = (row or e._replace(op="deleted"))._replace(at=e.at, event_id=e.event_id, op="written" if row else "deleted")
-            else:
-                rest.append(e)
-        self._keep(start, rest)
-        if rest:
-            self.handle.registerTimer(max(rest[0].at // 1000 + self.late_ms, timerValues.getCurrentWatermarkInMs() + 1))
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-    @staticmethod
-    def _row(start: Event | None) -> Event | None:
-        return None if start is None or start.op == "deleted" else start
-
-    def _known(self) -> tuple[Event | None, list[Event]]:
-        found = self.state.get()
-        if found is None:
-            return None, []
-        return Event(*found[0]) if found[0] is not None else None, [Event(*x) for x in found[1]]
-
-    def _keep(self, start: Event | None, since: list[Event]) -> None:
-        self.state.update((tuple(start) if start else None, [tuple(e) for e in since]))
+    def __init__(self, spark: SparkSession, path: str, index: DataFrame, late_seconds: int, whole_after: int = WHOLE_AFTER):
+        self.spark, self.path, self.late, self.whole_after = spark, path.rstrip("/"), late_seconds * 1_000_000, whole_after
+        if not stores.exists(spark, f"{self._folder(-1)}/_SUCCESS"):
+            start = index.where("user_id IS NOT NULL AND file_id IS NOT NULL")
+            made = {"at": F.lit(None), "event_id": F.lit(None), "op": F.lit("indexed")}
+            self._write(-1, start.select(*(made.get(c, F.col(c)).cast(kind).alias(c) for c, kind in (x.split() for x in HELD.split(", ")))))
+
+    def _folder(self, batch: int) -> str:
+        return f"{self.path}/batch={batch}"
+
+    def _write(self, batch: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(self._folder(batch))
+
+    def _first(self, batch: int) -> int:
+        """The last folder before a batch that holds all files."""
+        return batch // self.whole_after * self.whole_after - 1
+
+    def held(self, batch: int) -> DataFrame:
+        """What is held before a batch, with the number of the batch that wrote it; a file's rows of earlier ones no longer count."""
+        parts = [self._folder(k) for k in range(self._first(batch), batch)]
+        return self.spark.read.schema(f"{HELD}, batch int").option("basePath", self.path).parquet(*parts)
+
+    def taken(self, events: DataFrame, batch: int) -> DataFrame:
+        """The rows after a batch: user_id, file_id, op (indexed or deleted), the columns of the row, and whether the file went meanwhile."""
+        held = self.held(batch)
+        newest = held.agg(F.max("at")).first()[0]
+        seen = usable(events).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("scanned_at", F.lit(None).cast("timestamp")).select(*(x.split()[0] for x in HELD.split(", ")))
+        seen = seen if newest is None else seen.where(F.col("at") > newest - self.late)
+        files = seen.groupBy(*KEY).agg(F.max(F.col("op") == "deleted").alias("went"))
+        whole = (batch + 1) % self.whole_after == 0
+        own = held if whole else held.join(files.select(*KEY), KEY, "left_semi")
+        latest = own.groupBy(*KEY).agg(F.max("batch").alias("batch"))
+        both = own.join(latest, [*KEY, "batch"], "left_semi").drop("batch").unionByName(seen).dropDuplicates([*KEY, "at", "event_id"])
+        both = unsettled(folded(both, newest - self.late) if whole and newest is not None else both)
+        self._write(batch, both)
+        now = self.spark.read.schema(HELD).parquet(self._folder(batch))
+        rows = files.join(row_of(now.join(files.select(*KEY), KEY, "left_semi") if whole else now), KEY, "left")
+        return rows.withColumn("op", F.when(F.col("there"), "indexed").otherwise("deleted")).drop("there")
+
+    def forget(self, batch: int) -> None:
+        """Remove the folders that no batch from this one on reads."""
+        for k in range(max(-1, self._first(batch) - self.whole_after), self._first(batch)):
+            stores.remove(self.spark, self._folder(k))
+
+
+def split(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that the index had, and events."""
+    start = held.where("op = 'indexed'").select(*KEY, *CONTENT, "scanned_at")
+    return start, held.where("op <> 'indexed'").withColumn("ts", F.timestamp_micros("at"))
+
+
+def row_of(held: DataFrame) -> DataFrame:
+    """The rows of files after what is held of them; those of files that are gone are missing."""
+    start, events = split(held)
+    return applied(start, settled(start, events)).withColumn("there", F.lit(True))
+
+
+def unsettled(held: DataFrame) -> DataFrame:
+    """Without what a later written or deleted event makes void."""
+    place = F.struct("at", "event_id")
+    last = held.where(F.col("op").isin("written", "deleted")).groupBy(*KEY).agg(F.max(place).alias("_from"))
+    return held.join(last, KEY, "left").where(F.col("_from").isNull() | (F.col("at").isNotNull() & (place >= F.col("_from")))).drop("_from")
+
+
+def folded(held: DataFrame, until: int) -> DataFrame:
+    """With one event in place of all up to a time, which brings or takes away the row that they lead to, at the place of the last of them."""
+    old = held.where(F.coalesce(F.col("at") <= until, F.lit(True)))
+    last = old.where("at IS NOT NULL").groupBy(*KEY).agg(F.max(F.struct("at", "event_id")).alias("_last"))
+    rows = row_of(old.join(last, KEY, "left_semi"))
+    one = last.join(rows, KEY, "left").select(*KEY, "_last.at", "_last.event_id", F.when(F.col("there"), "written").otherwise("deleted").alias("op"), *CONTENT, F.lit(None).cast("timestamp").alias("scanned_at"))
+    started = old.where("at IS NULL").join(last, KEY, "left_anti")
+    return held.where(F.col("at") > until).unionByName(started).unionByName(one)
 
 
 def with_rocks(spark: SparkSession) -> None:
     """States with timers need that store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-
-
-def changes(events: DataFrame, index: DataFrame, late_seconds: int = 3600) -> DataFrame:
-    """A stream of rows after each batch: user_id, file_id, op (indexed or deleted), the columns of the row, and whether the file went meanwhile.
-
-    index: the rows to start from.  Whoever else writes the table sends
-    what it wrote as ``written`` events.
-    """
-    with_rocks(events.sparkSession)
-    seen = usable(events).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("at", F.unix_micros("ts")).select(*KEY, "ts", *Event._fields).withWatermark("ts", f"{late_seconds} seconds")
-    start = index.where("user_id IS NOT NULL AND file_id IS NOT NULL").select(*KEY, *CONTENT).groupBy(*KEY)
-    rows = seen.groupBy(*KEY).transformWithState(FileVersions(late_seconds), CHANGE, "update", "EventTime", initialState=start)
-    return rows.withColumn("scanned_at", F.timestamp_micros("at")).drop("at")

@@ -110,6 +110,34 @@ def test_the_last_file_of_a_user_can_go_and_old_events_are_folded(spark, tmp_pat
     assert table._files("u", None) == []
 
 
+def test_what_is_held_is_folded_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    from shoebox.streaming import versions
+
+    index = spark.createDataFrame(index_rows({("u", 1): ("p", "b", 5, 1), ("v", 2): ("q", "b", 5, 1)}), schema.FILE_HASHES)
+    held = versions.Versions(spark, str(tmp_path / "files"), index, 100, whole_after=2)
+    batches = [
+        [event(1, "u", 1, "renamed", "r"), event(2, "w", 3, "created", mtime=7)],
+        [event(3, "u", 1, "created", "s", mtime=9), event(5000, "w", 3, "renamed", "t")],
+        [event(4, "u", 1, "deleted"), event(5001, "w", 3, "renamed", "late", at=4950)],
+        [event(9000, "w", 3, "deleted", mime="text/plain"), event(9001, "v", 2, "renamed", "z")],
+        [event(9002, "u", 1, "renamed", "y"), event(9003, "w", 3, "created", "x", mtime=7)],
+    ]
+    rows = {("u", 1): "p", ("v", 2): "q"}
+    for k, batch in enumerate(batches):
+        for _ in range(2):
+            found = held.taken(upkeep.wanted(spark.createDataFrame(batch, schema.EVENTS)), k).collect()
+        held.forget(k)
+        for r in found:
+            rows.pop((r.user_id, r.file_id), None)
+            if r.op == "indexed":
+                rows[r.user_id, r.file_id] = r.file_path
+    # Event 4 is later than 100 seconds; the others count in their order.
+    assert rows == {("u", 1): "y", ("v", 2): "z", ("w", 3): "t"}
+    kept = spark.read.parquet(str(tmp_path / "files" / "batch=3"))
+    assert {(r.user_id, r.op, r.file_path, r.at is None) for r in kept.collect()} == {("u", "written", "s", False), ("v", "indexed", "q", True), ("v", "renamed", "z", False), ("w", "written", "Photos/a.jpg", False), ("w", "renamed", "late", False), ("w", "renamed", "t", False)}
+    assert not (tmp_path / "files" / "batch=-1").exists() and (tmp_path / "files" / "batch=3").exists()
+
+
 def test_cleanup_is_throttled(spark, tmp_path):
     times = [(0, False), (10, False), (299, True), (300, False), (301, False), (700, False), (2000, False), (2299, False), (2300, True), (2301, False)]
     rows = [(u, T0 + dt.timedelta(seconds=s), busy) for s, busy in times for u in ("u", "v")]
