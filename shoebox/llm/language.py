@@ -6,14 +6,13 @@ is compared by its own most frequent n-grams: each adds how far its rank
 lies from its rank in the profile, or the full length of the profile
 where it is missing.  The language with the least sum wins.
 
-Profiles are learned from a bounded sample of labelled rows, which is a
-parameter: at most ``SAMPLE_PER_LANGUAGE`` rows of a language, those
-whose ids hash lowest, so the sample doesn't depend on partitions.
-Predictions see the whole text and nothing else.
+Profiles are learned from all labelled rows that aren't held out, unless
+a caller asks for a number of rows of each language.  Predictions see the
+whole text and nothing else.
 
 ``keep_identified`` also rejects a text that lies further from every
-profile than ``limit_of`` allows, by what labelled rows of the sample do
-from their own: text of another script, or noise.
+profile than ``limit_of`` allows, by what all labelled rows do from their
+own: text of another script, or noise.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score
 0; equal distances go to the language first in alphabetical order, equal
@@ -38,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import given_back, held_out, map_slices, slices, texts_of
 
-#: Rows of a language that its profile is learned from, at most.
-SAMPLE_PER_LANGUAGE = 2000
+#: Distinct n-grams that a task holds before it hands on their counts.
+HELD_KEYS = 1 << 20
 #: N-grams in a profile, and of a text that are compared with it.
 PROFILE = 400
 UNKNOWN = "und"
@@ -113,15 +112,17 @@ class Profiles:
         return self.languages[order[0]], float(second / (best + second)) if best + second > 0 else 0.5, best
 
 
-def sampled(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """lang and text of the labelled rows that are learned from: of each language those whose hash of id and text is least, ``per_language`` at most.
+def sampled(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int | None = None) -> DataFrame:
+    """lang and text of the labelled rows that are learned from: all of them, or of each language those whose hash of id and text is least, ``per_language`` at most.
 
-    Repeated rows count once.  A share of all hashes that holds the sample
+    Of so many, repeated rows count once.  A share of all hashes that holds the sample
     twice over is kept first, by an estimate of the distinct ones, so few
     rows are ranked, and texts are moved for those alone.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    if per_language is None:
+        return rows.select("lang", "text")
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).collect()  # one row a language
     keep = F.lit(False)
@@ -133,7 +134,7 @@ def sampled(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
     return few.withColumn("at", place).where(F.col("at") <= per_language).select("lang", "text")
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
+def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int | None = None) -> Profiles:
     """Profiles of the non-null languages of rows that aren't held out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +144,19 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
             keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
+        def counts(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "key", "n"])
+
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = held.setdefault(lang, [])
                 parts.append(ngrams(text, None))
                 if len(parts) >= 128:
                     held[lang] = [summed(parts)]
+                    if len(held[lang][0][0]) >= HELD_KEYS:
+                        yield counts(lang, *held.pop(lang)[0])
         for lang, parts in held.items():
-            keys, n = summed(parts)
-            yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["lang", "key", "n"])
+            yield counts(lang, *summed(parts))
 
     few = sampled(docs, lang_col, id_col, text_col, per_language)
     counted = few.mapInArrow(given_back(count), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
@@ -160,8 +165,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     return Profiles([x for x, _ in found], [k for _, k in found])
 
 
-def limit_of(docs: DataFrame, profiles: Profiles, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> float:
-    """A distance halfway between the largest at which a labelled row of the sample lies from its own language and the largest possible one; 1 without such a row."""
+def limit_of(docs: DataFrame, profiles: Profiles, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int | None = None) -> float:
+    """A distance halfway between the largest at which a labelled row lies from its own language and the largest possible one; 1 without such a row."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [(lang, profiles.compare(t)) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]

@@ -9,7 +9,7 @@ import pytest
 from data import awkward, frame, prose
 from pyspark.sql import functions as F
 
-from shoebox.llm import language, lines, pii, quality
+from shoebox.llm import common, language, lines, pii, quality
 
 
 def luhn(d):
@@ -438,3 +438,23 @@ def test_a_language_of_one_repeated_id_is_learned(spark):
     assert found.languages == ["de", "en"]
     few = language.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
     assert sorted((r.lang, r.n) for r in few.groupBy("lang").agg(F.count("*").alias("n")).collect()) == [("de", 1), ("en", 50)]
+
+
+def test_profiles_and_limits_come_from_all_rows(spark):
+    """Also from those beyond the first few thousand of a language."""
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("aba").alias("text"), F.lit("xx").alias("lang"))
+    # One row of other words in each 1000; any one may be the furthest.
+    rows = rows.withColumn("text", F.when(F.col("doc_id") % 1000 == 1, F.concat(F.lit("aba "), F.translate(F.hex(F.sha2(F.col("doc_id").cast("string"), 256)), "0123456789", "qrstuvwxyz"))).otherwise(F.col("text")))
+    mine = [(r.lang, r.text) for r in rows.where(~common.held_out()).collect()]
+    model = language.learn(rows)
+    known, rank = model.sorted[0]
+    assert known[np.argsort(rank)].tolist() == language.top(*map(np.array, zip(*sorted(grams(t for _, t in mine).items()))), language.PROFILE)[0].tolist()
+    assert language.limit_of(rows, model) == (1 + max(model.compare(t)[2] for _, t in mine)) / 2
+
+
+def grams(texts) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for t in texts:
+        for key, n in zip(*(x.tolist() for x in language.ngrams(t, None))):
+            out[key] = out.get(key, 0) + n
+    return out
