@@ -311,7 +311,7 @@ REST = f"substring(tokens, CAST(2 * (n - n % {WINDOW}) + 1 AS INT), CAST(2 * (n
 def encoded(texts: list[str], vocabulary: str) -> list[bytes]:
     """Ids as little-endian unsigned 16-bit numbers, the end of document among them."""
     model, end = word_bpe(vocabulary), np.array([END_OF_DOCUMENT], "<u2").tobytes()
-    return [model.encode(t) + end for t in texts]
+    return [ids + end for ids in model.encode_all(texts)]
 
 
 def unpacked(column: pa.Array | list[bytes]) -> list[np.ndarray]:

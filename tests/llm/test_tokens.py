@@ -36,6 +36,39 @@ def test_words_give_the_ids_of_whole_texts():
         assert np.frombuffer(model.encode(t), "<u2").tolist() == model.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_batches_of_words_give_the_ids_of_whole_texts(monkeypatch):
+    """Texts side by side, in tables that hold all words or hardly any: bytes 0, words longer than a row, case and stops."""
+    r = random.Random(6)
+    more = ["Foo", "foo,", "FOO.", "foo", "e.g.,", "it's,", "a\x00", "a\x00\x00", "x" * 15, "X" * 16, "z.q.j.k.v.", "ZQJKVXW", "ÉT\u00c9,", "J\u030c", "\u01f0", "h\u0331.", "H\u0331.", "ΑΣ", "ας,", ",", ".", "\u212a", "9,", "_."]
+    texts = [*odd_texts(800, 7), "", *(" ".join(r.choice(more + PARTS) for _ in range(r.randint(0, 12))) for _ in range(800)), "\n", "<|endoftext|>", "last."]
+    whole = words.word_bpe(WORD).tokenizer
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for slots, held, memo in ((20, 1 << 17, 100_000), (4, 1 << 17, 5), (3, 7, 50)):
+        for name, value in (("SLOTS", slots), ("HELD", held), ("MEMO", memo)):
+            monkeypatch.setattr(words, name, value)
+        model = words.WordBPE(WORD)
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u2").tolist() for x in model.encode_all(texts)] == expected
+        assert len(model.table) == 1 << slots and model.encode_all([]) == []
+
+
+def test_words_are_spelled_once_whatever_their_case_and_stop():
+    """What a worker hands to the pair encoder is what costs most."""
+    model, asked = words.WordBPE(WORD), []
+
+    class Told:
+        def encode_ordinary(self, text, own=model.fast):
+            asked.append(text.count("\0"))
+            return own.encode_ordinary(text)
+
+    model.fast = Told()
+    stems = sorted({w for w in prose(11, 3000).split() if w.isalpha()})
+    for form in ("{}", "{},", "{}.", "{}"):
+        for spelled in (str, str.capitalize, str.upper):
+            model.encode(" ".join(form.format(spelled(w)) for w in stems))
+    assert sum(asked) <= 1.1 * len(stems)
+
+
 def test_counts_are_those_of_a_unigram_model():
     from tokenizers import Tokenizer, models, normalizers
 
